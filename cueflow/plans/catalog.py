@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from cueflow.plans import check_queries  # noqa: F401
+from cueflow.plans import check_queries, source_queries  # noqa: F401
 from cueflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
