@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cueflow.session import settle
+
 BLOCK = 4096
 
 
@@ -89,3 +91,25 @@ def dense_position(
 ) -> DataFrame:
     """0-based rank of each row within `key` along `order` (which must be unique)."""
     return running_sum(df, key, order, F.lit(1), name, bucket, exclusive=True)
+
+
+def number_in_order(df: DataFrame, order: list[str], name: str, start: Column) -> DataFrame:
+    """Consecutive numbers from `start` along `order`, over the whole of `df`.
+
+    Rows are range-partitioned and written down with their partition; then each partition numbers
+    its own rows after the sizes of those before it.
+    """
+    placed = settle(
+        df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered"
+    )
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition.
+    offsets = placed.groupBy("__part").agg(F.count("*").alias("__size")).select(
+        "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset")
+    )
+    inside = Window.partitionBy("__part").orderBy(*order)
+    return (
+        placed.join(F.broadcast(offsets), "__part")
+        .withColumn(name, start + F.col("__offset") + F.row_number().over(inside) - 1)
+        .drop("__part", "__offset")
+    )

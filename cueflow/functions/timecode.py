@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cueflow.constants import WHITESPACE_CLASS
-from cueflow.functions.text import lstrip, strip
+from cueflow.functions.text import let, lstrip, strip
 
 # Fixed patterns: the timing lines that are accepted, matched from the start of the line.
 _ARROW = f"{WHITESPACE_CLASS}*-->{WHITESPACE_CLASS}*"
@@ -40,7 +40,7 @@ def _span(line: Column, with_hours: bool) -> Column:
 
 def srt_times(line: Column) -> Column:
     """struct(start_ms, end_ms), null when the line is no SRT timing line."""
-    return F.when(line.rlike(_line(_SRT)), _span(line, True))
+    return let(line, lambda x: F.when(x.rlike(_line(_SRT)), _span(x, True)))
 
 
 def cut_cue_settings(line: Column) -> Column:
@@ -51,8 +51,11 @@ def cut_cue_settings(line: Column) -> Column:
 
 def vtt_times(line: Column) -> Column:
     """struct(start_ms, end_ms) of a cut WebVTT timing line; both ends with hours or both without."""
-    return F.when(line.rlike(_line(_VTT)), _span(line, True)).when(
-        line.rlike(_line(_VTT_SHORT)), _span(line, False)
+    return let(
+        line,
+        lambda x: F.when(x.rlike(_line(_VTT)), _span(x, True)).when(
+            x.rlike(_line(_VTT_SHORT)), _span(x, False)
+        ),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cueflow import constants as K
+from cueflow.functions.ordered import number_in_order
 
 KEY = ["wrong_term", "correct_term", "topic", "industry", "country"]
 
@@ -23,23 +24,25 @@ def upsert(kb: DataFrame, batch: DataFrame) -> DataFrame:
     """New KB version after a batch of occurrences (key columns, tags, seq = arrival order).
 
     Occurrences are counted per key before they meet the KB, so a key repeated millions of times
-    shuffles as one row per map task. Known rows keep their tags and confidence. New ids follow
-    the arrival order after the highest known id.
+    shuffles as one row per map task. Known rows keep their id, tags and confidence. New rows get
+    the next ids in arrival order.
     """
     fresh = batch.fillna("general", ["topic", "industry", "country"]).groupBy(*KEY).agg(
         F.count("*").alias("new_count"),
         F.min_by("tags", "seq").alias("new_tags"),
         F.min("seq").alias("first_seq"),
     )
-    top_id = kb.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    merged = kb.join(fresh, KEY, "full_outer")
-    return merged.select(
-        F.coalesce("id", top_id + 1 + F.col("first_seq")).alias("id"),
-        *KEY,
-        F.when(F.col("id").isNotNull(), F.col("tags")).otherwise(F.col("new_tags")).alias("tags"),
-        F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
-        (F.coalesce("count", F.lit(0)) + F.coalesce("new_count", F.lit(0))).alias("count"),
+    next_id = kb.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next")).scalar()
+    known = kb.join(fresh.select(*KEY, "new_count"), KEY, "left").select(
+        "id", *KEY, "tags", "confidence",
+        (F.col("count") + F.coalesce("new_count", F.lit(0))).alias("count"),
     )
+    unknown = fresh.join(kb.select(*KEY), KEY, "left_anti")
+    added = number_in_order(unknown, ["first_seq"], "id", next_id).select(
+        F.col("id").cast("long").alias("id"), *KEY, F.col("new_tags").alias("tags"),
+        F.lit(1.0).alias("confidence"), F.col("new_count").alias("count"),
+    )
+    return known.unionByName(added)
 
 
 def remove_entries(kb: DataFrame, ids: DataFrame) -> DataFrame:

@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from cueflow.plans import check_queries, source_queries  # noqa: F401
+from cueflow.plans import (  # noqa: F401
+    check_queries,
+    correction_queries,
+    knowledge_queries,
+    source_queries,
+)
 from cueflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

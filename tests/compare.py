@@ -95,7 +95,7 @@ def main() -> int:
             else:
                 problems, label = [], f"rows={df.count()}"
         except Exception as error:  # report and go on with the next query
-            problems, label = [str(error)[:1500]], "FAIL"
+            problems, label = [str(error)[:500]], "FAIL"
         bad += bool(problems)
         print(f"{label:6} {name} {time.time() - start:.1f}s", flush=True)
         for line in problems:
