@@ -5,6 +5,7 @@ from cueflow.plans import (  # noqa: F401
     correction_queries,
     knowledge_queries,
     source_queries,
+    tenant_queries,
 )
 from cueflow.plans.registry import ORACLES, QUERIES
 
