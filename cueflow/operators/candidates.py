@@ -84,9 +84,10 @@ def edit_neighbours(
         F.explode(deletion_keys(F.col("word"))).alias("key"),
     )
     asked = unknown.select("word", F.explode(deletion_keys(F.col("word"))).alias("key"))
+    # Keys multiply the rows, which size estimates do not see: never broadcast either side.
     sizes_fit = F.abs(F.length("word") - F.length("candidate")) <= K.EDIT_MAX_DISTANCE
     met = (
-        asked.join(offered, "key")
+        asked.join(offered.hint("merge"), "key")
         .where(sizes_fit)
         .withColumn("distance", F.levenshtein("word", "candidate", K.EDIT_MAX_DISTANCE))
         .where(F.col("distance") >= 0)

@@ -144,7 +144,7 @@ def attributed_spans(spans: DataFrame, applied: DataFrame) -> DataFrame:
                  .otherwise(F.col("gram")))
     texts = applied.groupBy("doc_id", "corrected_text").agg(
         F.min_by(F.struct("apply_order", "type", "reason"), "apply_order").alias("hit")
-    )
+    ).withColumn("apply_order", F.col("hit.apply_order"))
     grams = F.flatten(F.transform(
         sizes,
         lambda size: F.transform(
@@ -152,9 +152,11 @@ def attributed_spans(spans: DataFrame, applied: DataFrame) -> DataFrame:
             lambda at: F.substr(F.col("corrected_text"), at, size),
         ),
     ))
-    offered = texts.withColumn("gram", F.explode(grams))
+    offered = texts.select("doc_id", "apply_order", F.explode(grams).alias("gram")).distinct()
+    # Grams multiply the rows, which size estimates do not see: never broadcast them.
+    met = asked.join(offered.hint("merge"), ["doc_id", "gram"])
     found = (
-        asked.join(offered, ["doc_id", "gram"])
+        met.join(texts, ["doc_id", "apply_order"])
         .where(F.contains(F.col("corrected_text"), F.col("value")))
         .groupBy("doc_id", "value")
         .agg(F.min_by("hit", "hit.apply_order").alias("hit"))

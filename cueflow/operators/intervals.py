@@ -62,7 +62,7 @@ def overlap_pairs(segments: DataFrame) -> DataFrame:
     )
     overlap = (F.col("start_b") < F.col("end_a")) & (F.col("start_a") < F.col("end_b"))
     return (
-        outer.join(inner, ["doc_id", "level", "cell"])
+        outer.hint("merge").join(inner, ["doc_id", "level", "cell"])
         .where(later & overlap)
         .select(
             "doc_id",
@@ -173,7 +173,7 @@ def _inverted_overlaps(spans: DataFrame) -> DataFrame:
         )
         .withColumn("cell", F.floor(F.col("upper") / _width(F.col("level"))))
     )
-    return faults.join(proper, ["doc_id", "level", "cell"]).where(
+    return faults.join(proper.hint("merge"), ["doc_id", "level", "cell"]).where(
         (F.col("start_ms") < F.col("lower")) & (F.col("upper") < F.col("end_ms"))
     )
 

@@ -9,7 +9,7 @@ from cueflow.operators import candidates as C
 from cueflow.operators import tenant as T
 from cueflow.plans.registry import query
 from cueflow.plans.source_queries import srt_corpus
-from cueflow.session import scratch_path
+from cueflow.session import scratch_path, settle
 from cueflow.sources import adapters as A
 from cueflow.sources import files
 from cueflow.sources.adapters import with_views
@@ -112,7 +112,7 @@ def d11_vocabulary(spark, folder):
 
 @query("d12_edit_neighbours")
 def d12_edit_neighbours(spark, folder):
-    counts = C.token_counts(A.table(spark, folder, "documents"))
+    counts = settle(C.token_counts(A.table(spark, folder, "documents")), "words")
     return C.edit_neighbours(C.unknown_words(counts), C.vocabulary(counts))
 
 
