@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cueflow.constants import WHITESPACE_CLASS
+from cueflow.constants import BLANK_CLASS
 from cueflow.functions.text import let, lstrip, strip
 
-# Fixed patterns: the timing lines that are accepted, matched from the start of the line.
-_ARROW = f"{WHITESPACE_CLASS}*-->{WHITESPACE_CLASS}*"
-_SRT = "[0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3}"
-_VTT = r"[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}"
-_VTT_SHORT = r"[0-9]{2}:[0-9]{2}\.[0-9]{3}"
+# Fixed patterns: the pairs of clocks a timing line may start with.
+_ARROW = f"{BLANK_CLASS}*-->{BLANK_CLASS}*"
 
 
-def _line(clock: str) -> str:
-    return f"^{clock}{_ARROW}{clock}"
+def _pair(clock: str) -> str:
+    return f"{clock}{_ARROW}{clock}"
+
+
+SRT_SPAN = _pair("[0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3}")
+VTT_LONG_SPAN = _pair(r"[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}")
+VTT_SHORT_SPAN = _pair(r"[0-9]{2}:[0-9]{2}\.[0-9]{3}")
 
 
 def _clock_ms(text: Column, with_hours: bool) -> Column:
@@ -40,7 +42,7 @@ def _span(line: Column, with_hours: bool) -> Column:
 
 def srt_times(line: Column) -> Column:
     """struct(start_ms, end_ms), null when the line is no SRT timing line."""
-    return let(line, lambda x: F.when(x.rlike(_line(_SRT)), _span(x, True)))
+    return let(line, lambda x: F.when(x.rlike("^" + SRT_SPAN), _span(x, True)))
 
 
 def cut_cue_settings(line: Column) -> Column:
@@ -53,8 +55,8 @@ def vtt_times(line: Column) -> Column:
     """struct(start_ms, end_ms) of a cut WebVTT timing line; both ends with hours or both without."""
     return let(
         line,
-        lambda x: F.when(x.rlike(_line(_VTT)), _span(x, True)).when(
-            x.rlike(_line(_VTT_SHORT)), _span(x, False)
+        lambda x: F.when(x.rlike("^" + VTT_LONG_SPAN), _span(x, True)).when(
+            x.rlike("^" + VTT_SHORT_SPAN), _span(x, False)
         ),
     )
 

@@ -135,7 +135,7 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'empty_document' AS issue_type, 'error
   'Document contains no segments' AS message
 FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT doc_id FROM seg)""")
 def v15_empty_document(spark, folder):
-    docs = A.table(spark, folder, "documents").select(F.col("doc_id").cast("string"))
+    docs = A.documents(spark, folder).select(F.col("doc_id").cast("string"))
     issues = rules.empty_document_issues(docs, A.conversation_segments(spark, folder))
     return issues.select("doc_id", "issue_type", "severity", "message")
 
@@ -312,7 +312,7 @@ FROM documents, (VALUES ('100', 100), ('300', 300), ('1000', 1000), ('3000', 300
   ('10000', 10000), ('30000', 30000), ('+Inf', 9000000000)) AS b(le, bound)
 GROUP BY lang, b.le""")
 def a07_size_distribution(spark, folder):
-    docs = A.table(spark, folder, "documents")
+    docs = A.documents(spark, folder)
     return stats.size_distribution(docs, "lang", F.col("n_chars"), _SIZE_BOUNDS)
 
 

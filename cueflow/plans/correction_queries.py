@@ -419,7 +419,7 @@ _TERMS = ["the", "THAT", "und", "ière", "pour", "Schlich", "zzz"]
   contains(lower(source), lang) OR contains(lang, lower(source)) OR lang = 'en' AS dialect_match
 FROM documents""")
 def j09_preserved_terms(spark, folder):
-    docs = A.table(spark, folder, "documents").withColumn("doc_id", F.col("doc_id").cast("string"))
+    docs = A.documents(spark, folder).withColumn("doc_id", F.col("doc_id").cast("string"))
     before = docs.select("doc_id", F.col("text").alias("content"))
     after = docs.select(
         "doc_id", F.replace(F.col("text"), F.lit("en"), F.lit("xx")).alias("content"))
@@ -539,7 +539,7 @@ def _flagship(spark, folder):
 
 @query("d06_filler_counts", None)
 def d06_filler_counts(spark, folder):
-    docs = A.table(spark, folder, "documents")
+    docs = A.documents(spark, folder)
     return docs.select("doc_id", cleaning.filler_counts(F.col("text"), F.col("lang")).alias("fillers"))
 
 

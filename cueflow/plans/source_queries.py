@@ -28,7 +28,7 @@ def srt_corpus(spark, folder):
     Of 13 blocks one has a bad number, one a dot in its times, one no text, and one has junk after
     its times. Every third file has CR LF line ends, every fifth a byte order mark.
     """
-    docs = A.table(spark, folder, "documents")
+    docs = A.documents(spark, folder)
     lines = F.split("text", "\n", -1)
 
     def block(line, i):
@@ -77,7 +77,7 @@ def w04_renumbered(spark, folder):
 
 def webvtt_corpus(spark, folder):
     """Each document as a WebVTT file, with variants planted by (document + line) number."""
-    docs = A.table(spark, folder, "documents")
+    docs = A.documents(spark, folder)
 
     def block(line, i):
         pos = i.cast("long")
@@ -251,7 +251,7 @@ def _named_documents(spark, folder):
         F.lit("doc"), F.col("doc_id").cast("string"),
         F.get(suffixes, (F.col("doc_id") % len(_SUFFIXES)).cast("int")),
     )
-    return A.table(spark, folder, "documents").select(
+    return A.documents(spark, folder).select(
         F.col("doc_id").cast("string").alias("doc_id"), name.alias("name"),
         F.col("text").alias("content"), F.col("lang").alias("language"),
     )

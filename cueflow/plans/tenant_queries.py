@@ -107,12 +107,12 @@ _WORDS = """counts AS (SELECT word, count(*) AS uses FROM (
 @query("d11_vocabulary", f"""WITH {_WORDS}
 SELECT word, uses FROM counts WHERE uses >= 2 AND length(word) BETWEEN 3 AND 40""")
 def d11_vocabulary(spark, folder):
-    return C.vocabulary(C.token_counts(A.table(spark, folder, "documents")))
+    return C.vocabulary(C.token_counts(A.documents(spark, folder)))
 
 
 @query("d12_edit_neighbours")
 def d12_edit_neighbours(spark, folder):
-    counts = settle(C.token_counts(A.table(spark, folder, "documents")), "words")
+    counts = settle(C.token_counts(A.documents(spark, folder)), "words")
     return C.edit_neighbours(C.unknown_words(counts), C.vocabulary(counts))
 
 
@@ -171,7 +171,7 @@ _GUARD_SQL = ", ".join(
 
 @query("d14_guard_spans", f"SELECT doc_id, {_GUARD_SQL} FROM documents")
 def d14_guard_spans(spark, folder):
-    docs = A.table(spark, folder, "documents")
+    docs = A.documents(spark, folder)
     return docs.select("doc_id", *C.guard_counts(F.col("text")))
 
 

@@ -16,6 +16,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` on more tasks when its files give fewer than two per core; else as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def _ms_since_2024(ts: str) -> Column:
     """Milliseconds from 2024-01-01, the same in every session time zone."""
     return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', {ts})")
@@ -55,7 +65,7 @@ def event_segments(
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the documents: (doc_id, pos, text, lang, source), without a shuffle."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return docs.select(
         F.col("doc_id").alias("doc_no"), "lang", "source",
         F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"),
@@ -81,7 +91,7 @@ def source_segments(spark: SparkSession, folder: str) -> DataFrame:
 
     Offsets come from line counts of whole documents, so the lines themselves are not shuffled.
     """
-    docs = table(spark, folder, "documents").select(
+    docs = documents(spark, folder).select(
         F.col("source").alias("doc_id"), F.col("doc_id").alias("doc_no"),
         F.split("text", "\n", -1).alias("lines"),
     )

@@ -1,8 +1,9 @@
 """Subtitle text to segments and back.
 
-Parsing works on the array of blocks inside one row, so list positions need no shuffle. Rendering
-shuffles once by (document, part); a part holds at most `part_cues` cues and the parts of a
-document, concatenated in order, are its text. Documents within the segment limit have one part.
+Parsing filters the array of blocks inside one row, so list positions need no shuffle; the fields
+of the accepted blocks are then cut out of plain rows. Rendering shuffles once by (document, part);
+a part holds at most `part_cues` cues and the parts of a document, concatenated in order, are its
+text. Documents within the segment limit have one part.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueflow.constants import MAX_SEGMENTS
-from cueflow.functions.text import drop_bom, fold_newlines, strip
+from cueflow.constants import BLANK_CLASS, MAX_SEGMENTS, NON_WHITESPACE_CLASS, WHITESPACE_CLASS
+from cueflow.functions.text import drop_bom, fold_newlines, lstrip, strip
 from cueflow.functions.timecode import (
-    cut_cue_settings,
+    SRT_SPAN,
+    VTT_LONG_SPAN,
+    VTT_SHORT_SPAN,
     srt_clock,
     srt_times,
     vtt_clock,
@@ -23,7 +26,14 @@ from cueflow.functions.timecode import (
 # Fixed patterns: the WebVTT header and the tags that are removed from cue text.
 _VTT_HEADER = r"(?s)\AWEBVTT.*?\n\n"
 _VTT_TAGS = ["<v[^>]*>", "</v>", "<c[^>]*>", "</c>"]
-_INTEGER = "^[+-]?[0-9]+(_[0-9]+)*$"
+
+# Fixed pattern: a well-formed SRT block is a number, a timing line, and something to read.
+_SRT_BLOCK = (
+    rf"\A{WHITESPACE_CLASS}*[+-]?[0-9]{{1,18}}(?:_[0-9]+)*{BLANK_CLASS}*\n"
+    rf"{BLANK_CLASS}*{SRT_SPAN}[^\n]*\n{WHITESPACE_CLASS}*{NON_WHITESPACE_CLASS}"
+)
+# Fixed pattern: a WebVTT timing line has both ends with hours or both without.
+_VTT_LINE = rf"\A{BLANK_CLASS}*(?:{VTT_LONG_SPAN}|{VTT_SHORT_SPAN})"
 
 
 def clean_content(
@@ -35,85 +45,69 @@ def clean_content(
 
 
 def _blocks(content: Column) -> Column:
-    """Each blank-line separated block as its array of lines."""
-    return F.transform(
-        F.split(strip(content), "\n\n", -1), lambda block: F.split(strip(block), "\n", -1)
-    )
-
+    return F.split(strip(content), "\n\n", -1)
 
-def _integer(text: Column) -> Column:
-    return F.when(text.rlike(_INTEGER), F.replace(text, F.lit("_")).try_cast("long"))
 
-
-def srt_cues(content: Column) -> Column:
-    """array<struct<idx, start_ms, end_ms, text>> of the well-formed blocks, in file order."""
-    rows = F.transform(
-        F.filter(_blocks(content), lambda lines: F.size(lines) >= 3),
-        lambda lines: F.struct(
-            _integer(strip(lines[0])).alias("idx"),
-            srt_times(strip(lines[1])).alias("times"),
-            strip(F.array_join(F.slice(lines, 3, F.size(lines)), "\n")).alias("text"),
-        ),
-    )
-    kept = F.filter(
-        rows,
-        lambda r: r["idx"].isNotNull() & r["times"].isNotNull() & (r["text"] != ""),
-    )
+def _srt_blocks(content: Column) -> Column:
+    """The well-formed blocks, in the shape of `_webvtt_blocks` with all in `text`."""
     return F.transform(
-        kept,
-        lambda r: F.struct(
-            r["idx"].alias("idx"),
-            r["times"]["start_ms"].alias("start_ms"),
-            r["times"]["end_ms"].alias("end_ms"),
-            r["text"].alias("text"),
-        ),
+        F.filter(_blocks(content), lambda b: b.rlike(_SRT_BLOCK)),
+        lambda b: F.struct(F.lit("").alias("line"), strip(b).alias("text")),
     )
 
 
 def _without_tags(text: Column) -> Column:
+    bare = text
     for tag in _VTT_TAGS:
-        text = F.regexp_replace(text, tag, "")
-    return text
-
-
-def webvtt_cues(content: Column) -> Column:
-    """As `srt_cues`; cue numbers count the accepted cues from 1."""
-    body = F.regexp_replace(content, _VTT_HEADER, "")
-    located = F.transform(
-        _blocks(body),
-        lambda lines: F.struct(
-            lines.alias("lines"),
-            F.array_position(
-                F.transform(lines, lambda line: F.contains(line, F.lit("-->"))), True
-            ).cast("int").alias("at"),
-        ),
-    )
-    timed = F.filter(located, lambda b: (b["at"] > 0) & (b["at"] < F.size(b["lines"])))
-    rows = F.transform(
-        timed,
-        lambda b: F.struct(
-            vtt_times(cut_cue_settings(F.element_at(b["lines"], b["at"]))).alias("times"),
-            _without_tags(
-                strip(F.array_join(F.slice(b["lines"], b["at"] + 1, F.size(b["lines"])), "\n"))
-            ).alias("text"),
-        ),
+        bare = F.regexp_replace(bare, tag, "")
+    return F.when(F.contains(text, F.lit("<")), bare).otherwise(text)
+
+
+def _after_newline(text: Column) -> Column:
+    """What follows the first newline, empty without one."""
+    at = F.instr(text, "\n")
+    return F.when(at > 0, F.substr(text, at + 1)).otherwise(F.lit(""))
+
+
+def _webvtt_blocks(content: Column) -> Column:
+    """array<struct<line, text>> of the cues: the first line with an arrow, and the text below."""
+    timed = F.filter(
+        _blocks(F.regexp_replace(content, _VTT_HEADER, "")),
+        lambda b: F.contains(b, F.lit("-->")),
     )
-    kept = F.filter(rows, lambda r: r["times"].isNotNull() & (r["text"] != ""))
-    return F.transform(
-        kept,
-        lambda r, i: F.struct(
-            (i + 1).cast("long").alias("idx"),
-            r["times"]["start_ms"].alias("start_ms"),
-            r["times"]["end_ms"].alias("end_ms"),
-            r["text"].alias("text"),
-        ),
+
+    def cut(b: Column) -> Column:
+        before = F.substring_index(F.split_part(b, F.lit("-->"), F.lit(1)), "\n", -1)
+        onward = F.substr(b, F.instr(b, "-->"))
+        return F.struct(
+            F.concat(before, F.substring_index(onward, "\n", 1)).alias("line"),
+            _without_tags(strip(_after_newline(onward))).alias("text"),
+        )
+
+    return F.filter(
+        F.transform(timed, cut), lambda c: c["line"].rlike(_VTT_LINE) & (c["text"] != "")
     )
 
 
-def _explode_cues(docs: DataFrame, cues: Column, key: list[str]) -> DataFrame:
-    return docs.select(*key, F.posexplode(cues).alias("pos", "cue")).select(
-        *key, F.col("pos").cast("long").alias("pos"), "cue.*"
+def _segments(docs: DataFrame, blocks: Column, is_srt: Column, key: list[str]) -> DataFrame:
+    rows = docs.select(*key, is_srt.alias("is_srt"), F.posexplode(blocks).alias("pos", "b"))
+    split = rows.withColumn(
+        "parts",
+        F.when(F.col("is_srt"), F.split(F.col("b.text"), "\n", 3))
+        .otherwise(F.array(F.lit(""), F.col("b.line"), F.col("b.text"))),
+    )
+    part = [F.get("parts", F.lit(i)) for i in range(3)]
+    lines = split.select(
+        *key, F.col("pos").cast("long").alias("pos"), "is_srt",
+        part[0].alias("number"), lstrip(part[1]).alias("line"),
+        F.when(F.col("is_srt"), strip(part[2])).otherwise(part[2]).alias("text"),
     )
+    times = F.when(F.col("is_srt"), srt_times(F.col("line"))).otherwise(vtt_times(F.col("line")))
+    number = F.replace(strip(F.col("number")), F.lit("_")).try_cast("long")
+    return lines.select(
+        *key, "pos", F.when(F.col("is_srt"), number).otherwise(F.col("pos") + 1).alias("idx"),
+        times.alias("t"), "text",
+    ).select(*key, "pos", "idx", "t.start_ms", "t.end_ms", "text")
 
 
 def parse(
@@ -124,18 +118,23 @@ def parse(
 ) -> DataFrame:
     """Segments of documents (key…, format, content); other formats give no rows."""
     content = clean_content(F.col("content"), normalize_newlines, strip_bom)
-    cues = F.when(F.col("format") == "srt", srt_cues(content)).when(
-        F.col("format") == "webvtt", webvtt_cues(content)
+    is_srt = F.col("format") == "srt"
+    blocks = F.when(is_srt, _srt_blocks(content)).when(
+        F.col("format") == "webvtt", _webvtt_blocks(content)
     )
-    return _explode_cues(docs, cues, key)
+    return _segments(docs, blocks, is_srt, key)
 
 
 def parse_srt(docs: DataFrame, key: list[str] = ["doc_id"], **options: bool) -> DataFrame:
-    return _explode_cues(docs, srt_cues(clean_content(F.col("content"), **options)), key)
+    """Well-formed blocks as segments; everything else is dropped without a trace."""
+    content = clean_content(F.col("content"), **options)
+    return _segments(docs, _srt_blocks(content), F.lit(True), key)
 
 
 def parse_webvtt(docs: DataFrame, key: list[str] = ["doc_id"], **options: bool) -> DataFrame:
-    return _explode_cues(docs, webvtt_cues(clean_content(F.col("content"), **options)), key)
+    """As `parse_srt`; cue numbers count the accepted cues from 1."""
+    content = clean_content(F.col("content"), **options)
+    return _segments(docs, _webvtt_blocks(content), F.lit(False), key)
 
 
 def _join_pieces(segments: DataFrame, piece: Column, part_cues: int) -> DataFrame:
