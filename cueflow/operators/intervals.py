@@ -107,34 +107,36 @@ def overlap_counts(segments: DataFrame) -> DataFrame:
         F.sum("starts").alias("starts"), F.sum("ends").alias("ends"),
         F.sum("points").alias("points"),
     )
-    bucket = F.floor(F.col("at") / TIME_BUCKET_MS)
-    # Net open intervals after this instant's ends, before its starts.
-    by_bucket = totals.withColumn("bucket", bucket)
-    sums = by_bucket.groupBy("doc_id", "bucket").agg(
-        F.sum("starts").alias("s"), F.sum("ends").alias("e")
-    )
-    before = (
-        Window.partitionBy("doc_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sums.select(
-        "doc_id", "bucket",
-        F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s_before"),
-        F.coalesce(F.sum("e").over(before), F.lit(0)).alias("e_before"),
-    )
     inside = (
         Window.partitionBy("doc_id", "bucket")
         .orderBy("at")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # Within a bucket: ends up to each instant, starts before it.
+    placed = (
+        totals.withColumn("bucket", F.floor(F.col("at") / TIME_BUCKET_MS))
+        .withColumn("ended", F.sum("ends").over(inside))
+        .withColumn("started", F.sum("starts").over(inside) - F.col("starts"))
+    )
+    buckets = placed.groupBy("doc_id", "bucket").agg(
+        F.sum("starts").alias("starts"), F.sum("ends").alias("ends"),
+        F.sum("points").alias("points"),
+        F.sum(F.col("starts") * F.col("ended")).alias("apart"),
+        F.sum(F.col("points") * (F.col("started") - F.col("ended"))).alias("on_points"),
+    )
+    before = (
+        Window.partitionBy("doc_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    # Across buckets: whatever started or ended in earlier ones counts for every row of this one.
     counted = (
-        by_bucket.join(offsets, ["doc_id", "bucket"])
-        .withColumn("ended", F.col("e_before") + F.sum("ends").over(inside))
-        .withColumn("started", F.col("s_before") + F.sum("starts").over(inside) - F.col("starts"))
+        buckets.withColumn("s", F.coalesce(F.sum("starts").over(before), F.lit(0)))
+        .withColumn("e", F.coalesce(F.sum("ends").over(before), F.lit(0)))
         .groupBy("doc_id")
         .agg(
             F.sum("starts").alias("n"),
-            F.sum(F.col("starts") * F.col("ended")).alias("apart"),
-            F.sum(F.col("points") * (F.col("started") - F.col("ended"))).alias("on_points"),
+            F.sum(F.col("apart") + F.col("starts") * F.col("e")).alias("apart"),
+            F.sum(F.col("on_points") + F.col("points") * (F.col("s") - F.col("e")))
+            .alias("on_points"),
         )
         .select(
             "doc_id",
@@ -150,10 +152,15 @@ def overlap_counts(segments: DataFrame) -> DataFrame:
 
 
 def _inverted_overlaps(spans: DataFrame) -> DataFrame:
-    """One row per (inverted interval, proper interval strictly around it)."""
+    """One row per (inverted interval, proper interval strictly around it).
+
+    Without inverted intervals, the usual case, the proper ones are dropped before any shuffle.
+    """
     width = F.col("width")
+    faulty = spans.where("start_ms > end_ms").agg(F.count("*").alias("n")).scalar()
     proper = (
         spans.where("start_ms < end_ms")
+        .where(faulty > 0)
         .withColumn("level", _level())
         .withColumn("width", _width(F.col("level")))
         .select(

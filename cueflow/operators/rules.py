@@ -1,6 +1,7 @@
 """Segment and document rules.
 
-All segment rules are one projection without a shuffle. Asking for few rules builds only those.
+All segment rules are projections around one generator, without a shuffle. Asking for few rules
+builds only those.
 """
 
 from __future__ import annotations
@@ -49,92 +50,157 @@ def _details(**values: Column) -> Column:
     return F.create_map(*pairs)
 
 
-def _segment_rules(limits: dict[str, Column], strict: bool) -> dict[str, tuple]:
-    """name -> (rule number, severity, condition, message, details), for rules on whole segments."""
-    length = duration_ms()
-    speed = cps()
-    shown = one_decimal(F.length("text"), F.when(length > 0, length))
-    lines = F.size(F.split("text", "\n", -1))
-    ms = {"duration_ms": length}
-    strict_level = "error" if strict else "warning"
-    too_short = length < K.MIN_SEGMENT_MS
-    too_long = length > K.MAX_SEGMENT_MS
-    too_fast = speed > F.lit(K.HARD_MAX_CPS)
-
-    def span(verb: str, bound: Column | str) -> Column:
-        return _text("Segment duration (", length, f"ms) {verb} (", bound, "ms)")
-
-    return {
-        "duration_too_short": (
-            1, "error", too_short, span("is below minimum", str(K.MIN_SEGMENT_MS)), ms),
-        "duration_short": (
-            2, "warning", ~too_short & (length < limits["min_duration_ms"]),
-            span("is below recommended", limits["min_duration_ms"]), ms),
-        "duration_too_long": (
-            3, "error", too_long, span("exceeds maximum", str(K.MAX_SEGMENT_MS)), ms),
-        "duration_long": (
-            4, "warning", ~too_long & (length > limits["max_duration_ms"]),
-            span("exceeds recommended", limits["max_duration_ms"]), ms),
-        "cps_too_high": (
-            5, "error", too_fast,
-            _text("CPS (", shown, f") exceeds maximum ({K.HARD_MAX_CPS})"), {"cps": speed}),
-        "cps_high": (
-            6, "warning", ~too_fast & (speed > limits["max_cps"]),
-            _text("CPS (", shown, ") exceeds target (", limits["max_cps"], ")"), {"cps": speed}),
-        "empty_text": (
-            7, "error", strip(F.col("text")) == "", F.lit("Segment has empty text"), {}),
-        "too_many_lines": (
-            8, strict_level, lines > K.MAX_LINES,
-            _text("Segment has ", lines, f" lines (max: {K.MAX_LINES})"), {"line_count": lines}),
-        "negative_start": (
-            10, "error", F.col("start_ms") < 0,
-            F.lit("Segment has negative start time"), {"start_ms": F.col("start_ms")}),
-        "invalid_timing": (
-            11, "error", F.col("end_ms") <= F.col("start_ms"),
-            F.lit("End time must be after start time"),
-            {"start_ms": F.col("start_ms"), "end_ms": F.col("end_ms")}),
-    }
-
+class SegmentRules:
+    """The rules on single segments as expressions over (idx, start_ms, end_ms, text).
 
-LINE_RULES = ("line_too_long", "line_long")
-_LINE_RULE_NO = 9
+    Rows only carry which rule broke on which line; severity, message and details are worked out
+    from that afterwards, so whatever a caller does not read is never computed.
+    """
 
-
-def _issue(name, severity, rule_no, line_no, message, details) -> Column:
-    return F.struct(
-        F.lit(name).alias("issue_type"), F.lit(severity).alias("severity"),
-        message.alias("message"), details.alias("details"),
-        F.lit(rule_no).alias("rule_no"), line_no.cast("int").alias("line_no"),
+    # name -> place in the report (both line rules share one, their lines order them).
+    ORDER = {
+        "duration_too_short": 1, "duration_short": 2, "duration_too_long": 3, "duration_long": 4,
+        "cps_too_high": 5, "cps_high": 6, "empty_text": 7, "too_many_lines": 8,
+        "line_too_long": 9, "line_long": 9, "negative_start": 10, "invalid_timing": 11,
+    }
+    LINE_RULES = ("line_too_long", "line_long")
+    ERRORS = (
+        "duration_too_short", "duration_too_long", "cps_too_high", "empty_text",
+        "negative_start", "invalid_timing",
     )
-
-
-def _line_issues(limits: dict[str, Column], strict: bool, wanted: set[str]) -> Column:
-    """Array with one entry (or null) per line of the text."""
-
-    def check(line: Column, i: Column) -> Column:
-        size = F.length(line)
-        number = i + 1
+    ERRORS_IF_STRICT = ("too_many_lines", "line_too_long")
+
+    def __init__(self, limits: dict[str, Column] | None = None, strict: bool = False):
+        self.limits = {**default_thresholds(), **(limits or {})}
+        self.errors = set(self.ERRORS) | (set(self.ERRORS_IF_STRICT) if strict else set())
+        self.names = list(self.ORDER)
+
+    def conditions(self) -> dict[str, Column]:
+        """Condition of each rule on whole segments."""
+        length, speed = duration_ms(), cps()
+        too_short = length < K.MIN_SEGMENT_MS
+        too_long = length > K.MAX_SEGMENT_MS
+        too_fast = speed > F.lit(K.HARD_MAX_CPS)
+        return {
+            "duration_too_short": too_short,
+            "duration_short": ~too_short & (length < self.limits["min_duration_ms"]),
+            "duration_too_long": too_long,
+            "duration_long": ~too_long & (length > self.limits["max_duration_ms"]),
+            "cps_too_high": too_fast,
+            "cps_high": ~too_fast & (speed > self.limits["max_cps"]),
+            "empty_text": strip(F.col("text")) == "",
+            "too_many_lines": self.line_count() > K.MAX_LINES,
+            "negative_start": F.col("start_ms") < 0,
+            "invalid_timing": F.col("end_ms") <= F.col("start_ms"),
+        }
+
+    def line_count(self) -> Column:
+        return F.size(F.split("text", "\n", -1))
+
+    def line_condition(self, name: str, size: Column) -> Column:
         over = size > K.MAX_LINE_CHARS
-        details = _details(line_number=number, line_length=size)
-
-        def build(name: str, severity: str, bound: Column | str) -> Column:
-            word = "max" if name == "line_too_long" else "target"
-            message = _text("Line ", number, " has ", size, f" characters ({word}: ", bound, ")")
-            return _issue(name, severity, _LINE_RULE_NO, number, message, details)
-
+        return over if name == "line_too_long" else ~over & (size > self.limits["line_wrap"])
+
+    def broken(self, wanted: set[str]) -> Column:
+        """array<struct<rule, line>> of the broken rules; `line` is 0 for whole segments."""
+
+        def hit(name: str, line: Column) -> Column:
+            return F.struct(
+                F.lit(self.names.index(name)).alias("rule"), line.cast("int").alias("line")
+            )
+
+        arrays = []
+        whole = [
+            F.when(condition, hit(name, F.lit(0)))
+            for name, condition in self.conditions().items() if name in wanted
+        ]
+        if whole:
+            arrays.append(F.filter(F.array(*whole), lambda h: h.isNotNull()))
+
+        def check(line: Column, i: Column) -> Column:
+            out = None
+            for name in self.LINE_RULES:
+                if name in wanted:
+                    test = self.line_condition(name, F.length(line))
+                    out = (F.when if out is None else out.when)(test, hit(name, i + 1))
+            return out
+
+        if wanted & set(self.LINE_RULES):
+            lines = F.transform(F.split("text", "\n", -1), check)
+            arrays.append(F.filter(lines, lambda h: h.isNotNull()))
+        return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
+
+    def tally(self, errors: bool) -> Column:
+        """Number of broken rules that are errors (or warnings) in one segment."""
+        total = F.lit(0)
+        for name, condition in self.conditions().items():
+            if (name in self.errors) == errors:
+                total = total + condition.cast("int")
+        counted = [n for n in self.LINE_RULES if (n in self.errors) == errors]
+        if not counted:
+            return total
+
+        def breaks_one(line: Column) -> Column:
+            tests = [self.line_condition(n, F.length(line)) for n in counted]
+            return tests[0] if len(tests) == 1 else tests[0] | tests[1]
+
+        # The two line rules exclude each other, so a line counts once.
+        return total + F.size(F.filter(F.split("text", "\n", -1), breaks_one))
+
+    def _pick(self, rule: Column, values: dict[str, Column]) -> Column:
         out = None
-        if "line_too_long" in wanted:
-            hit = build("line_too_long", "error" if strict else "warning", str(K.MAX_LINE_CHARS))
-            out = F.when(over, hit)
-        if "line_long" in wanted:
-            soft = ~over & (size > limits["line_wrap"])
-            hit = build("line_long", "warning", limits["line_wrap"])
-            out = F.when(soft, hit) if out is None else out.when(soft, hit)
+        for name, value in values.items():
+            test = rule == self.names.index(name)
+            out = (F.when if out is None else out.when)(test, value)
         return out
 
-    return F.filter(
-        F.transform(F.split("text", "\n", -1), check), lambda issue: issue.isNotNull()
-    )
+    def severity(self, rule: Column) -> Column:
+        errors = [self.names.index(n) for n in self.names if n in self.errors]
+        return F.when(rule.isin(errors), F.lit("error")).otherwise(F.lit("warning"))
+
+    def _line_size(self, line: Column) -> Column:
+        return F.length(F.get(F.split("text", "\n", -1), line - 1))
+
+    def message(self, rule: Column, line: Column) -> Column:
+        length, limits = duration_ms(), self.limits
+        shown = one_decimal(F.length("text"), F.when(length > 0, length))
+        size = self._line_size(line)
+
+        def span(verb: str, bound: Column | str) -> Column:
+            return _text("Segment duration (", length, f"ms) {verb} (", bound, "ms)")
+
+        return self._pick(rule, {
+            "duration_too_short": span("is below minimum", str(K.MIN_SEGMENT_MS)),
+            "duration_short": span("is below recommended", limits["min_duration_ms"]),
+            "duration_too_long": span("exceeds maximum", str(K.MAX_SEGMENT_MS)),
+            "duration_long": span("exceeds recommended", limits["max_duration_ms"]),
+            "cps_too_high": _text("CPS (", shown, f") exceeds maximum ({K.HARD_MAX_CPS})"),
+            "cps_high": _text("CPS (", shown, ") exceeds target (", limits["max_cps"], ")"),
+            "empty_text": F.lit("Segment has empty text"),
+            "too_many_lines": _text(
+                "Segment has ", self.line_count(), f" lines (max: {K.MAX_LINES})"),
+            "line_too_long": _text(
+                "Line ", line, " has ", size, f" characters (max: {K.MAX_LINE_CHARS})"),
+            "line_long": _text(
+                "Line ", line, " has ", size, " characters (target: ", limits["line_wrap"], ")"),
+            "negative_start": F.lit("Segment has negative start time"),
+            "invalid_timing": F.lit("End time must be after start time"),
+        })
+
+    def details(self, rule: Column, line: Column) -> Column:
+        length = _details(duration_ms=duration_ms())
+        speed = _details(cps=cps())
+        lines = _details(line_number=line, line_length=self._line_size(line))
+        return self._pick(rule, {
+            "duration_too_short": length, "duration_short": length,
+            "duration_too_long": length, "duration_long": length,
+            "cps_too_high": speed, "cps_high": speed,
+            "empty_text": _details(),
+            "too_many_lines": _details(line_count=self.line_count()),
+            "line_too_long": lines, "line_long": lines,
+            "negative_start": _details(start_ms=F.col("start_ms")),
+            "invalid_timing": _details(start_ms=F.col("start_ms"), end_ms=F.col("end_ms")),
+        })
 
 
 def segment_issues(
@@ -144,27 +210,35 @@ def segment_issues(
     strict: bool = False,
 ) -> DataFrame:
     """One row per broken rule. `limits` may name columns, for thresholds per document."""
-    limits = {**default_thresholds(), **(limits or {})}
-    rules = _segment_rules(limits, strict)
-    wanted = set(names) if names is not None else {*rules, *LINE_RULES}
-    found = []
-    for name, (number, severity, condition, message, details) in rules.items():
-        if name in wanted:
-            hit = _issue(name, severity, number, F.lit(0), message, _details(**details))
-            found.append(F.when(condition, hit))
-    arrays = []
-    if found:
-        arrays.append(F.filter(F.array(*found), lambda issue: issue.isNotNull()))
-    if wanted & set(LINE_RULES):
-        arrays.append(_line_issues(limits, strict, wanted))
-    issues = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-    return (
-        segments.select("doc_id", "pos", F.col("idx").alias("segment_idx"), F.inline(issues))
-        .withColumn("phase", F.lit(1))
-        .select(*ISSUE_COLUMNS)
+    rules = SegmentRules(limits, strict)
+    wanted = set(names) if names is not None else set(rules.names)
+    rule, line = F.col("rule"), F.col("line")
+    places = F.array(*[F.lit(n) for n in rules.ORDER.values()])
+    titles = F.array(*[F.lit(n) for n in rules.names])
+    return segments.select("*", F.inline(rules.broken(wanted))).select(
+        "doc_id", F.col("idx").alias("segment_idx"), F.get(titles, rule).alias("issue_type"),
+        rules.severity(rule).alias("severity"), rules.message(rule, line).alias("message"),
+        rules.details(rule, line).alias("details"), F.lit(1).alias("phase"), "pos",
+        F.get(places, rule).alias("rule_no"), line.alias("line_no"),
     )
 
 
+def _issue(name, severity, rule_no, message, details) -> Column:
+    return F.struct(
+        F.lit(name).alias("issue_type"), F.lit(severity).alias("severity"),
+        message.alias("message"), details.alias("details"),
+        F.lit(rule_no).alias("rule_no"), F.lit(0).alias("line_no"),
+    )
+
+
+def out_of_order() -> Column:
+    return F.col("start_ms") < F.col("prev_start_ms")
+
+
+def large_gap() -> Column:
+    return F.col("start_ms") - F.col("prev_end_ms") > K.GAP_MS
+
+
 def order_issues(segments: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """Starts before the previous segment, and gaps over ten seconds."""
     wanted = set(names) if names is not None else {"out_of_order", "large_gap"}
@@ -176,9 +250,9 @@ def order_issues(segments: DataFrame, names: Iterable[str] | None = None) -> Dat
     found = []
     if "out_of_order" in wanted:
         found.append(F.when(
-            F.col("start_ms") < F.col("prev_start_ms"),
+            out_of_order(),
             _issue(
-                "out_of_order", "error", 1, F.lit(0),
+                "out_of_order", "error", 1,
                 _text("Segment ", F.col("idx"), " starts before segment ", F.col("prev_idx")),
                 _details(
                     current_start=F.col("start_ms"), previous_start=F.col("prev_start_ms")),
@@ -186,9 +260,9 @@ def order_issues(segments: DataFrame, names: Iterable[str] | None = None) -> Dat
         ))
     if "large_gap" in wanted:
         found.append(F.when(
-            gap > K.GAP_MS,
+            large_gap(),
             _issue(
-                "large_gap", "warning", 2, F.lit(0),
+                "large_gap", "warning", 2,
                 _text("Large gap (", gap, "ms) between segments ", F.col("prev_idx"),
                       " and ", F.col("idx")),
                 _details(gap_ms=gap),

@@ -10,19 +10,24 @@ from cueflow.operators.intervals import overlap_counts
 from cueflow.operators.rules import cps, duration_ms
 
 
-def segment_stats(segments: DataFrame) -> DataFrame:
-    """Per document: counts, durations, reading speed and length. Partially aggregated, no sort."""
-    timed_cps = F.when(duration_ms() > 0, cps())
-    return segments.groupBy("doc_id").agg(
+def segment_measures(chars: Column, speed: Column) -> list[Column]:
+    """Aggregates over the segments of a document: counts, durations, reading speed, length."""
+    timed_speed = F.when(duration_ms() > 0, speed)
+    return [
         F.count("*").alias("segment_count"),
         F.max_by("end_ms", "pos").alias("total_duration_ms"),
         (F.sum(duration_ms()) / F.count("*")).alias("avg_duration_ms"),
         F.min(duration_ms()).alias("min_duration_ms"),
         F.max(duration_ms()).alias("max_duration_ms"),
-        F.coalesce(F.avg(timed_cps), F.lit(0.0)).alias("avg_cps"),
-        F.coalesce(F.max(timed_cps), F.lit(0.0)).alias("max_cps"),
-        F.sum(F.length("text")).alias("total_characters"),
-    )
+        F.coalesce(F.avg(timed_speed), F.lit(0.0)).alias("avg_cps"),
+        F.coalesce(F.max(timed_speed), F.lit(0.0)).alias("max_cps"),
+        F.sum(chars).alias("total_characters"),
+    ]
+
+
+def segment_stats(segments: DataFrame) -> DataFrame:
+    """The measures per document. Partially aggregated before the shuffle, no sort."""
+    return segments.groupBy("doc_id").agg(*segment_measures(F.length("text"), cps()))
 
 
 def document_stats(segments: DataFrame, docs: DataFrame | None = None) -> DataFrame:

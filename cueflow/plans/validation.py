@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueflow import constants as K
+from cueflow.functions.ordered import with_previous
 from cueflow.operators import intervals, rules, stats
 
 
@@ -30,19 +31,33 @@ def validation_report(
 ) -> DataFrame:
     """Statistics and verdict per document.
 
-    The verdict needs counts only: segment rules are counted while the statistics are aggregated,
-    order issues from one neighbour pass, overlaps from the pair-free count.
+    The verdict needs counts only, so no issue row is ever made: each segment's broken rules are
+    counted where it is read, its text is dropped, one neighbour pass adds the order faults while
+    everything is summed up, and overlaps come from the pair-free count.
     """
-    counts = stats.issue_counts(
-        rules.segment_issues(segments, strict=strict).unionByName(rules.order_issues(segments))
-    ).select("doc_id", "errors", "warnings")
-    report = stats.document_stats(segments).join(counts, "doc_id", "left")
+    checks = rules.SegmentRules(strict=strict)
+    measured = segments.select(
+        "doc_id", "pos", "start_ms", "end_ms", F.length("text").alias("chars"),
+        rules.cps().alias("cps"), checks.tally(errors=True).alias("rule_errors"),
+        checks.tally(errors=False).alias("rule_warnings"),
+    )
+    linked = with_previous(measured, ["doc_id"], "pos", ["start_ms", "end_ms"])
+    counts = linked.groupBy("doc_id").agg(
+        *stats.segment_measures(F.col("chars"), F.col("cps")),
+        (F.sum("rule_errors") + F.count_if(rules.out_of_order())).alias("errors"),
+        (F.sum("rule_warnings") + F.count_if(rules.large_gap())).alias("warnings"),
+    )
+    report = counts.join(intervals.overlap_counts(segments), "doc_id", "left")
     if docs is not None:
         report = docs.select("doc_id").join(report, "doc_id", "left")
     report = report.fillna(
         0, ["segment_count", "total_duration_ms", "avg_duration_ms", "avg_cps", "max_cps",
             "errors", "warnings"],
     )
+    report = report.withColumn(
+        "overlap_count",
+        F.when(F.col("segment_count") > 0, F.coalesce("overlap_count", F.lit(0))),
+    )
     empty = F.col("segment_count") == 0
     errors = F.col("errors") + F.coalesce("overlap_count", F.lit(0)) + empty.cast("long")
     return report.withColumn("errors", errors).withColumn("valid", F.col("errors") == 0)
