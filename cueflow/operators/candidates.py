@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cueflow import constants as K
+from cueflow.functions.skew import join_spread
 
 # Ships the helper functions below with the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -176,7 +177,7 @@ def context_neighbours(
         "doc_id", F.floor(F.col("pos") / block).cast("long").alias("block"), "pos", "vector"
     )
     last = blocks.groupBy("doc_id").agg(F.max("block").alias("last"))
-    sized = blocks.join(last, "doc_id")
+    sized = join_spread(blocks, last, ["doc_id"], "inner", by=["block"])
     every = F.sequence(F.lit(0).cast("long"), F.col("last"))
     names = ["doc_id", "block", "other", "pos", "vector"]
     left = sized.select("doc_id", "block", F.explode(every), "pos", "vector").toDF(*names)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cueflow import constants as K
+from cueflow.functions.skew import join_spread
 from cueflow.functions.text import strip, words
 
 # Ships the helper functions below with the job, so executors need no copy of the package.
@@ -54,9 +55,8 @@ def aligned_segments(left: DataFrame, right: DataFrame) -> DataFrame:
     pairs = left.select("doc_id", "pos", F.col("text").alias("left_text")).join(
         right.select("doc_id", "pos", F.col("text").alias("right_text")), ["doc_id", "pos"]
     )
-    return pairs.join(
-        misaligned_documents(left, right).select("doc_id"), "doc_id", "left_anti"
-    )
+    misaligned = misaligned_documents(left, right).select("doc_id")
+    return join_spread(pairs, misaligned, ["doc_id"], "left_anti", by=["pos"])
 
 
 def word_spans(left: list[str], right: list[str], tags: set[str]) -> list[tuple[str, str, str]]:

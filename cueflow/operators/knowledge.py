@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from cueflow import constants as K
 from cueflow.functions.ordered import number_in_order
+from cueflow.functions.skew import join_spread
 
 KEY = ["wrong_term", "correct_term", "topic", "industry", "country"]
 
@@ -202,7 +203,8 @@ def best_corrections(kb: DataFrame, lookups: DataFrame) -> DataFrame:
 def best_for_documents(kb: DataFrame, lookups: DataFrame) -> DataFrame:
     """`best_corrections` attached to lookups (doc_id, term, context); null where none is known."""
     context = ["term", "topic", "industry", "country"]
-    return lookups.join(best_corrections(kb, lookups), context, "left")
+    best = best_corrections(kb, lookups)
+    return join_spread(lookups, best, context, "left", by=["doc_id"])
 
 
 def builtin_rules(spark: SparkSession) -> DataFrame:

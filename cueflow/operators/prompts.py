@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow import constants as K
+from cueflow.functions.skew import join_spread
 from cueflow.operators.knowledge import entry_lines, top_entries
 from cueflow.operators.proposals import chunk_number
 
@@ -86,4 +87,4 @@ def prompt_requests(segments: DataFrame, manifests: DataFrame, kb: DataFrame) ->
         "doc_id", "manifest_text", "preserved_terms",
         F.coalesce("kb_lines", F.lit("")).alias("kb_lines"),
     )
-    return chunk_lines(segments).join(documents, "doc_id")
+    return join_spread(chunk_lines(segments), documents, ["doc_id"], "inner", by=["chunk_no"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cueflow import constants as K
+from cueflow.functions.skew import join_spread
 
 
 def confidence_band(confidence: Column) -> Column:
@@ -45,7 +46,10 @@ def best_tenant_corrections(corrections: DataFrame, lookups: DataFrame) -> DataF
     best = corrections.groupBy("tenant_id", "original_text").agg(
         F.min_by(F.struct("id", "corrected_text", "confidence"), place).alias("best")
     )
-    return lookups.join(best, ["tenant_id", "original_text"], "left").select(
+    joined = join_spread(
+        lookups, best, ["tenant_id", "original_text"], "left", by=lookups.columns
+    )
+    return joined.select(
         *lookups.columns, F.col("best.id").alias("id"),
         F.col("best.corrected_text").alias("corrected_text"),
         F.col("best.confidence").alias("confidence"),

@@ -256,8 +256,7 @@ def x01_arriving_files(spark, folder):
 def x02_arriving_corrections(spark, folder):
     """Events streamed as approved pairs and folded into KB versions."""
     schema = A.table(spark, folder, "events").schema
-    arrived = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(
-        folder)
+    arrived = spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/events.parquet*")
     general = F.lit("general")
     pairs = arrived.select(
         F.col("event_type").alias("wrong_term"), F.col("props").alias("correct_term"),
@@ -286,8 +285,7 @@ GROUP BY ALL""")
 def x03_outcome_windows(spark, folder):
     """Line items streamed as the log of applied corrections; closed windows only."""
     schema = A.table(spark, folder, "lineitem").schema
-    items = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet*").parquet(
-        folder)
+    items = spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/lineitem.parquet*")
     log = items.select(
         F.col("l_suppkey").cast("string").alias("tenant_id"),
         F.col("l_partkey").alias("correction_id"),
