@@ -32,6 +32,27 @@ TOP_CHANGES = 50
 PRESERVED_SHOWN = 5
 LEARN_MAX_WORDS = 5
 
+# Issue messages.
+MESSAGES = {
+    "duration_too_short": "Segment duration ({duration}ms) is below minimum ({bound}ms)",
+    "duration_short": "Segment duration ({duration}ms) is below recommended ({bound}ms)",
+    "duration_too_long": "Segment duration ({duration}ms) exceeds maximum ({bound}ms)",
+    "duration_long": "Segment duration ({duration}ms) exceeds recommended ({bound}ms)",
+    "cps_too_high": "CPS ({cps}) exceeds maximum ({bound})",
+    "cps_high": "CPS ({cps}) exceeds target ({bound})",
+    "empty_text": "Segment has empty text",
+    "too_many_lines": "Segment has {lines} lines (max: {bound})",
+    "line_too_long": "Line {line} has {size} characters (max: {bound})",
+    "line_long": "Line {line} has {size} characters (target: {bound})",
+    "negative_start": "Segment has negative start time",
+    "invalid_timing": "End time must be after start time",
+    "overlap": "Segment {first} overlaps with segment {second}",
+    "out_of_order": "Segment {current} starts before segment {previous}",
+    "large_gap": "Large gap ({gap}ms) between segments {previous} and {current}",
+    "empty_document": "Document contains no segments",
+    "parse_error": "Failed to parse subtitles: Unsupported format: {name}",
+}
+
 # Recommended thresholds and the presets that override them.
 DEFAULT_SETTINGS = {
     "min_duration_ms": 1500,

@@ -7,6 +7,7 @@ builds only those.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,16 @@ def default_thresholds() -> dict[str, Column]:
     return {n: F.lit(K.DEFAULT_SETTINGS[n]) for n in names}
 
 
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+def issue_message(issue_type: str, **values: Column | str) -> Column:
+    """The message of an issue with its placeholders filled."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(K.MESSAGES[issue_type]):
+        if literal:
+            parts.append(F.lit(literal))
+        if name:
+            value = values[name]
+            parts.append(F.lit(value) if isinstance(value, str) else value.cast("string"))
+    return F.concat(*parts)
 
 
 def _details(**values: Column) -> Column:
@@ -163,28 +172,19 @@ class SegmentRules:
 
     def message(self, rule: Column, line: Column) -> Column:
         length, limits = duration_ms(), self.limits
-        shown = one_decimal(F.length("text"), F.when(length > 0, length))
-        size = self._line_size(line)
-
-        def span(verb: str, bound: Column | str) -> Column:
-            return _text("Segment duration (", length, f"ms) {verb} (", bound, "ms)")
-
+        values = {
+            "duration": length, "cps": one_decimal(F.length("text"), F.when(length > 0, length)),
+            "lines": self.line_count(), "line": line, "size": self._line_size(line),
+        }
+        bounds = {
+            "duration_too_short": str(K.MIN_SEGMENT_MS), "duration_short": limits["min_duration_ms"],
+            "duration_too_long": str(K.MAX_SEGMENT_MS), "duration_long": limits["max_duration_ms"],
+            "cps_too_high": str(K.HARD_MAX_CPS), "cps_high": limits["max_cps"],
+            "too_many_lines": str(K.MAX_LINES), "line_too_long": str(K.MAX_LINE_CHARS),
+            "line_long": limits["line_wrap"],
+        }
         return self._pick(rule, {
-            "duration_too_short": span("is below minimum", str(K.MIN_SEGMENT_MS)),
-            "duration_short": span("is below recommended", limits["min_duration_ms"]),
-            "duration_too_long": span("exceeds maximum", str(K.MAX_SEGMENT_MS)),
-            "duration_long": span("exceeds recommended", limits["max_duration_ms"]),
-            "cps_too_high": _text("CPS (", shown, f") exceeds maximum ({K.HARD_MAX_CPS})"),
-            "cps_high": _text("CPS (", shown, ") exceeds target (", limits["max_cps"], ")"),
-            "empty_text": F.lit("Segment has empty text"),
-            "too_many_lines": _text(
-                "Segment has ", self.line_count(), f" lines (max: {K.MAX_LINES})"),
-            "line_too_long": _text(
-                "Line ", line, " has ", size, f" characters (max: {K.MAX_LINE_CHARS})"),
-            "line_long": _text(
-                "Line ", line, " has ", size, " characters (target: ", limits["line_wrap"], ")"),
-            "negative_start": F.lit("Segment has negative start time"),
-            "invalid_timing": F.lit("End time must be after start time"),
+            name: issue_message(name, bound=bounds.get(name, ""), **values) for name in self.names
         })
 
     def details(self, rule: Column, line: Column) -> Column:
@@ -253,7 +253,8 @@ def order_issues(segments: DataFrame, names: Iterable[str] | None = None) -> Dat
             out_of_order(),
             _issue(
                 "out_of_order", "error", 1,
-                _text("Segment ", F.col("idx"), " starts before segment ", F.col("prev_idx")),
+                issue_message(
+                    "out_of_order", current=F.col("idx"), previous=F.col("prev_idx")),
                 _details(
                     current_start=F.col("start_ms"), previous_start=F.col("prev_start_ms")),
             ),
@@ -263,8 +264,8 @@ def order_issues(segments: DataFrame, names: Iterable[str] | None = None) -> Dat
             large_gap(),
             _issue(
                 "large_gap", "warning", 2,
-                _text("Large gap (", gap, "ms) between segments ", F.col("prev_idx"),
-                      " and ", F.col("idx")),
+                issue_message(
+                    "large_gap", gap=gap, previous=F.col("prev_idx"), current=F.col("idx")),
                 _details(gap_ms=gap),
             ),
         ))
@@ -281,10 +282,8 @@ def overlap_issues(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         "doc_id", F.col("pos_i").alias("segment_idx"),
         F.lit("overlap").alias("issue_type"), F.lit("error").alias("severity"),
-        _text("Segment ", F.col("pos_i"), " overlaps with segment ", F.col("pos_j"))
-        .alias("message"),
-        _details(overlapping_segments=_text("[", F.col("pos_i"), ", ", F.col("pos_j"), "]"))
-        .alias("details"),
+        issue_message("overlap", first=F.col("pos_i"), second=F.col("pos_j")).alias("message"),
+        _details(overlapping_segments=F.array("pos_i", "pos_j")).alias("details"),
         F.lit(2).alias("phase"), F.col("pos_i").alias("pos"), F.lit(1).alias("rule_no"),
         F.col("pos_j").cast("int").alias("line_no"),
     )
@@ -302,7 +301,7 @@ def document_issue(docs: DataFrame, issue_type: str, message: Column) -> DataFra
 def empty_document_issues(docs: DataFrame, segments: DataFrame) -> DataFrame:
     """The single issue of documents that have no segment at all."""
     empty = docs.select("doc_id").join(segments.select("doc_id").distinct(), "doc_id", "left_anti")
-    return document_issue(empty, "empty_document", F.lit("Document contains no segments"))
+    return document_issue(empty, "empty_document", issue_message("empty_document"))
 
 
 def ordered_issues(issues: DataFrame) -> DataFrame:

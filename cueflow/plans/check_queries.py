@@ -417,14 +417,16 @@ def d09_preset_rules(spark, folder):
 @query("d10_preview", f"""{with_views('seg_docs')}
 SELECT doc_id, count(*) AS segments, CAST(sum(length(text)) AS BIGINT) AS chars_before,
   CAST(sum(length(replace(replace(replace(replace(text, '...', chr(8230)), '!!', '!'),
-    '??', '?'), '  ', ' '))) AS BIGINT) AS chars_after
+    '??', '?'), '  ', ' '))) AS BIGINT) AS chars_after,
+  round(100.0::DOUBLE * (chars_before - chars_after) / chars_before, 6) AS reduction_percent
 FROM seg WHERE pos < 10 GROUP BY doc_id""")
 def d10_preview(spark, folder):
     from cueflow.operators.cleaning import normalize_punctuation
 
     seg = A.document_segments(spark, folder)
     shown = stats.preview(seg, normalize_punctuation(F.col("text")))
-    return stats.preview_reduction(shown).drop("reduction_percent")
+    reduction = stats.preview_reduction(shown)
+    return reduction.withColumn("reduction_percent", F.round("reduction_percent", 6))
 
 
 @query("d17_drop_empty_clip", f"""{with_views('seg_docs')},

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cueflow import constants as K
 from cueflow.functions.text import words
 from cueflow.operators import cleaning, consistency, diffs, knowledge, prompts, stats
 from cueflow.operators import proposals as P
@@ -537,13 +538,27 @@ def _flagship(spark, folder):
     return correct_segments(seg, turn_proposals(spark, folder), small_kb(spark))
 
 
-@query("d06_filler_counts", None)
+_ONE_WORD = {
+    lang: sorted(p.lower() for p in phrases if " " not in p) for lang, phrases in K.FILLERS.items()
+}
+_IS_FILLER = "CASE lang " + " ".join(
+    f"WHEN '{lang}' THEN w IN ({', '.join(repr(p) for p in phrases)})"
+    for lang, phrases in _ONE_WORD.items()
+) + " ELSE FALSE END"
+
+
+@query("d06_filler_counts", f"""WITH words AS (
+  SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS ws
+  FROM documents),
+each_word AS (SELECT doc_id, lang, unnest(ws) AS w FROM words)
+SELECT doc_id, CAST(count(*) FILTER ({_IS_FILLER}) AS INTEGER) AS fillers
+FROM each_word GROUP BY doc_id""")
 def d06_filler_counts(spark, folder):
     docs = A.documents(spark, folder)
     return docs.select("doc_id", cleaning.filler_counts(F.col("text"), F.col("lang")).alias("fillers"))
 
 
-@query("d06_filler_removal", None)
+@query("d06_filler_removal")
 def d06_filler_removal(spark, folder):
     seg = A.document_segments(spark, folder)
     return seg.withColumn("text", cleaning.remove_fillers(F.col("text"), F.col("lang"))).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cueflow import constants as K
 from cueflow.functions.text import strip
-from cueflow.operators.rules import document_issue
+from cueflow.operators.rules import document_issue, issue_message
 from cueflow.sources.codec import clean_content
 
 
@@ -30,7 +30,7 @@ def write_corpus(docs: DataFrame, path: str) -> None:
     (
         docs.repartition("name")
         .sortWithinPartitions("name", "part_no")
-        .select("name", F.regexp_replace("content", "\n$", "").alias("content"))
+        .select("name", F.regexp_replace("content", r"\n\z", "").alias("content"))
         .write.partitionBy("name")
         .text(path)
     )
@@ -61,10 +61,7 @@ def format_of(name: Column, policy: str = "router") -> Column:
 def parse_failures(docs: DataFrame) -> DataFrame:
     """The issue row of documents (doc_id, name, format) whose format is not known."""
     failed = docs.where(~F.coalesce(F.col("format").isin(*K.FORMATS), F.lit(False)))
-    message = F.concat(
-        F.lit("Failed to parse subtitles: Unsupported format: "), F.col("name")
-    )
-    return document_issue(failed, "parse_error", message)
+    return document_issue(failed, "parse_error", issue_message("parse_error", name=F.col("name")))
 
 
 def decode_base64(docs: DataFrame) -> DataFrame:
