@@ -209,7 +209,10 @@ def correct_chunks(
         "array<struct<order:int,prop_no:int,segment_id:bigint,original:string,corrected:string,"
         "type:string,reason:string>>"
     )
-    chunks = _chunks(segments).join(_chunk_proposals(proposals), ["doc_id", "chunk_no"], "left")
+    # Both sides come grouped by the join key, so a merge join moves nothing.
+    chunks = _chunks(segments).join(
+        _chunk_proposals(proposals).hint("merge"), ["doc_id", "chunk_no"], "left"
+    )
     props = F.coalesce(F.col("props"), F.array().cast(props_type))
     folded = chunks.withColumn("props", props).withColumn(
         "folds", F.transform("cues", lambda cue: _exact_fold(cue, F.col("props")))

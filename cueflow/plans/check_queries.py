@@ -8,6 +8,7 @@ from cueflow import constants as K
 from cueflow.functions.text import strip
 from cueflow.operators import intervals, rules, stats
 from cueflow.plans.registry import query
+from cueflow.session import settle
 from cueflow.sources import adapters as A
 from cueflow.sources.adapters import with_views
 
@@ -32,6 +33,11 @@ SELECT doc_id, idx AS segment_idx, '{name}' AS issue_type, 'warning' AS severity
   CAST(line_no AS INTEGER) AS line_no FROM pieces WHERE {condition}"""
 
 
+def _written(segments):
+    """Segments written once, for jobs that read them several times."""
+    return settle(segments, "segments")
+
+
 def _negative_shift(df):
     """Times moved two weeks back, so that part of them is negative."""
     shift = 14 * 86_400_000
@@ -176,7 +182,9 @@ SELECT a.doc_id, a.pos AS pos_i, b.pos AS pos_j FROM seg a JOIN seg b
   ON a.doc_id = b.doc_id AND a.pos < b.pos
 WHERE NOT (a.end_ms <= b.start_ms OR a.start_ms >= b.end_ms)""")
 def j01_overlaps(spark, folder):
-    return intervals.overlap_pairs(A.event_segments(spark, folder, ms_per_unit=600_000))
+    return intervals.overlap_pairs(
+        _written(A.event_segments(spark, folder, ms_per_unit=600_000))
+    )
 
 
 @query("j01_overlap_issues", f"""{with_views('seg_docs')}
@@ -238,7 +246,7 @@ def _rounded_stats(df):
 
 @query("a01_document_stats", _stats_sql("seg_docs"))
 def a01_document_stats(spark, folder):
-    return _rounded_stats(stats.document_stats(A.document_segments(spark, folder)))
+    return _rounded_stats(stats.document_stats(_written(A.document_segments(spark, folder))))
 
 
 @query("a01_overlap_counts_faulty", f"""{with_views('seg_long')},
@@ -249,7 +257,7 @@ SELECT a.doc_id, count(*) AS overlap_count FROM faulty a JOIN faulty b
   ON a.doc_id = b.doc_id AND a.pos < b.pos
 WHERE NOT (a.end_ms <= b.start_ms OR a.start_ms >= b.end_ms) GROUP BY a.doc_id""")
 def a01_overlap_counts_faulty(spark, folder):
-    seg = A.event_segments(spark, folder, ms_per_unit=600_000)
+    seg = _written(A.event_segments(spark, folder, ms_per_unit=600_000))
     length = F.col("end_ms") - F.col("start_ms")
     faulty = seg.withColumn(
         "end_ms",
@@ -262,7 +270,7 @@ def a01_overlap_counts_faulty(spark, folder):
 
 @query("a01_document_stats_long", _stats_sql("seg_long"))
 def a01_document_stats_long(spark, folder):
-    seg = A.event_segments(spark, folder, ms_per_unit=600_000)
+    seg = _written(A.event_segments(spark, folder, ms_per_unit=600_000))
     return _rounded_stats(stats.document_stats(seg))
 
 
@@ -334,7 +342,7 @@ SELECT * FROM every ORDER BY doc_id, phase, pos, rule_no, line_no""")
 def t04_ordered_issues(spark, folder):
     from cueflow.plans.validation import all_issues
 
-    issues = all_issues(A.event_segments(spark, folder))
+    issues = all_issues(_written(A.event_segments(spark, folder)))
     return rules.ordered_issues(issues).select(
         "doc_id", "segment_idx", "issue_type", "severity", "phase", "pos", "rule_no", "line_no"
     )
@@ -362,7 +370,7 @@ FROM base LEFT JOIN sides USING (doc_id) LEFT JOIN pairs USING (doc_id)""")
 def c09_validation_report(spark, folder):
     from cueflow.plans.validation import validation_report
 
-    report = validation_report(A.event_segments(spark, folder))
+    report = validation_report(_written(A.event_segments(spark, folder)))
     return report.select(
         "doc_id", "segment_count", "total_duration_ms", "total_characters", "errors", "warnings",
         "valid", "overlap_count",

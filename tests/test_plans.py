@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 PYTHON_ALLOWED = {
     "c01", "c02", "c03", "c05", "c06", "c08", "u01", "a04", "a05", "p06", "d15",
 }
-WRITES = {"s01", "x01", "x02", "x03", "c04", "a03", "d12", "c05", "c08"}
+WRITES = {"s01", "x01", "x02", "x03", "c04", "d12"}
 
 
 def plan_of(df) -> str:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cueflow import constants as K
 from cueflow.functions.ordered import number_in_order, running_sum, with_next, with_previous
+from cueflow.functions.skew import join_spread
 from cueflow.functions.text import one_decimal, squash, strip, words
 from cueflow.operators import intervals, rules, stats
 from cueflow.plans import validation
@@ -178,3 +179,12 @@ def test_preview(segments):
     [row] = stats.preview_reduction(shown).collect()
     assert row["segments"] == 10 and row["reduction_percent"] == 50.0
     assert stats.preview(seg, F.col("text"), indices=[2, 12, 40]).count() == 2
+
+
+def test_spread_join_equals_the_plain_join(spark):
+    large = spark.range(3000).selectExpr("if(id % 3 > 0, 'hot', cast(id as string)) k", "id")
+    small = spark.createDataFrame([("hot", 1), ("0", 2), ("999", 3)], "k string, v long")
+    for how in ("inner", "left", "left_anti"):
+        plain = large.join(small, "k", how)
+        spread = join_spread(large, small, ["k"], how, by=["id"])
+        assert sorted(map(str, spread.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
