@@ -20,7 +20,8 @@ def with_previous(
 ) -> DataFrame:
     """Add `prev_<column>`: the value in the row one position earlier, null in the first row.
 
-    The last row of each block is also sent to the next block, so one shuffle is enough.
+    `pos` counts 0, 1, 2, ... without holes (see `dense_position`). The last row of each block is
+    also sent to the next block, so one shuffle is enough.
     """
     home = F.floor(F.col(pos) / block).cast("long")
     targets = F.when(
@@ -35,7 +36,10 @@ def with_previous(
 def with_next(
     df: DataFrame, key: list[str], pos: str, columns: list[str], block: int = BLOCK
 ) -> DataFrame:
-    """Add `next_<column>`: the value in the row one position later, null in the last row."""
+    """Add `next_<column>`: the value in the row one position later, null in the last row.
+
+    `pos` must have no holes, as in `with_previous`.
+    """
     home = F.floor(F.col(pos) / block).cast("long")
     targets = F.when(
         (F.pmod(F.col(pos), F.lit(block)) == 0) & (F.col(pos) > 0), F.array(home, home - 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow import constants as K
+from cueflow.functions.ordered import BLOCK, dense_position
 from cueflow.functions.text import replace_literal, strip
 
 # Fixed pattern: any markup tag.
@@ -62,4 +63,6 @@ def remove_fillers(
 
 
 def drop_empty(segments: DataFrame) -> DataFrame:
-    return segments.where(strip(F.col("text")) != "")
+    """Segments with something to read, their positions counted anew."""
+    kept = segments.where(strip(F.col("text")) != "")
+    return dense_position(kept, ["doc_id"], ["pos"], F.floor(F.col("pos") / BLOCK))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from cueflow import constants as K
 from cueflow.functions.ordered import number_in_order
 from cueflow.functions.skew import join_spread
+from cueflow.session import settle
 
 KEY = ["wrong_term", "correct_term", "topic", "industry", "country"]
 
@@ -33,6 +34,8 @@ def upsert(kb: DataFrame, batch: DataFrame) -> DataFrame:
         F.min_by("tags", "seq").alias("new_tags"),
         F.min("seq").alias("first_seq"),
     )
+    # Read twice below; a batch may come from costly work such as a diff.
+    fresh = settle(fresh, "fresh-entries")
     next_id = kb.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next")).scalar()
     known = kb.join(fresh.select(*KEY, "new_count"), KEY, "left").select(
         "id", *KEY, "tags", "confidence",

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cueflow import constants as K
-from cueflow.functions.text import strip
-from cueflow.operators import intervals, rules, stats
+from cueflow.operators import cleaning, intervals, rules, stats
 from cueflow.plans.registry import query
 from cueflow.session import settle
 from cueflow.sources import adapters as A
@@ -429,22 +428,20 @@ SELECT doc_id, count(*) AS segments, CAST(sum(length(text)) AS BIGINT) AS chars_
   round(100.0::DOUBLE * (chars_before - chars_after) / chars_before, 6) AS reduction_percent
 FROM seg WHERE pos < 10 GROUP BY doc_id""")
 def d10_preview(spark, folder):
-    from cueflow.operators.cleaning import normalize_punctuation
-
     seg = A.document_segments(spark, folder)
-    shown = stats.preview(seg, normalize_punctuation(F.col("text")))
+    shown = stats.preview(seg, cleaning.normalize_punctuation(F.col("text")))
     reduction = stats.preview_reduction(shown)
     return reduction.withColumn("reduction_percent", F.round("reduction_percent", 6))
 
 
 @query("d17_drop_empty_clip", f"""{with_views('seg_docs')},
 linked AS (SELECT *, lead(start_ms) OVER (PARTITION BY doc_id ORDER BY pos) AS next_start FROM seg)
-SELECT doc_id, pos, start_ms,
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, start_ms,
   CASE WHEN next_start > start_ms AND next_start < end_ms THEN next_start ELSE end_ms END AS end_ms
-FROM linked WHERE trim(text) <> ''""")
+FROM linked WHERE trim(text) <> '' AND pos % 7 <> 3""")
 def d17_drop_empty_clip(spark, folder):
-    clipped = intervals.clip_overlaps(A.document_segments(spark, folder))
-    return clipped.where(strip(F.col("text")) != "").select("doc_id", "pos", "start_ms", "end_ms")
+    clipped = intervals.clip_overlaps(_blanked(spark, folder))
+    return cleaning.drop_empty(clipped).select("doc_id", "pos", "start_ms", "end_ms")
 
 
 @query("d19_run_report", f"""{with_views('seg_docs')}
@@ -453,8 +450,6 @@ SELECT doc_id, count(*) AS segments_processed,
     '??', '?'), '  ', ' ')) AS segments_modified
 FROM seg GROUP BY doc_id""")
 def d19_run_report(spark, folder):
-    from cueflow.operators.cleaning import normalize_punctuation
-
     seg = A.document_segments(spark, folder)
-    after = seg.withColumn("text", normalize_punctuation(F.col("text")))
+    after = seg.withColumn("text", cleaning.normalize_punctuation(F.col("text")))
     return stats.run_report(seg, after)

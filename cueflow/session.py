@@ -26,12 +26,13 @@ def build_session(name: str = "cueflow", **extra: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`, or a local one where unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    if configured:
+        return configured
+    current = spark.sparkContext.getCheckpointDir()
+    if current is None:
+        current = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(current)
+    return current
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

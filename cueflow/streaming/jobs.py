@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cueflow.operators import knowledge
 from cueflow.operators.rules import segment_issues
+from cueflow.session import settle
 from cueflow.sources import codec, files
 
 LOG_SCHEMA = (
@@ -58,7 +59,9 @@ def report_per_batch(
     from cueflow.plans.validation import validation_report
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        validation_report(batch).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        # The report reads the segments several times, the files are read once.
+        segments = settle(batch, "arrived")
+        validation_report(segments).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     query = (
         arriving_segments(spark, path, policy)

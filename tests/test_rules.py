@@ -7,6 +7,7 @@ from cueflow.functions.ordered import number_in_order, running_sum, with_next, w
 from cueflow.functions.skew import join_spread
 from cueflow.functions.text import one_decimal, squash, strip, words
 from cueflow.operators import intervals, rules, stats
+from cueflow.operators.cleaning import drop_empty
 from cueflow.plans import validation
 
 
@@ -188,3 +189,10 @@ def test_spread_join_equals_the_plain_join(spark):
         plain = large.join(small, "k", how)
         spread = join_spread(large, small, ["k"], how, by=["id"])
         assert sorted(map(str, spread.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_dropping_empty_segments_recounts_positions(segments):
+    seg = segments([("a", i + 1, i, i + 1, " \n" if i % 3 == 0 else "x") for i in range(9000)])
+    kept = drop_empty(seg).orderBy("pos").collect()
+    assert [r["pos"] for r in kept] == list(range(6000))
+    assert [r["idx"] for r in kept] == [i + 1 for i in range(9000) if i % 3]
