@@ -24,15 +24,19 @@ def build_session(name: str = "cueflow", **extra: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or a local one where unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach: `spark.checkpoint.dir` of the session.
+
+    Only a local session, whose executor is the driver itself, may leave it unset; it then gets a
+    temporary folder. Anywhere else a missing setting is an error, since executors could not see
+    each other's files.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
