@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cueflow.llm.exact_dedup import exact_groups
 from cueflow.llm.registry import query, table
+from cueflow.llm.url_rules import judge_urls
 
 OP1_SQL = """
 WITH t AS (
@@ -24,3 +25,42 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn(
         "text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
     return exact_groups(docs, carry=("text_sha256",)).drop("full_hash")
+
+
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+OP8_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://')
+    THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), hosted AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut
+), parsed AS (
+  SELECT page_id,
+    translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM hosted
+), rules(rule_host, rule_path, ruling) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), best AS (
+  SELECT page_id,
+    max_by(struct_pack(rule := rule_host || rule_path, ruling := ruling),
+           length(rule_host || rule_path)) AS b
+  FROM parsed JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.ruling, 'allow') AS verdict
+FROM parsed LEFT JOIN best USING (page_id)
+"""
+
+
+@query("op8_url_rules", OP8_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
