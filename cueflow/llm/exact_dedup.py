@@ -1,9 +1,10 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
-Three passes, none of which moves a text. The first two shuffle numbers only: texts whose byte
-length occurs once are done, then those whose (length, hash of the first characters) occurs once.
-The surviving groups go into a bitmap of fixed size that every scan task gets; the last pass hashes
-the full content of texts whose bit is set. A bit set by chance costs one hash and changes nothing.
+Three passes, none of which moves a text. The first two shuffle counts only: texts whose byte length
+occurs once are done, then those whose (length, hash of the first characters) occurs once. After
+each pass the surviving groups go into a bitmap of fixed size that every scan task gets, so the last
+pass hashes the full content of surviving texts only. A bit set by chance costs one hash and changes
+nothing, and a length or text that a third of the rows share is one row of each task's counts.
 
 Null text counts as empty. Rows with a null id take part; the largest non-null id of a group is its
 `keep_id`. Of rows repeated with the same id and text one is `kept`.
@@ -25,16 +26,6 @@ def _bit(*cols: F.Column) -> F.Column:
     return F.pmod(F.xxhash64(*cols), F.lit(BITMAP_BITS))
 
 
-def surviving_groups(keys: DataFrame) -> DataFrame:
-    """(length, prefix) that occur more than once among the lengths that do."""
-    lengths = keys.groupBy("length").agg(F.count("*").alias("n")).filter("n > 1").select("length")
-    return (
-        keys.join(lengths, "length", "left_semi")
-        .groupBy("length", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
-        .select("length", "prefix")
-    )
-
-
 def bitmap_of(groups: DataFrame, *cols: str) -> DataFrame:
     """`groups` as bitmap buckets of 4 KB: at most BITMAP_BITS / 32768 rows."""
     bit = _bit(*cols)
@@ -48,6 +39,26 @@ def _is_set(bits: F.Column, position: F.Column) -> F.Column:
                       F.lit(False))
 
 
+def repeated(rows: DataFrame, *cols: str) -> DataFrame:
+    """Values of `cols` that occur more than once; rows are combined before they are shuffled."""
+    return rows.groupBy(*cols).agg(F.count("*").alias("n")).filter("n > 1").select(*cols)
+
+
+def mark_groups(rows: DataFrame, groups: DataFrame, *cols: str) -> DataFrame:
+    """`rows` with `survives`: true for every row of `groups`, by chance for a few others."""
+    bit = _bit(*cols)
+    return (
+        rows.withColumn("bucket", F.bitmap_bucket_number(bit))
+        .join(F.broadcast(bitmap_of(groups, *cols)), "bucket", "left")
+        .withColumn("survives", _is_set(F.col("bits"), F.bitmap_bit_position(bit)))
+        .drop("bucket", "bits")
+    )
+
+
+def survivors(rows: DataFrame, *cols: str) -> DataFrame:
+    return mark_groups(rows, repeated(rows, *cols), *cols).filter("survives").drop("survives")
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -61,18 +72,10 @@ def exact_groups(
         F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix"),
         *(F.col(c).alias(f"__carry_{c}") for c in carry),
     )
-    groups = surviving_groups(rows.select("length", "prefix"))
-    bitmap = bitmap_of(groups, "length", "prefix")
-    bit = _bit("length", "prefix")
-    hashed = (
-        rows.withColumn("bucket", F.bitmap_bucket_number(bit))
-        .withColumn("position", F.bitmap_bit_position(bit))
-        .join(F.broadcast(bitmap), "bucket", "left")
-        .select(
-            "__id", *(f"__carry_{c}" for c in carry),
-            F.when(_is_set(F.col("bits"), F.col("position")), F.sha2("__text", 256)).alias("hash"),
-        )
-    )
+    by_length = survivors(rows, "length").select("length", "prefix")
+    hashed = mark_groups(rows, repeated(by_length, "length", "prefix"), "length", "prefix").select(
+        "__id", *(f"__carry_{c}" for c in carry),
+        F.when(F.col("survives"), F.sha2("__text", 256)).alias("hash"))
     narrow = settle(hashed.withColumn("row", F.monotonically_increasing_id()), "exact")
     # a hash that the settled rows miss must not become one hot join key
     key = F.coalesce("hash", F.concat(F.lit("row "), F.col("row")))
