@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueflow.llm import byte_bpe
 from cueflow.llm.exact_dedup import exact_groups
 from cueflow.llm.registry import query, table
 from cueflow.llm.url_rules import judge_urls
@@ -27,6 +29,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(docs, carry=("text_sha256",)).drop("full_hash")
 
 
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.encode(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN, digest=True,
+    ).withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
