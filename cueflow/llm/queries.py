@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cueflow.llm import byte_bpe
 from cueflow.llm.exact_dedup import exact_groups
+from cueflow.llm.packing import pack
 from cueflow.llm.registry import query, table
 from cueflow.llm.url_rules import judge_urls
 
@@ -74,3 +75,10 @@ FROM parsed LEFT JOIN best USING (page_id)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN, with_ids=False)
