@@ -80,10 +80,11 @@ def exact_groups(
     # a hash that the settled rows miss must not become one hot join key
     key = F.coalesce("hash", F.concat(F.lit("row "), F.col("row")))
     last = F.max(F.struct("__id", "row"))
-    classes = (
+    # written out, so that Spark can split the rows of a hot group in the join
+    classes = settle(
         narrow.filter("hash is not null").groupBy(key.alias("key"))
-        .agg(F.count("*").alias("size"), last.alias("last"))
-    )
+        .agg(F.count("*").alias("size"), last.alias("last")),
+        "exact-classes")
     out = narrow.withColumn("key", key).join(classes, "key", "left")
     return out.select(
         F.col("__id").alias(id_col),

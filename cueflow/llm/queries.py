@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueflow.llm import byte_bpe
+from cueflow.llm import byte_bpe, language_id
 from cueflow.llm.exact_dedup import exact_groups
 from cueflow.llm.packing import pack
 from cueflow.llm.registry import query, table
@@ -38,6 +38,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+def remainder(id_col: str, divisor: int) -> F.Column:
+    """crc32 of the id as text, modulo `divisor`; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(divisor))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    model = language_id.train(docs.filter(~F.col("held_out")))
+    return language_id.identify(docs, model, keep=["doc_id", "held_out"])
+
+
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
