@@ -10,6 +10,7 @@ from cueflow.llm import byte_bpe, language_id
 from cueflow.llm.exact_dedup import exact_groups
 from cueflow.llm.packing import pack
 from cueflow.llm.registry import query, table
+from cueflow.llm.simhash import near_groups
 from cueflow.llm.url_rules import judge_urls
 
 OP1_SQL = """
@@ -94,3 +95,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return pack(
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.PATTERN, with_ids=False)
+
+
+@query("op10_simhash_near_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(table(spark, folder, "documents"))
