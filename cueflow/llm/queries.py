@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueflow.llm import byte_bpe, language_id
+from cueflow.llm import byte_bpe, language_id, winnowing
 from cueflow.llm.exact_dedup import exact_groups
 from cueflow.llm.packing import pack
 from cueflow.llm.registry import query, table
@@ -31,6 +31,18 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(docs, carry=("text_sha256",)).drop("full_hash")
 
 
+@query("op2_winnowing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    rows = winnowing.edited_likeness(table(spark, folder, "documents"))
+    mine, edited = (winnowing.hashes(F.col(c)) for c in ("kept", "edited_kept"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.rendered(F.col("kept")).alias("fingerprint"),
+        winnowing.rendered(F.col("edited_kept")).alias("edited_fingerprint"),
+        winnowing.likeness(mine, edited).alias("near_edited"),
+        winnowing.likeness(mine, F.col("next_hashes")).alias("near_next"))
+
+
 @query("op3_byte_bpe")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.encode(
