@@ -34,28 +34,31 @@ LONG_BYTES = 256
 #: Bytes of pieces contracted by one query, which bounds the rows that it keeps.
 BYTES_AT_ONCE = 250_000
 
+#: A row knows its successor. `best` packs rank, position and the successor's position of a piece's
+#: next pair, so its minimum is the lowest rank and of several the leftmost; the successor's row
+#: goes, and what it knew of its own successor passes on.
 CONTRACT = """
 WITH RECURSIVE state AS (
-  SELECT piece, pos, id, 0 AS step FROM bytes_now
+  SELECT piece, pos, id, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos, 0 AS step
+  FROM bytes_now WINDOW w AS (PARTITION BY piece ORDER BY pos)
   UNION ALL
-  (WITH paired AS (
-     SELECT piece, pos, id, step, lead(id) OVER (PARTITION BY piece ORDER BY pos) AS next_id
-     FROM state
-   ), ranked AS (
-     SELECT piece, pos, id, step, merged,
-       min(merged::BIGINT * 1048576 + pos) OVER (PARTITION BY piece) AS best
-     FROM paired LEFT JOIN merges ON id = left_id AND next_id = right_id
-   ), marked AS (
-     SELECT piece, pos, id, step, merged, best % 1048576 AS spot,
-       lag(pos) OVER (PARTITION BY piece ORDER BY pos) AS before
-     FROM ranked WHERE best IS NOT NULL
+  (WITH pairs AS (
+     SELECT piece, min((merged::BIGINT << 40) | (pos::BIGINT << 20) | next_pos) AS best
+     FROM state JOIN merges ON id = left_id AND next_id = right_id GROUP BY piece
+   ), contracted AS (
+     SELECT pairs.piece, (best >> 40)::INTEGER AS merged, (best >> 20) & 1048575 AS spot,
+       best & 1048575 AS eaten, next_id AS after_id, next_pos AS after_pos
+     FROM pairs JOIN state ON pairs.piece = state.piece AND pos = (best & 1048575)
    )
-   SELECT piece, pos, CASE WHEN pos = spot THEN merged ELSE id END, step + 1
-   FROM marked WHERE before IS DISTINCT FROM spot)
-), settled AS (
-  SELECT piece, pos, id, step = max(step) OVER (PARTITION BY piece) AS final FROM state
+   SELECT state.piece, pos, CASE WHEN pos = spot THEN merged ELSE id END,
+     CASE WHEN pos = spot THEN after_id WHEN next_pos = spot THEN merged ELSE next_id END,
+     CASE WHEN pos = spot THEN after_pos ELSE next_pos END, step + 1
+   FROM state JOIN contracted ON state.piece = contracted.piece WHERE pos <> eaten)
+), fixpoint AS (
+  SELECT piece, max(step) AS step FROM state GROUP BY piece
 )
-SELECT piece, list(id ORDER BY pos) AS ids FROM settled WHERE final GROUP BY piece ORDER BY piece
+SELECT piece, list(id ORDER BY pos) AS ids
+FROM state JOIN fixpoint USING (piece, step) GROUP BY piece ORDER BY piece
 """
 
 DECODE = """
