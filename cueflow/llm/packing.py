@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ def store_of(path: str, pattern: str) -> PieceStore:
     def encode(pieces: list[str]) -> Encoded:
         ids = [e.ids for e in model.encode_batch_fast(pieces, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for own in ids for i in own), np.int32, int(lengths.sum())), lengths
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
     return PieceStore(pattern, encode)
 

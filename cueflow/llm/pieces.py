@@ -7,13 +7,14 @@ keeps it. The store is emptied when it holds too many pieces; that costs time, n
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import regex
 
 #: Ids and lengths of some pieces: all ids in one array, and how many each piece has.
 Encoded = tuple[np.ndarray, np.ndarray]
-PIECES_KEPT = 300_000
+PIECES_KEPT = 1_000_000
 CHARS_AT_ONCE = 2_000_000
 
 
@@ -66,14 +67,17 @@ class PieceStore:
         if len(self.place) > self.kept:
             self.forget()
         cut = [self.pattern.findall(text) for text in texts]
-        # in order of appearance, so that the same input gives the same store
-        unseen = [p for p in dict.fromkeys(p for pieces in cut for p in pieces)
-                  if p not in self.place]
-        if unseen:
-            self.learn(unseen)
-        place = self.place
-        for pieces in cut:
-            at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+        pieces = list(chain.from_iterable(cut))
+        place = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            # in order of appearance, so that the same input gives the same store
+            self.learn(list(dict.fromkeys(pieces[i] for i in missing.tolist())))
+            place[missing] = [self.place[pieces[i]] for i in missing.tolist()]
+        end = 0
+        for own in cut:
+            start, end = end, end + len(own)
+            at = place[start:end]
             lengths = self.lengths[at]
             ends = np.cumsum(lengths)
             total = int(ends[-1]) if len(ends) else 0
