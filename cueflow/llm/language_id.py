@@ -102,51 +102,48 @@ class FrozenTrees:
     bits: np.ndarray
 
 
-def freeze(counts: list[tuple[str, int, int]]) -> FrozenTrees:
-    """Trees of all languages from (lang, run, n)."""
-    languages = sorted({lang for lang, _, _ in counts})
-    runs = np.array([run for _, run, _ in counts], np.uint32)
+def freeze(langs: list[str], runs: np.ndarray, n: np.ndarray) -> FrozenTrees:
+    """Trees of all languages from parallel columns of `count_runs`."""
+    languages = sorted(set(langs))
     number = {lang: i for i, lang in enumerate(languages)}
-    lang_of = np.array([number[lang] for lang, _, _ in counts], np.int64)
-    n = np.array([c for _, _, c in counts], np.float64)
+    lang_of = np.array([number[lang] for lang in langs], np.int64)
+    runs, n = runs.astype(np.uint32), n.astype(np.float64)
     parts = [((runs >> np.uint32(8 * (ORDER - i))) & np.uint32(255)).astype(np.int64)
              for i in range(ORDER + 1)]
-    alphabet = np.unique(np.concatenate(parts)) if len(runs) else np.empty(0, np.int64)
+    alphabet = np.unique(np.concatenate(parts))
     size = len(alphabet) + 1
     symbol = np.full(256, size - 1, np.int64)
     symbol[alphabet] = np.arange(size - 1)
     sym = [symbol[p] for p in parts]
+    keys2, place2 = np.unique(sym[1] * size + sym[2], return_inverse=True)
+    keys3, place3 = np.unique((sym[0] * size + sym[1]) * size + sym[2], return_inverse=True)
+    second = np.full(size * size, -1, np.int64)
+    second[keys2] = np.arange(len(keys2))
+    # places: first the one-byte contexts, then the two-byte ones, then the three-byte ones
+    ends = np.cumsum([0, size, len(keys2), len(keys3)])
+    bits = np.empty((ends[-1], size, len(languages)), np.float32)
 
-    def table(contexts: int, place: np.ndarray) -> np.ndarray:
-        out = np.zeros((contexts, size, len(languages)))
-        np.add.at(out, (place, sym[ORDER], lang_of), n)
-        return out
-
-    def coded(counted: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    def coded(of: np.ndarray, contexts: int, place: np.ndarray, shorter: np.ndarray) -> np.ndarray:
         """Bits of each byte in these contexts, given the bits in the next shorter ones."""
+        counted = np.bincount(place[of] * size + sym[ORDER][of], n[of],
+                              contexts * size).reshape(contexts, size)
         total, kinds = counted.sum(1, keepdims=True), (counted > 0).sum(1, keepdims=True)
         with np.errstate(divide="ignore", invalid="ignore"):
             seen = np.log2(total + kinds) - np.log2(counted)
             escaped = np.log2(total + kinds) - np.log2(kinds) + shorter
         return np.where(total == 0, shorter, np.where(counted > 0, seen, escaped))
 
-    # contexts of one byte and of none, then the two- and three-byte contexts that occurred
-    empty = coded(table(1, np.zeros(len(runs), np.int64)), np.full((1, size, len(languages)), 8.0))
-    first = coded(table(size, sym[2]), np.repeat(empty, size, 0))
-    keys2, place2 = np.unique(sym[1] * size + sym[2], return_inverse=True)
-    two = coded(table(len(keys2), place2), first[keys2 % size])
-    keys3, place3 = np.unique((sym[0] * size + sym[1]) * size + sym[2], return_inverse=True)
-    second = np.full(size * size, -1, np.int64)
-    second[keys2] = np.arange(len(keys2))
-    three = coded(table(len(keys3), place3), two[second[keys3 % (size * size)]])
-    # places: first the one-byte contexts, then the two-byte ones, then the three-byte ones
-    bits = np.concatenate([first, two, three]).astype(np.float32)
-    unseen = second < 0
-    second = np.where(unseen, np.arange(size * size) % size, second + size)
-    rows = len(keys2) + size  # a place after two bytes, and the byte before them
-    third = np.repeat(np.arange(rows)[:, None], size, 1)
-    third[second[keys3 % (size * size)], keys3 // (size * size)] = (
-        np.arange(len(keys3)) + size + len(keys2))
+    for i in range(len(languages)):
+        of = np.flatnonzero(lang_of == i)
+        empty = coded(of, 1, np.zeros(len(runs), np.int64), np.full((1, size), 8.0))
+        first = coded(of, size, sym[2], np.repeat(empty, size, 0))
+        two = coded(of, len(keys2), place2, first[keys2 % size])
+        three = coded(of, len(keys3), place3, two[second[keys3 % (size * size)]])
+        for part, a, b in zip((first, two, three), ends[:-1], ends[1:], strict=True):
+            bits[a:b, :, i] = part
+    second = np.where(second < 0, np.arange(size * size) % size, second + size)
+    third = np.repeat(np.arange(ends[2])[:, None], size, 1)
+    third[second[keys3 % (size * size)], keys3 // (size * size)] = np.arange(ends[2], ends[3])
     return FrozenTrees(languages, symbol.astype(np.int32), second.astype(np.int32),
                        third.astype(np.int32), bits)
 
@@ -203,7 +200,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Fr
     and marks, and no more for a larger corpus of the same alphabets.
     """
     frame = count_runs(docs, text_col, lang_col).orderBy("lang", "run").toArrow()
-    return freeze(list(zip(*(frame[c].to_pylist() for c in ("lang", "run", "n")), strict=True)))
+    return freeze(frame["lang"].to_pylist(), frame["run"].to_numpy(), frame["n"].to_numpy())
 
 
 def identify(

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 
 from cueflow.llm import byte_bpe, language_id, winnowing
 from cueflow.llm.exact_dedup import exact_groups
+from cueflow.llm.lm_scoring import train_and_score
 from cueflow.llm.packing import pack
 from cueflow.llm.registry import query, table
 from cueflow.llm.simhash import near_groups
 from cueflow.llm.url_rules import judge_urls
 
+def remainder(id_col: str, divisor: int) -> F.Column:
+    """crc32 of the id as text, modulo `divisor`; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(divisor))
+
+
 OP1_SQL = """
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
@@ -51,9 +57,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
-def remainder(id_col: str, divisor: int) -> F.Column:
-    """crc32 of the id as text, modulo `divisor`; a null id counts as an empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(divisor))
+@query("op4_lm_scoring")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return train_and_score(docs.withColumn("held_out", remainder("doc_id", 7) == 2), "held_out")
 
 
 @query("op5_language_id")
