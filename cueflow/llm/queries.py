@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueflow.llm import byte_bpe, language_id, winnowing
+from cueflow.llm import byte_bpe, language_id, suffix_dedup, winnowing
 from cueflow.llm.exact_dedup import exact_groups
 from cueflow.llm.lm_scoring import train_and_score
 from cueflow.llm.packing import pack
@@ -70,6 +70,22 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def spans_as_text(spans: F.Column) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    passages = suffix_dedup.repeated_passages(docs)
+    named = docs.select("doc_id", suffix_dedup.document_key().alias("doc"))
+    return named.join(passages, "doc").select(
+        "doc_id", suffix_dedup.words_of(F.col("spans")).alias("repeated_words"),
+        suffix_dedup.words_of(F.col("gone")).alias("gone_words"),
+        spans_as_text(F.col("spans")).alias("spans"), spans_as_text(F.col("gone")).alias("gone"),
+        F.col("partners").alias("partner_ids"))
+
+
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
