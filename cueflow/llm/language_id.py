@@ -29,103 +29,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of context. A run of context and byte is ORDER + 1 bytes, kept in one integer.
-ORDER = 3
-BYTES_AT_ONCE = 1 << 21
+from cueflow.llm.byte_runs import BEFORE, ORDER, RunTable, count_runs, sums_over_runs
+
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
 def _bytes_of(text: str | None) -> bytes:
-    """The text as the trees see it, behind ORDER line feeds that stand for its beginning."""
-    return b"\n" * ORDER + (text or "").lower().encode()
-
-
-def _portions(data: bytes) -> Iterator[np.ndarray]:
-    """Windows of the bytes that overlap by ORDER, so that each run is seen once."""
-    whole = np.frombuffer(data, np.uint8)
-    for start in range(0, max(len(whole) - ORDER, 0), BYTES_AT_ONCE):
-        yield whole[start:start + BYTES_AT_ONCE + ORDER]
-
-
-def _runs(window: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(window) - ORDER, np.uint32)
-    for i in range(ORDER + 1):
-        out = (out << np.uint32(8)) | window[i:len(window) - ORDER + i]
-    return out
-
-
-def count_runs(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
-) -> DataFrame:
-    """(lang, run, n): how often each run of ORDER + 1 bytes occurs in texts of a language."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-        sizes: dict[str, int] = {}
-
-        def flush(lang: str) -> pa.RecordBatch:
-            runs, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            sizes[lang] = 0
-            return pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(runs), pa.string()), pa.array(runs.astype(np.int64)),
-                 pa.array(n)], ["lang", "run", "n"])
-
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                  strict=True):
-                for window in _portions(_bytes_of(text)):
-                    held.setdefault(lang, []).append(_runs(window))
-                    sizes[lang] = sizes.get(lang, 0) + len(window)
-                    if sizes[lang] > 8 * BYTES_AT_ONCE:
-                        yield flush(lang)
-        for lang in list(held):
-            yield flush(lang)
-
-    known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = known.select(text_col, lang_col).mapInArrow(run, "lang string, run long, n long")
-    return counts.groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    """The text as the trees see it."""
+    return BEFORE + (text or "").lower().encode()
 
 
 @dataclass
 class FrozenTrees:
-    """Code lengths in bits by context and byte, for all languages side by side.
-
-    `symbol` maps a byte to its place in the alphabet (the last place: bytes never seen in
-    training). `second` and `third` map two and three symbols to the place of their context;
-    contexts that no language has seen in full share the place of their longest seen end.
-    """
+    """Code lengths in bits by context and byte, for all languages side by side."""
 
     languages: list[str]
-    symbol: np.ndarray
-    second: np.ndarray
-    third: np.ndarray
+    table: RunTable | None
     bits: np.ndarray
 
 
 def freeze(langs: list[str], runs: np.ndarray, n: np.ndarray) -> FrozenTrees:
     """Trees of all languages from parallel columns of `count_runs`."""
     languages = sorted(set(langs))
+    if not languages:
+        return FrozenTrees([], None, np.empty(0, np.float32))
     number = {lang: i for i, lang in enumerate(languages)}
     lang_of = np.array([number[lang] for lang in langs], np.int64)
-    runs, n = runs.astype(np.uint32), n.astype(np.float64)
-    parts = [((runs >> np.uint32(8 * (ORDER - i))) & np.uint32(255)).astype(np.int64)
-             for i in range(ORDER + 1)]
-    alphabet = np.unique(np.concatenate(parts))
-    size = len(alphabet) + 1
-    symbol = np.full(256, size - 1, np.int64)
-    symbol[alphabet] = np.arange(size - 1)
-    sym = [symbol[p] for p in parts]
-    keys2, place2 = np.unique(sym[1] * size + sym[2], return_inverse=True)
-    keys3, place3 = np.unique((sym[0] * size + sym[1]) * size + sym[2], return_inverse=True)
-    second = np.full(size * size, -1, np.int64)
-    second[keys2] = np.arange(len(keys2))
-    # places: first the one-byte contexts, then the two-byte ones, then the three-byte ones
-    ends = np.cumsum([0, size, len(keys2), len(keys3)])
+    n = n.astype(np.float64)
+    table = RunTable(runs.astype(np.uint32))
+    size, ends = table.size, table.ends
     bits = np.empty((ends[-1], size, len(languages)), np.float32)
 
     def coded(of: np.ndarray, contexts: int, place: np.ndarray, shorter: np.ndarray) -> np.ndarray:
         """Bits of each byte in these contexts, given the bits in the next shorter ones."""
-        counted = np.bincount(place[of] * size + sym[ORDER][of], n[of],
+        counted = np.bincount(place[of] * size + table.parts[ORDER][of], n[of],
                               contexts * size).reshape(contexts, size)
         total, kinds = counted.sum(1, keepdims=True), (counted > 0).sum(1, keepdims=True)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -136,49 +74,19 @@ def freeze(langs: list[str], runs: np.ndarray, n: np.ndarray) -> FrozenTrees:
     for i in range(len(languages)):
         of = np.flatnonzero(lang_of == i)
         empty = coded(of, 1, np.zeros(len(runs), np.int64), np.full((1, size), 8.0))
-        first = coded(of, size, sym[2], np.repeat(empty, size, 0))
-        two = coded(of, len(keys2), place2, first[keys2 % size])
-        three = coded(of, len(keys3), place3, two[second[keys3 % (size * size)]])
+        first = coded(of, size, table.parts[2], np.repeat(empty, size, 0))
+        two = coded(of, len(table.keys2), table.place2, first[table.shorter2])
+        three = coded(of, len(table.keys3), table.place3, two[table.shorter3])
         for part, a, b in zip((first, two, three), ends[:-1], ends[1:], strict=True):
             bits[a:b, :, i] = part
-    second = np.where(second < 0, np.arange(size * size) % size, second + size)
-    third = np.repeat(np.arange(ends[2])[:, None], size, 1)
-    third[second[keys3 % (size * size)], keys3 // (size * size)] = np.arange(ends[2], ends[3])
-    return FrozenTrees(languages, symbol.astype(np.int32), second.astype(np.int32),
-                       third.astype(np.int32), bits)
+    return FrozenTrees(languages, table.freed(), bits)
 
 
 def code_lengths(model: FrozenTrees, texts: list[str | None]) -> np.ndarray:
-    """Bits of each text in each language; texts are coded one after another, in portions."""
-    out = np.zeros((len(texts), len(model.languages)))
-    size = model.bits.shape[1]
-    held: list[bytes] = []
-    owners: list[int] = []
-    total = 0
-
-    def flush() -> None:
-        data = np.frombuffer(b"".join(held), np.uint8)
-        sym = model.symbol[data]
-        place = model.third[model.second[sym[1:-2] * size + sym[2:-1]], sym[:-3]]
-        lengths = model.bits[place, sym[3:]]
-        starts = np.cumsum([0] + [len(h) for h in held])
-        for i, owner in enumerate(owners):
-            # the runs that end within this text and have all their bytes in it
-            out[owner] += lengths[starts[i]:starts[i + 1] - ORDER].sum(0, dtype=np.float64)
-
-    for i, text in enumerate(texts):
-        for window in _portions(_bytes_of(text)):
-            held.append(window.tobytes())
-            owners.append(i)
-            total += len(window)
-            if total >= BYTES_AT_ONCE:
-                flush()
-                held.clear()
-                owners.clear()
-                total = 0
-    if held:
-        flush()
-    return out
+    """Bits of each text in each language."""
+    return sums_over_runs(
+        [_bytes_of(t) for t in texts], lambda data: model.table.look_up(model.bits, data),
+        len(model.languages))
 
 
 def predict(model: FrozenTrees, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -199,8 +107,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Fr
     Only the runs that occurred come to the driver: a few ten thousand per language of letters
     and marks, and no more for a larger corpus of the same alphabets.
     """
-    frame = count_runs(docs, text_col, lang_col).orderBy("lang", "run").toArrow()
-    return freeze(frame["lang"].to_pylist(), frame["run"].to_numpy(), frame["n"].to_numpy())
+    known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    frame = count_runs(known, text_col, lang_col, _bytes_of).orderBy("group", "run").toArrow()
+    return freeze(frame["group"].to_pylist(), frame["run"].to_numpy(), frame["n"].to_numpy())
 
 
 def identify(

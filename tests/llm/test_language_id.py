@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from cueflow.llm import byte_runs
 from cueflow.llm import language_id as L
 from cueflow.llm.queries import op5
 
@@ -59,7 +60,7 @@ def test_code_lengths_are_exact(model):
 def test_portions_do_not_change_the_length(model, monkeypatch):
     texts = ["the cat sat " * 50, "und die Katze", "x"]
     whole = L.code_lengths(model, texts)
-    monkeypatch.setattr(L, "BYTES_AT_ONCE", 17)
+    monkeypatch.setattr(byte_runs, "BYTES_AT_ONCE", 17)
     assert np.allclose(whole, L.code_lengths(model, texts), rtol=1e-6)
 
 
