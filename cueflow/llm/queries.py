@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueflow.llm import byte_bpe, language_id, suffix_dedup, winnowing
+from cueflow.llm import byte_bpe, language_id, quality, suffix_dedup, winnowing
 from cueflow.llm.exact_dedup import exact_groups
 from cueflow.llm.lm_scoring import train_and_score
 from cueflow.llm.packing import pack
@@ -86,6 +86,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         F.col("partners").alias("partner_ids"))
 
 
+@query("op7_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
