@@ -96,27 +96,35 @@ def exact_groups(
     )
 
 
+def row_key(id_col: str, text_col: str) -> list[F.Column]:
+    """`__id` and `__digest`: what names a row up to repetition, without its text."""
+    return [F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__id"),
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__digest")]
+
+
+def keep_marked(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` without the rows that `marks` (__id, __digest, stays) says go.
+
+    Rows without a mark stay. Of rows repeated with id and text, one stays. The texts move once, to
+    meet the marks.
+    """
+    marks = settle(
+        marks.groupBy("__id", "__digest")
+        .agg(F.max("stays").alias("__stays"), F.count("*").alias("__times")), "marks")
+    keyed = docs.select("*", *row_key(id_col, text_col))
+    met = keyed.join(marks, ["__id", "__digest"], "left").filter(F.coalesce("__stays", F.lit(True)))
+    if marks.filter("__stays and __times > 1").isEmpty():
+        return met.select(*docs.columns)
+    once = met.filter(F.coalesce("__times", F.lit(1)) == 1)
+    repeated_rows = met.filter("__times > 1").dropDuplicates(["__id", "__digest"])
+    return once.unionByName(repeated_rows).select(*docs.columns)
+
+
 def drop_exact_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """`docs` with one row of each group of equal texts, the one with the largest id.
-
-    Only members of groups of two or more are looked up; the texts move once, to meet the list of
-    rows that go. Rows repeated with id and text leave one.
-    """
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    gone = (
-        exact_groups(docs, id_col, text_col).filter("group_size > 1")
-        .groupBy(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__of"),
-                 F.col("full_hash").alias("__digest"))
-        .agg(F.max("kept").alias("__stays"), F.count("*").alias("__times"))
-    )
-    marked = (
-        docs.withColumn("__of", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-        .withColumn("__digest", digest)
-        .join(gone, ["__of", "__digest"], "left")
-        .filter(F.coalesce("__stays", F.lit(True)))
-    )
-    once = marked.filter(F.coalesce("__times", F.lit(1)) == 1)
-    repeated = marked.filter("__times > 1").dropDuplicates(["__of", "__digest"])
-    return once.unionByName(repeated).select(*docs.columns)
+    """`docs` with one row of each group of equal texts, the one with the largest id."""
+    keyed = docs.select("*", *row_key(id_col, text_col))
+    groups = exact_groups(keyed, id_col, text_col, carry=("__id", "__digest"))
+    marks = groups.filter("group_size > 1").select("__id", "__digest", F.col("kept").alias("stays"))
+    return keep_marked(docs, marks, id_col, text_col)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.llm.components import components
+from cueflow.llm.exact_dedup import keep_marked, row_key
 from cueflow.session import settle
 
 SHINGLE_WORDS = 3
@@ -68,18 +69,19 @@ def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    words_each: int = SHINGLE_WORDS,
+    words_each: int = SHINGLE_WORDS, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, fp long) of every row."""
+    """(id, `carry`, fp long) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), words_each) for t in batch.column(1)]
+            fps = [fingerprint(t.as_py(), words_each) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], [id_col, "fp"])
+                [*batch.columns[1:], pa.array(np.array(fps, np.uint64).view(np.int64))],
+                [id_col, *carry, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(
-        run, f"`{id_col}` {kind}, fp long")
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *carry)]
+    return docs.select(F.col(text_col).alias("__text"), id_col, *carry).mapInArrow(
+        run, ", ".join([*fields, "fp long"]))
 
 
 @lru_cache(maxsize=1)
@@ -249,12 +251,11 @@ def near_links(fps: DataFrame) -> DataFrame:
     return links.unionByName(pairs).distinct()
 
 
-def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    words_each: int = SHINGLE_WORDS,
+def rooted_rows(
+    docs: DataFrame, id_col: str, text_col: str, words_each: int, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(id, fingerprint, component_id) of every row; component_id is the smallest id reachable."""
-    rows = settle(fingerprints(docs, id_col, text_col, words_each), "simhash")
+    """(id, `carry`, fp, root, component_id): `root` is one fingerprint for each group."""
+    rows = settle(fingerprints(docs, id_col, text_col, words_each, carry), "simhash")
     nodes = settle(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-nodes")
     roots = components(near_links(nodes))
     rooted = settle(
@@ -262,6 +263,33 @@ def near_groups(
         .select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # written out, so that Spark can split the rows of a hot fingerprint in the join
-    named = settle(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-groups")
-    return rows.join(named, "fp").select(
+    named = settle(
+        rooted.join(smallest, "root").select("fp", "root", "component_id"), "simhash-groups")
+    return rows.join(named, "fp")
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    words_each: int = SHINGLE_WORDS,
+) -> DataFrame:
+    """(id, fingerprint, component_id) of every row; component_id is the smallest id reachable."""
+    return rooted_rows(docs, id_col, text_col, words_each).select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    words_each: int = SHINGLE_WORDS,
+) -> DataFrame:
+    """`docs` with one row of each group of linked fingerprints, the one with the smallest id.
+
+    A row without an id stays only in a group without any; there the smallest text hash decides.
+    """
+    keyed = docs.select("*", *row_key(id_col, text_col))
+    rows = settle(
+        rooted_rows(keyed, id_col, text_col, words_each, ("__id", "__digest")), "near-rows")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__digest")
+    first = settle(rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("size"))
+                   .filter("size > 1"), "near-first")
+    marks = rows.join(first, "root").select("__id", "__digest", (order == F.col("first")).alias("stays"))
+    return keep_marked(docs, marks, id_col, text_col)
