@@ -149,25 +149,30 @@ def edited_likeness(
         id_col, text.alias("text"),
         F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id_key"),
         F.xxhash64(text).alias("text_key"))
+    # the id goes with the links, so that both joins below deal out the same rows: once
     links = settle(
         followers(rows.select(id_col, "id_key", "text_key"), id_col).join(
-            rows.select("id_key", "text_key", (F.char_length("text") / 3).cast("int").alias("taken"))
-            .distinct(), ["id_key", "text_key"]), "links")
+            rows.select(F.col(id_col).alias("own_id"), "id_key", "text_key",
+                        (F.char_length("text") / 3).cast("int").alias("taken")).distinct(),
+            ["id_key", "text_key"]), "links")
+    texts = rows.select("text", "id_key", "text_key")
     taken = (
-        rows.join(
+        texts.join(
             links.select(F.col("next_id_key").alias("id_key"), F.col("next_text_key").alias("text_key"),
-                         F.col("id_key").alias("to_id"), F.col("text_key").alias("to_text"), "taken"),
+                         F.col("id_key").alias("to_id"), F.col("text_key").alias("to_text"), "own_id",
+                         "taken"),
             ["id_key", "text_key"])
     )
     taken = with_kept_grams(taken, F.col("text"), "kept").select(
-        F.col("to_id").alias("id_key"), F.col("to_text").alias("text_key"),
+        F.col("to_id").alias("id_key"), F.col("to_text").alias("text_key"), "own_id",
         F.left("text", F.col("taken")).alias("taken_text"), hashes(F.col("kept")).alias("next_hashes"))
     # repeated rows of the next document give the same row each
     taken = taken.groupBy("id_key", "text_key").agg(
-        F.first("taken_text").alias("taken_text"), F.first("next_hashes").alias("next_hashes"))
+        F.first("own_id").alias("own_id"), F.first("taken_text").alias("taken_text"),
+        F.first("next_hashes").alias("next_hashes"))
     n = F.char_length("text")
-    met = rows.join(taken, ["id_key", "text_key"]).withColumn("edited", F.concat(
+    met = texts.join(taken, ["id_key", "text_key"]).withColumn("edited", F.concat(
         F.left("text", n - F.floor(n / 3).cast("int")), "taken_text"))
     met = with_kept_grams(met, F.col("text"), "kept")
     return with_kept_grams(met, F.col("edited"), "edited_kept").select(
-        id_col, n.cast("long").alias("n_chars"), "edited", "kept", "edited_kept", "next_hashes")
+        F.col("own_id").alias(id_col), n.cast("long").alias("n_chars"), "edited", "kept", "edited_kept", "next_hashes")
