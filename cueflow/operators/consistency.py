@@ -1,52 +1,43 @@
 """Spelling rules over running text: each whole-word hit in any case is replaced, rule by rule.
 
-Rules work in order on the running text, so one rule's output can be another's input. Two ways
-give the same text. A short list of rules becomes one chained expression. A long one, or one that
-differs per document, is joined to the text on phrases, and only texts that hold a phrase are
-rewritten.
+Rules work in order on the running text, so one rule's output can be another's input. Any number of
+rules takes the same way: rules are joined to the text on phrases, and only texts that hold a phrase
+are rewritten.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.functions.text import quote_replacement, whole_term_pattern
 from cueflow.session import settle
 
-MAX_CHAINED_RULES = 200
 _RUNS = r"(?U)(\w+|\W+)"
 _STARTS_WITH_WORD = r"(?U)^\w"
 
 
-def _quoted(term: str) -> str:
-    return r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"
+def _odd_letters() -> dict[str, str]:
+    """Letters whose lower case differs from the lower case of their upper case, and the latter.
 
+    Patterns that ignore case compare the latter, letter by letter; the lower case of a whole string
+    also looks at neighbours (a capital sigma at the end of a word) and may take two letters.
+    """
+    out = {"\u0130": "i", "\u03a3": "\u03c3"}
+    for code in range(0x80, 0x10000):
+        letter = chr(code)
+        folded = letter.upper().lower() if len(letter.upper()) == 1 else letter
+        if len(folded) == 1 and folded != letter.lower():
+            out.setdefault(letter, folded)
+    return out
 
-def chained_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Text after a short ordered list of (wrong, right).
 
-    A text that holds none of the wrong terms cannot change at all, so one combined test spares
-    most rows the chain.
-    """
-    if not rules:
-        return text
-    anywhere = r"(?iuU)\b(?:" + "|".join(_quoted(w) for w, _ in rules) + r")\b"
-    out = text
-    for wrong, right in rules:
-        escaped = re.sub(r"([\\$])", r"\\\1", right)
-        out = F.regexp_replace(out, r"(?iuU)\b" + _quoted(wrong) + r"\b", escaped)
-    return F.when(text.rlike(anywhere), out).otherwise(text)
+_ODD = _odd_letters()
 
 
-def short_rules(rules: DataFrame, limit: int = MAX_CHAINED_RULES) -> list[tuple[str, str]] | None:
-    """The ordered rules when there are at most `limit`, else None. Fetches no more than that."""
-    rows = rules.select("wrong", "right", "stage", "n").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return [(r["wrong"], r["right"]) for r in sorted(rows, key=lambda r: (r["stage"], r["n"]))]
+def fold_case(text: Column) -> Column:
+    """Text in the form in which patterns that ignore case compare it."""
+    return F.lower(F.translate(text, "".join(_ODD), "".join(_ODD.values())))
 
 
 def _phrase_key(term: Column) -> Column:
@@ -54,8 +45,8 @@ def _phrase_key(term: Column) -> Column:
 
     A term without a word is its own key: bounded by word boundaries, it fills a whole gap.
     """
-    core = F.regexp_extract(F.lower(term), r"(?sU)(\w(?:.*\w)?)", 1)
-    return F.when(core != "", core).otherwise(F.lower(term))
+    core = F.regexp_extract(fold_case(term), r"(?sU)(\w(?:.*\w)?)", 1)
+    return F.when(core != "", core).otherwise(fold_case(term))
 
 
 def _span(key: Column) -> Column:
@@ -70,7 +61,7 @@ def _keyed(rules: DataFrame) -> DataFrame:
 def _phrases(texts: DataFrame, spans: Column) -> DataFrame:
     """Phrases of each text, of the lengths (in runs) that some rule has."""
     place = [c for c in texts.columns if c != "text"]
-    runs = F.regexp_extract_all(F.lower("text"), F.lit(_RUNS))
+    runs = F.regexp_extract_all(fold_case(F.col("text")), F.lit(_RUNS))
     sized = texts.select(*place, runs.alias("runs")).withColumn("spans", spans)
     # Words and gaps alternate, so phrases of several runs start at every second one.
     first_word = F.when(F.get("runs", F.lit(0)).rlike(_STARTS_WITH_WORD), 1).otherwise(2)
@@ -107,7 +98,7 @@ def _fold(start: Column, hits: Column) -> Column:
     return F.aggregate(hits, seed, step)
 
 
-def joined_rules(
+def enforce_rules(
     segments: DataFrame, rules: DataFrame, own_rules: DataFrame | None = None
 ) -> DataFrame:
     """Segments after `rules` (wrong, right, stage, n), and `own_rules` per document if given.
@@ -169,17 +160,6 @@ def joined_rules(
     )
 
 
-def enforce_rules(
-    segments: DataFrame, rules: DataFrame, own_rules: DataFrame | None = None
-) -> DataFrame:
-    """Segments after ordered rules (wrong, right, stage, n); picks the way by the rules' number."""
-    if own_rules is None:
-        few = short_rules(rules)
-        if few is not None:
-            return segments.withColumn("text", chained_rules(F.col("text"), few))
-    return joined_rules(segments, rules, own_rules)
-
-
 def glossary_rules(glossary: DataFrame) -> DataFrame:
     """Rules from a glossary table (wrong, right, n)."""
     return glossary.select("wrong", "right", F.lit(2).alias("stage"), F.col("n").cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cueflow import constants as K
@@ -267,33 +269,31 @@ def small_kb(spark):
     return kb
 
 
-def _english(spark, folder):
-    return A.document_segments(spark, folder).where(F.col("lang") == "en").drop("lang")
+_WORD = r"[\p{L}\p{N}\p{M}_]+"
 
 
-def _chain_sql(text: str) -> str:
-    for wrong, right in [
-        ("Bentancour", "Bentancur"), ("Bentancurt", "Bentancur"), ("The Young", "De Jong"),
-        ("Frankie de Jong", "Frenkie de Jong"), ("Frankie", "Frenkie"), ("Chavi", "Xavi"),
-        ("Xvi", "Xavi"), ("Superano", "Upamecano"), ("Uruguai", "Uruguay"), *_SMALL_KB,
-    ]:
-        text = f"regexp_replace({text}, '\\b{wrong}\\b', '{right}', 'gi')"
-    return text
+def _marked(term: str) -> str:
+    """`term` with a mark before and after each word."""
+    return re.sub(r"\w+", lambda word: f"{chr(1)}{word[0]}{chr(2)}", term)
 
 
-@query("c04_global_consistency", f"""{with_views('seg_docs')}
-SELECT doc_id, pos, {_chain_sql('text')} AS text FROM seg WHERE lang = 'en'""")
-def c04_global_consistency(spark, folder):
-    rules = knowledge.corpus_rules(small_kb(spark))
-    return consistency.enforce_rules(_english(spark, folder), rules).select("doc_id", "pos", "text")
+_CORPUS_RULES = [*K.BUILTIN_SPELLINGS, *_SMALL_KB]
+
 
+def _chain_sql(text: str, rules=tuple(_CORPUS_RULES)) -> str:
+    """Whole-word replacement in any script: words are marked, so a marked term is a whole one."""
+    text = f"regexp_replace({text}, '({_WORD})', chr(1) || '\\1' || chr(2), 'g')"
+    for wrong, right in rules:
+        text = f"regexp_replace({text}, '{_marked(wrong)}', '{_marked(right)}', 'gi')"
+    return f"translate({text}, chr(1) || chr(2), '')"
 
-@query("c04_joined_rules", f"""{with_views('seg_docs')}
-SELECT doc_id, pos, {_chain_sql('text')} AS text FROM seg WHERE lang = 'en'""")
-def c04_joined_rules(spark, folder):
-    """The same rules by phrase join, the way long rule lists take."""
+
+@query("c04_global_consistency", f"""{with_views('seg_docs')}
+SELECT doc_id, pos, {_chain_sql('text')} AS text FROM seg""")
+def c04_global_consistency(spark, folder):
     rules = knowledge.corpus_rules(small_kb(spark))
-    return consistency.joined_rules(_english(spark, folder), rules).select("doc_id", "pos", "text")
+    seg = A.document_segments(spark, folder)
+    return consistency.enforce_rules(seg, rules).select("doc_id", "pos", "text")
 
 
 @query("c04_learned_vocabulary", f"""{with_views('seg_docs')},
@@ -319,19 +319,18 @@ def c04_learned_vocabulary(spark, folder):
         "wrong", F.concat(F.upper("wrong"), F.lit("_")).alias("right"), F.lit(2).alias("stage"),
         F.xxhash64("wrong").alias("n"),
     )
-    return consistency.joined_rules(seg, rules).select("doc_id", "pos", "text")
+    return consistency.enforce_rules(seg, rules).select("doc_id", "pos", "text")
 
 
 @query("d18_glossary", f"""{with_views('seg_docs')}
-SELECT doc_id, pos, regexp_replace(regexp_replace(text, '\\bis\\b', 'IS', 'gi'), '\\bIS on\\b',
-  'is-on', 'gi') AS text
-FROM seg WHERE lang = 'en'""")
+SELECT doc_id, pos, {_chain_sql('text', [("is", "IS"), ("IS on", "is-on")])} AS text FROM seg""")
 def d18_glossary(spark, folder):
     glossary = spark.createDataFrame(
         [("is", "IS", 0), ("IS on", "is-on", 1)], "wrong string, right string, n int"
     )
     rules = consistency.glossary_rules(glossary)
-    return consistency.enforce_rules(_english(spark, folder), rules).select("doc_id", "pos", "text")
+    seg = A.document_segments(spark, folder)
+    return consistency.enforce_rules(seg, rules).select("doc_id", "pos", "text")
 
 
 _EDIT_SQL = "replace(replace(text, ' the ', ' teh '), ' and ', ' und so ')"

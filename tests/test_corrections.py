@@ -121,13 +121,13 @@ TEXTS = [
 ]
 
 
-def test_both_rule_ways_match_python(spark, segments):
+def test_rules_match_python(spark, segments):
     seg = segments([("d", i + 1, i, i + 1, t) for i, t in enumerate(TEXTS)])
     rules = spark.createDataFrame(
         [(w, r, 2, n) for n, (w, r) in enumerate(RULES)], "wrong string, right string, stage int, n long")
     expected = [python_rules(t, RULES) for t in TEXTS]
-    for way in (consistency.enforce_rules, consistency.joined_rules):
-        assert [r["text"] for r in way(seg, rules).orderBy("pos").collect()] == expected
+    got = consistency.enforce_rules(seg, rules).orderBy("pos").collect()
+    assert [r["text"] for r in got] == expected
 
 
 def test_rules_per_document(spark, segments):
@@ -142,14 +142,27 @@ def test_rules_per_document(spark, segments):
     assert result.content().count() == 2
 
 
-def test_long_rule_lists_take_the_join(spark, segments):
-    rules = [(f"w{i}", f"v{i}") for i in range(consistency.MAX_CHAINED_RULES + 5)]
+@pytest.mark.parametrize("count", [3, 199, 201])
+def test_any_number_of_rules_gives_the_same_text(spark, segments, count):
+    rules = [("miss", "MR"), ("kelvin", "KEL"), ("όσος", "OSOS")]
+    rules += [(f"w{i}", f"v{i}") for i in range(count - len(rules))]
     table = spark.createDataFrame(
         [(w, r, 2, n) for n, (w, r) in enumerate(rules)], "wrong string, right string, stage int, n long")
-    assert consistency.short_rules(table) is None
-    seg = segments([("d", 1, 0, 1, "w1 w204 w2040 W7")])
-    [row] = consistency.enforce_rules(seg, table).collect()
-    assert row["text"] == "v1 v204 w2040 v7"
+    texts = ["miſs Miss", "\u212aelvin kelvin", "ΌΣΟΣ όσος όσοσ", "mİss mıss", "µ stays", "w2000 x"]
+    seg = segments([("d", i + 1, i, i + 1, t) for i, t in enumerate(texts)])
+    got = [r["text"] for r in consistency.enforce_rules(seg, table).orderBy("pos").collect()]
+    assert got == ["MR MR", "KEL KEL", "OSOS OSOS OSOS", "MR MR", "µ stays", "w2000 x"]
+
+
+def test_folding_is_that_of_patterns(spark):
+    letters = [chr(c) for c in range(0x80, 0x2200) if chr(c).isalpha()] + ["\ua64a", "\u1c80", "A"]
+    table = spark.createDataFrame([(c, c.upper(), c.lower()) for c in letters],
+                                  "c string, up string, low string")
+    for other in ("up", "low"):
+        pattern = F.concat(F.lit(r"(?iuU)\Q"), F.col(other), F.lit(r"\E"))
+        odd = table.where((F.length(other) == 1) & F.regexp("c", pattern) & (
+            consistency.fold_case(F.col("c")) != consistency.fold_case(F.col(other))))
+        assert [r.c for r in odd.collect()] == []
 
 
 def test_documents_without_segments_keep_their_content(spark):
