@@ -14,9 +14,10 @@ are averaged by how many tokens stand behind them. Repeated contexts within a ta
 once, weighted by their number.
 
 Scoring: contexts of a portion of texts are made distinct and go through the matrix product in
-blocks. Counts of the `HEAD_TOKENS` most frequent tokens are broadcast, a bounded table; the rest of
-a text's tokens, distinct with their number, meets the counts in a join. None of them makes up more
-than one in HEAD_TOKENS of the training tokens, so no key of that join is hot in training texts.
+blocks. Counts of the most frequent tokens, at most `HEAD_TOKENS`, are broadcast, a bounded table; the
+rest of a text's tokens, distinct with their number, meets the counts in a join. None of them makes
+up more than about one in HEAD_TOKENS of the training tokens, so no key of that join is hot in
+training texts.
 
 Null texts count as empty: one token, the end. Without any training text every class is equally
 likely.
@@ -43,8 +44,8 @@ SHAPES = 64
 HEAD_TOKENS = 65_536
 DIMENSIONS = 24
 NOISE = 64
-RATE = 0.2
-MINIBATCH = 256
+RATE = 0.3
+MINIBATCH = 512
 #: Tokens counted or trained on before a task passes them on.
 TOKENS_AT_ONCE = 500_000
 CONTEXTS_AT_ONCE = 4096
@@ -126,8 +127,14 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Only the head and sums per shape come to the driver, both bounded by parameters."""
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.col("n").desc(), "token").limit(HEAD_TOKENS).collect()
+    # the lowest of a fixed list of counts that no more than HEAD_TOKENS tokens reach
+    steps = sorted({int(2 ** (k / 4)) for k in range(250)})
+    reached = [F.sum((F.col("n") >= step).cast("long")) for step in steps]
+    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"),
+                       F.array(*reached).alias("reached")).first()
+    least = next(step for step, k in zip(steps, total.reached, strict=True)
+                 if (k or 0) <= HEAD_TOKENS)
+    top = sorted(counts.filter(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.token))
     words = [bytes(r.token) for r in top]
     count = np.array([r.n for r in top], np.int64)
     own = {END: 0}
