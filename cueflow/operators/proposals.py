@@ -1,24 +1,17 @@
 """Proposed corrections: chunks, matching, strict application and split repair.
 
 The unit of work is one row per chunk (at most 30 cues), so edits that cross a cue boundary need
-no second shuffle. Exact hits are applied by built-in expressions; only chunks with a proposal
-that did not fit go through the Arrow function.
+no second shuffle. Everything is built-in expressions: cues are folded for themselves, and a chunk
+with a proposal that did not fit is folded again as a whole, over the texts of all its cues.
 """
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow import constants as K
-from cueflow.functions.text import let
-
-# Ships the helper functions below with the job, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from cueflow.functions.text import let, lstrip, rstrip, squash, strip
 
 FORWARD_NOTE = " (Split Segment Fix)"
 BACKWARD_NOTE = " (Backward Split Fix)"
@@ -128,74 +121,100 @@ def _exact_fold(cue: Column, props: Column) -> Column:
     return F.aggregate(F.filter(props, lambda p: p["segment_id"] == cue["idx"]), start, step)
 
 
-def _split_forward(text: str, following: str, original: str, corrected: str):
-    """New (text, following) when the original ends here and goes on in the next cue, or None."""
-    if " ".join(original.split()) not in " ".join(f"{text} {following}".split()):
-        return None
-    ending, beginning = text.rstrip(), following.lstrip()
-    for cut in range(len(original), 0, -1):
-        here, there = original[:cut].strip(), original[cut:].strip()
-        if here and ending.endswith(here) and beginning.startswith(there):
-            return ending[: len(ending) - len(here)] + corrected, beginning[len(there):].strip()
-    return None
-
-
-def _split_backward(previous: str, text: str, original: str, corrected: str):
-    """New (previous, text) when the original begins in the previous cue, or None."""
-    if " ".join(original.split()) not in " ".join(f"{previous} {text}".split()):
-        return None
-    ending, beginning = previous.rstrip(), text.lstrip()
-    for cut in range(1, len(original)):
-        there, here = original[:cut].strip(), original[cut:].strip()
-        if here and there and beginning.startswith(here) and ending.endswith(there):
-            return ending[: len(ending) - len(there)] + corrected, beginning[len(here):].strip()
-    return None
-
-
-def repair_chunk(numbers, texts, targets, originals, correcteds):
-    """Texts and applied (proposal slot, note) of one chunk, with repair across cue boundaries."""
-    texts = list(texts)
-    at = {number: i for i, number in enumerate(numbers)}
-    applied = []
-    for i, number in enumerate(numbers):
-        for slot, target in enumerate(targets):
-            if target != number:
-                continue
-            original, corrected = originals[slot], correcteds[slot]
-            if original in texts[i]:
-                if original != corrected:
-                    texts[i] = texts[i].replace(original, corrected)
-                    applied.append((slot, ""))
-                continue
-            after, before = at.get(number + 1), at.get(number - 1)
-            if after is not None:
-                fixed = _split_forward(texts[i], texts[after], original, corrected)
-                if fixed:
-                    texts[i], texts[after] = fixed
-                    applied.append((slot, FORWARD_NOTE))
-            elif before is not None:
-                fixed = _split_backward(texts[before], texts[i], original, corrected)
-                if fixed:
-                    texts[before], texts[i] = fixed
-                    applied.append((slot, BACKWARD_NOTE))
-    return texts, applied
-
-
-_REPAIRED = "texts array<string>, slots array<int>, notes array<string>"
-
-
-def _repair_batch(
-    numbers: pd.Series, texts: pd.Series, targets: pd.Series, originals: pd.Series,
-    correcteds: pd.Series,
-) -> pd.DataFrame:
-    rows = []
-    for chunk in zip(numbers, texts, targets, originals, correcteds):
-        if chunk[0] is None:
-            rows.append((None, None, None))
-            continue
-        fixed, applied = repair_chunk(*chunk)
-        rows.append((fixed, [s for s, _ in applied], [n for _, n in applied]))
-    return pd.DataFrame(rows, columns=["texts", "slots", "notes"])
+def _seam(earlier: Column, later: Column, original: Column, cuts: Column) -> Column:
+    """What is left of two texts when `original` ends the one and begins the other.
+
+    The first of `cuts` at which both halves of the original fit decides: (kept, rest), the earlier
+    text before its half and the later one behind its own; null where none fits.
+    """
+    def halves(cut: Column) -> Column:
+        return F.struct(strip(F.left(original, cut)).alias("left"),
+                        strip(F.substr(original, cut + 1)).alias("right"))
+
+    def seam(ends: Column) -> Column:
+        fitting = F.filter(
+            F.transform(cuts, halves),
+            lambda h: ((h["left"] != "") | (h["right"] != ""))
+            & F.endswith(ends["end"], h["left"]) & F.startswith(ends["begin"], h["right"]))
+        return let(F.get(fitting, F.lit(0)), lambda h: F.when(h.isNotNull(), F.struct(
+            F.left(ends["end"], F.length(ends["end"]) - F.length(h["left"])).alias("kept"),
+            strip(F.substr(ends["begin"], F.length(h["right"]) + 1)).alias("rest"))))
+
+    together = F.contains(squash(F.concat_ws(" ", earlier, later)), squash(original))
+    ends = F.struct(rstrip(earlier).alias("end"), lstrip(later).alias("begin"))
+    return F.when(together, let(ends, seam))
+
+
+def _cuts(original: Column, forward: bool) -> Column:
+    """Where to cut an original in two: forward the longest left half first, down to one without a
+    right half; backward the shortest first, both halves with something in them."""
+    n = F.length(original)
+    if forward:
+        return F.filter(F.sequence(n, F.lit(1), F.lit(-1)),
+                        lambda c: strip(F.left(original, c)) != "")
+    inner = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(inner, lambda c: (strip(F.left(original, c)) != "")
+                    & (strip(F.substr(original, c + 1)) != ""))
+
+
+def _place_of(number: Column) -> Column:
+    """Place of the last cue with this number in the chunk, or null."""
+    return F.array_max(F.transform("cues", lambda c, i: F.when(c["idx"] == number, i)))
+
+
+def _steps() -> Column:
+    """Proposals in the order of their cues, each with the places of its cue and of its neighbours."""
+    def of_cue(cue: Column, at: Column) -> Column:
+        near = F.struct(_place_of(cue["idx"] + 1).alias("after"),
+                        _place_of(cue["idx"] - 1).alias("before"))
+        own = F.filter("props", lambda p: p["segment_id"] == cue["idx"])
+        return F.when(F.size(own) > 0, let(near, lambda n: F.transform(own, lambda p: F.struct(
+            at.alias("at"), n["after"].alias("after"), n["before"].alias("before"),
+            p["prop_no"].alias("prop_no"), p["original"].alias("original"),
+            p["corrected"].alias("corrected")))))
+
+    return F.flatten(F.filter(F.transform("cues", of_cue), lambda own: own.isNotNull()))
+
+
+def _chunk_fold() -> Column:
+    """Texts and applied (prop_no, note) of a chunk, with repair across cue boundaries."""
+    start = F.struct(
+        F.transform("cues", lambda c: c["text"]).alias("texts"),
+        F.array().cast("array<struct<prop_no:int,note:string>>").alias("applied"))
+
+    def edit(texts: Column, s: Column) -> Column:
+        """(first, second, kept, rest, note) of a step; `second` is null for a plain hit."""
+        def split(first: Column, second: Column, forward: bool, note: str) -> Column:
+            seam = _seam(F.get(texts, first), F.get(texts, second), s["original"],
+                         _cuts(s["original"], forward))
+            return let(seam, lambda m: F.when(m.isNotNull(), F.struct(
+                first.alias("first"), second.alias("second"),
+                F.concat(m["kept"], s["corrected"]).alias("kept"), m["rest"].alias("rest"),
+                F.lit(note).alias("note"))))
+
+        def of(text: Column) -> Column:
+            plain = F.when(s["original"] != s["corrected"], F.struct(
+                s["at"].alias("first"), F.lit(None).cast("int").alias("second"),
+                F.replace(text, s["original"], s["corrected"]).alias("kept"),
+                F.lit(None).cast("string").alias("rest"), F.lit("").alias("note")))
+            return (
+                F.when(F.contains(text, s["original"]), plain)
+                .when(s["after"].isNotNull(), split(s["at"], s["after"], True, FORWARD_NOTE))
+                .when(s["before"].isNotNull(), split(s["before"], s["at"], False, BACKWARD_NOTE)))
+
+        return let(F.get(texts, s["at"]), of)
+
+    def step(acc: Column, s: Column) -> Column:
+        def taken(e: Column) -> Column:
+            texts = F.transform(acc["texts"], lambda t, i: F.when(i == e["first"], e["kept"]).when(
+                i == e["second"], e["rest"]).otherwise(t))
+            done = F.struct(s["prop_no"].alias("prop_no"), e["note"].alias("note"))
+            return F.when(e.isNull(), acc).otherwise(F.struct(
+                texts.alias("texts"), F.concat(acc["applied"], F.array(done)).alias("applied")))
+
+        return let(edit(acc["texts"], s), taken)
+
+    return F.aggregate(_steps(), start, step)
 
 
 def correct_chunks(
@@ -228,35 +247,11 @@ def correct_chunks(
         return folded.withColumn("texts", exact_texts).withColumn("applied", exact_applied).drop(
             "folds"
         )
-    needs_repair = F.exists("folds", lambda f: f["missed"])
-
-    def when_needed(values: Column) -> Column:
-        return F.when(needs_repair, values)
-
-    # Marked so that the optimizer evaluates it once per chunk and moves nothing through it.
-    repair = F.pandas_udf(_repair_batch, _REPAIRED).asNondeterministic()
     repaired = folded.withColumn(
-        "repaired",
-        repair(
-            when_needed(F.transform("cues", lambda c: c["idx"])),
-            when_needed(F.transform("cues", lambda c: c["text"])),
-            when_needed(F.transform("props", lambda p: p["segment_id"])),
-            when_needed(F.transform("props", lambda p: p["original"])),
-            when_needed(F.transform("props", lambda p: p["corrected"])),
-        ),
-    )
-    repaired_applied = F.transform(
-        F.arrays_zip("repaired.slots", "repaired.notes"),
-        lambda a: F.struct(
-            F.get(F.col("props"), a["slots"])["prop_no"].alias("prop_no"),
-            a["notes"].alias("note"),
-        ),
-    )
-    was_repaired = F.col("repaired.texts").isNotNull()
+        "repaired", F.when(F.exists("folds", lambda f: f["missed"]), _chunk_fold()))
     return (
-        repaired.withColumn(
-            "texts", F.when(was_repaired, F.col("repaired.texts")).otherwise(exact_texts))
-        .withColumn("applied", F.when(was_repaired, repaired_applied).otherwise(exact_applied))
+        repaired.withColumn("texts", F.coalesce("repaired.texts", exact_texts))
+        .withColumn("applied", F.coalesce("repaired.applied", exact_applied))
         .drop("folds", "repaired")
     )
 

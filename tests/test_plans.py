@@ -10,7 +10,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 FOLDER = "/root/testdata/sf0.001"
 
 PYTHON_ALLOWED = {
-    "c01", "c02", "c03", "c05", "c06", "c08", "u01", "a04", "a05", "p06", "d15",
+    "c05", "c06", "a05", "p06", "d15",
 }
 WRITES = {"s01", "x01", "x02", "x03", "c04", "d12", "d18"}
 
