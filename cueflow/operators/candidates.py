@@ -125,18 +125,51 @@ def guard_counts(text: Column) -> list[Column]:
     return [F.size(guard_spans(text, kind)).alias(f"{kind}_spans") for kind in GUARDS]
 
 
+def _guard_ranges(text: Column, kind: str) -> Column:
+    """[start, stop) of each guarded span, counted from 1: spans are marked and the marks counted."""
+    marked = F.regexp_replace(text, f"({GUARDS[kind]})", "\x01$1\x02")
+    pieces = F.split(marked, "\x01")
+    state = F.struct(
+        (F.length(F.get(pieces, F.lit(0))) + 1).alias("at"),
+        F.array().cast("array<struct<start:int,stop:int>>").alias("ranges"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        size = F.length(F.substring_index(piece, "\x02", 1))
+        span = F.struct(acc["at"].alias("start"), (acc["at"] + size).alias("stop"))
+        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"),
+                        F.concat(acc["ranges"], F.array(span)).alias("ranges"))
+
+    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.aggregate(rest, state, step, lambda acc: acc["ranges"])
+
+
+def _occurrences(text: Column, term: Column) -> Column:
+    """[start, stop) of each place where `term` stands, also overlapping ones; none for an empty."""
+    n = F.length(term)
+    last = F.length(text) - n + 1
+    starts = F.when((n > 0) & (last > 0), F.sequence(F.lit(1), last)).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(F.filter(starts, lambda i: F.substr(text, i, n) == term),
+                       lambda i: F.struct(i.alias("start"), (i + n).alias("stop")))
+
+
 def touches_guard(text: Column, original: Column, entities: Column | None = None) -> Column:
-    """Whether the text to be replaced overlaps a guarded span of `text`.
+    """Whether some place of the text to be replaced overlaps a guarded span of `text`.
 
-    A span is touched when it lies in the original or the original in it. `entities` adds an array
-    of protected terms.
+    `entities` adds an array of protected terms. Texts are taken not to hold the control
+    characters 1 and 2.
     """
-    spans = F.flatten(F.array(*[guard_spans(text, kind) for kind in GUARDS]))
+    ranges = F.flatten(F.array(*[_guard_ranges(text, kind) for kind in GUARDS]))
     if entities is not None:
-        spans = F.concat(spans, F.filter(entities, lambda e: F.contains(text, e)))
-    return F.exists(
-        spans, lambda s: F.contains(original, s) | F.contains(s, original)
-    )
+        ranges = F.concat(ranges, F.flatten(F.transform(
+            entities, lambda e: _occurrences(text, e))))
+    return F.exists(_occurrences(text, original), lambda o: F.exists(
+        ranges, lambda r: (o["start"] < r["stop"]) & (r["start"] < o["stop"])))
+
+
+def unguarded_proposals(matched: DataFrame, entities: Column | None = None) -> DataFrame:
+    """Proposals matched to their cue (`text`, `original_text`) that touch nothing guarded."""
+    return matched.where(~touches_guard(F.col("text"), F.col("original_text"), entities))
 
 
 def _block_neighbours(left: pd.DataFrame, right: pd.DataFrame, alpha, tau, floor, top):
@@ -149,8 +182,8 @@ def _block_neighbours(left: pd.DataFrame, right: pd.DataFrame, alpha, tau, floor
     score = alpha * similarity + (1 - alpha) * np.exp(-apart / tau)
     score[(similarity < floor) | (apart == 0)] = -np.inf
     kept = min(top, len(j))
-    best = np.argpartition(-score, kept - 1, axis=1)[:, :kept] if len(j) > kept else np.tile(
-        np.arange(len(j)), (len(i), 1))
+    # ties go to the smaller neighbour here too, so that the cut does not depend on the blocks
+    best = np.lexsort((np.broadcast_to(j, score.shape), -score))[:, :kept]
     rows = np.repeat(np.arange(len(i)), best.shape[1])
     cols = best.ravel()
     usable = np.isfinite(score[rows, cols])

@@ -9,6 +9,7 @@ from cueflow import constants as K
 from cueflow.functions.skew import join_spread
 from cueflow.operators.knowledge import entry_lines, top_entries
 from cueflow.operators.proposals import chunk_number
+from cueflow.sources.payloads import fallback_manifest
 
 
 def sorted_entities(manifest: Column) -> Column:
@@ -71,13 +72,14 @@ def chunk_lines(segments: DataFrame) -> DataFrame:
 
 
 def prompt_requests(segments: DataFrame, manifests: DataFrame, kb: DataFrame) -> DataFrame:
-    """(doc_id, chunk_no, chunk_text, manifest_text, kb_lines, preserved_terms).
+    """(doc_id, chunk_no, chunk_text, manifest_text, kb_lines, preserved_terms) of every chunk.
 
     KB lines are worked out once per distinct context and joined to the documents, not per chunk.
     """
-    m = F.col("manifest")
+    m = F.coalesce("manifest", fallback_manifest())
     context = ["topic", "industry", "country"]
-    per_doc = manifests.select(
+    # a document without a manifest gets the fallback
+    per_doc = segments.select("doc_id").distinct().join(manifests, "doc_id", "left").select(
         "doc_id", manifest_block(m).alias("manifest_text"),
         shown_preserved_terms(m).alias("preserved_terms"),
         *[F.lower(m[c]).alias(c) for c in context],

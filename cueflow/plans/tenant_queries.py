@@ -175,6 +175,15 @@ def d14_guard_spans(spark, folder):
     return docs.select("doc_id", *C.guard_counts(F.col("text")))
 
 
+@query("d14_unguarded_proposals")
+def d14_unguarded_proposals(spark, folder):
+    """Of one proposal per document, its middle eight characters, those that touch no guard."""
+    text = F.col("text")
+    middle = F.substr(text, (F.length(text) / 2).cast("int") + 1, F.lit(8))
+    proposed = A.documents(spark, folder).select("doc_id", "text", middle.alias("original_text"))
+    return C.unguarded_proposals(proposed).select("doc_id", "original_text")
+
+
 @query("d15_context_neighbours", """WITH v AS (
   SELECT CAST(label AS VARCHAR) AS doc_id, vec_id AS pos, CAST(embedding AS DOUBLE[]) AS e
   FROM embeddings),

@@ -91,10 +91,15 @@ def settings_faults(settings: DataFrame) -> DataFrame:
 
 
 def preset_issues(segments: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    """Segment rules with the thresholds of each document's `preset`."""
+    """Segment rules with the thresholds of each document's `preset`.
+
+    A null or unknown preset has the default thresholds.
+    """
     presets = preset_table(segments.sparkSession)
     names_of = ["min_duration_ms", "max_duration_ms", "max_cps", "line_wrap"]
-    joined = segments.join(F.broadcast(presets.select("preset", *names_of)), "preset")
+    default = {**K.DEFAULT_SETTINGS, "max_cps": float(K.DEFAULT_SETTINGS["max_cps"])}
+    joined = segments.join(F.broadcast(presets.select("preset", *names_of)), "preset", "left").withColumns(
+        {n: F.coalesce(n, F.lit(default[n])) for n in names_of})
     # The preset travels inside the document key, which the rules hand through untouched.
     keyed = joined.withColumn("doc_id", F.struct("doc_id", "preset"))
     limits = {n: F.col(n) for n in names_of}

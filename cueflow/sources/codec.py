@@ -29,7 +29,7 @@ _VTT_TAGS = ["<v[^>]*>", "</v>", "<c[^>]*>", "</c>"]
 
 # Fixed pattern: a well-formed SRT block is a number, a timing line, and something to read.
 _SRT_BLOCK = (
-    rf"\A{WHITESPACE_CLASS}*[+-]?[0-9]{{1,18}}(?:_[0-9]+)*{BLANK_CLASS}*\n"
+    rf"\A{WHITESPACE_CLASS}*[+-]?[0-9]+(?:_[0-9]+)*{BLANK_CLASS}*\n"
     rf"{BLANK_CLASS}*{SRT_SPAN}[^\n]*\n{WHITESPACE_CLASS}*{NON_WHITESPACE_CLASS}"
 )
 # Fixed pattern: a WebVTT timing line has both ends with hours or both without.
@@ -103,7 +103,11 @@ def _segments(docs: DataFrame, blocks: Column, is_srt: Column, key: list[str]) -
         F.when(F.col("is_srt"), strip(part[2])).otherwise(part[2]).alias("text"),
     )
     times = F.when(F.col("is_srt"), srt_times(F.col("line"))).otherwise(vtt_times(F.col("line")))
-    number = F.replace(strip(F.col("number")), F.lit("_")).try_cast("long")
+    # a number that no long can hold counts as the nearest one that can
+    digits = F.replace(strip(F.col("number")), F.lit("_"))
+    number = F.coalesce(
+        digits.try_cast("long"),
+        F.when(F.startswith(digits, F.lit("-")), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1)))
     return lines.select(
         *key, "pos", F.when(F.col("is_srt"), number).otherwise(F.col("pos") + 1).alias("idx"),
         times.alias("t"), "text",

@@ -24,6 +24,19 @@ _RAW_PROPOSAL = (
 )
 
 
+def _kind(json: Column, path: str) -> Column:
+    """JSON type of a field, as Spark names it; null where it is missing."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), path, "variant"))
+
+
+def _is_text(json: Column, name: str, optional: bool = False) -> Column:
+    """Whether a field is a JSON string (or, if optional, missing or null)."""
+    kind = _kind(json, f"$.{name}")
+    if optional:
+        return F.coalesce(kind.isin("STRING", "VOID"), F.lit(True))
+    return F.coalesce(kind == "STRING", F.lit(False))
+
+
 def fallback_manifest() -> Column:
     fixed = K.FALLBACK_MANIFEST
     return F.struct(
@@ -38,8 +51,8 @@ def fallback_manifest() -> Column:
 def read_manifests(payloads: DataFrame) -> DataFrame:
     """Manifests from (doc_id, payload): `manifest` and whether it is the fallback.
 
-    A payload lacking any required field, also in one entity, gives the fallback as a whole. An
-    entity may name its kind `type` or `category`.
+    A payload lacking any required field, or with one that is not a JSON string, also in one entity,
+    gives the fallback as a whole. An entity may name its kind `type` or `category`.
     """
     raw = payloads.withColumn("raw", F.from_json("payload", _RAW_MANIFEST))
     r = F.col("raw")
@@ -56,9 +69,15 @@ def read_manifests(payloads: DataFrame) -> DataFrame:
     complete = F.lit(True)
     for name in ["topic", "genre", "summary", "entities", "style_guide"]:
         complete = complete & r[name].isNotNull()
+    for name in ["topic", "genre", "summary", "style_guide"]:
+        complete = complete & _is_text(F.col("payload"), name)
+    for name in ["industry", "country", "dialect"]:
+        complete = complete & _is_text(F.col("payload"), name, optional=True)
+    items = F.from_json("payload", "entities array<string>")["entities"]
     whole = complete & F.forall(
         entities, lambda e: e["name"].isNotNull() & e["type"].isNotNull()
-    )
+    ) & F.forall(items, lambda i: _is_text(i, "name") & (
+        _is_text(i, "type") | _is_text(i, "category")))
     usable = F.coalesce(whole, F.lit(False))
 
     def defaulted(name: str) -> Column:
@@ -87,7 +106,7 @@ def _read_items(payloads: DataFrame) -> DataFrame:
     segment_id = F.when(number == F.floor(number), number.cast("long"))
     complete = segment_id.isNotNull()
     for name in ["original_text", "corrected_text", "type", "reason"]:
-        complete = complete & F.col(f"p.{name}").isNotNull()
+        complete = complete & _is_text(F.col("item"), name)
     return parsed.select(
         "doc_id", "chunk_no", "prop_no", "item", segment_id.alias("segment_id"),
         F.col("p.original_text").alias("original_text"),

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -57,6 +58,35 @@ def test_gates_and_guards(spark):
     assert [r["t"] for r in touched] == [True, False, True, True]
 
 
+def test_guards_go_by_position(spark):
+    rng = random.Random(2)
+    rows = [("Paid €5.50 on monday", "Paid €5"), ("a 5 b a c", "a "), ("5 5", "5"), ("x", "")]
+    for _ in range(200):
+        text = "".join(rng.choice("a1 €.:/5") for _ in range(rng.randint(1, 14)))
+        at = rng.randrange(len(text))
+        rows.append((text, text[at:at + rng.randint(1, 4)]))
+
+    def plain(text, original):
+        spans = [m.span() for p in C.GUARDS.values() for m in re.finditer(p, text)]
+        places = [(i, i + len(original)) for i in range(len(text) - len(original) + 1)
+                  if original and text[i:i + len(original)] == original]
+        return any(a < d and c < b for a, b in places for c, d in spans)
+
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                                  "i int, text string, original_text string")
+    kept = {r.i for r in C.unguarded_proposals(table).collect()}
+    assert kept == {i for i, r in enumerate(rows) if not plain(*r)}
+
+
+def test_equal_scores_go_to_the_smaller_neighbour(spark):
+    rows = [("d", i, [1.0, 0.0]) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id string, pos long, vector array<double>")
+    for block in (8, 512):
+        near = C.context_neighbours(table, floor=0.1, top=3, block=block)
+        got = [r.neighbour for r in near.where("pos = 20").orderBy("rank").collect()]
+        assert got == [19, 21, 18]
+
+
 def test_context_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(4)
     docs = {"a": rng.normal(size=(50, 6)), "b": rng.normal(size=(7, 6)), "c": rng.normal(size=(1, 6))}
@@ -144,3 +174,16 @@ def test_preserved_terms(spark):
         "doc_id string, terms array<string>, dialect string, found_dialect string")
     [row] = preserved_terms(before, after, wanted).collect()
     assert tuple(row) == ("d", 1, 2, True, True)
+
+
+def test_requests_and_presets_lose_no_document(spark, segments):
+    from cueflow.plans.validation import preset_issues
+
+    seg = segments([("a", 1, 0, 5, "x"), ("b", 1, 0, 5, "y")])
+    none = spark.createDataFrame([], "doc_id string, payload string")
+    from cueflow.sources.payloads import read_manifests
+    rows = prompts.prompt_requests(seg, read_manifests(none), kb_of(spark, [])).collect()
+    assert {r.doc_id for r in rows} == {"a", "b"}
+    preset = F.when(F.col("doc_id") == "a", "no such preset")
+    issues = preset_issues(seg.withColumn("preset", preset)).collect()
+    assert {(r.doc_id, r.preset) for r in issues} == {("a", "no such preset"), ("b", None)}

@@ -168,3 +168,35 @@ def test_timecodes(spark):
     assert got[2]["s"] is None and got[2]["v"] is None
     [clock] = spark.range(1).select(srt_clock(F.lit(360_000_001).cast("long"))).collect()
     assert clock[0] == "100:00:00,001"
+
+
+def test_cue_numbers_of_any_length(spark):
+    from cueflow.sources import codec
+
+    numbers = ["1234567890123456789", "1_0000000000000000000000", "-99999999999999999999", "7"]
+    body = "\n\n".join(f"{n}\n00:00:01,000 --> 00:00:02,000\nx" for n in numbers)
+    docs = spark.createDataFrame([("d", "srt", body)], "doc_id string, format string, content string")
+    got = [r.idx for r in codec.parse(docs).orderBy("pos").collect()]
+    assert got == [1234567890123456789, 2**63 - 1, -(2**63), 7]
+
+
+def test_payload_fields_must_be_strings(spark):
+    import json
+
+    from cueflow.sources import payloads
+
+    fields = {"segment_id": 1, "original_text": "a", "corrected_text": "b", "type": "t", "reason": "r"}
+    bad = [{"original_text": 5}, {"corrected_text": {"a": 1}}, {"type": True}, {"reason": None}]
+    items = [fields, *({**fields, **b} for b in bad)]
+    rows = spark.createDataFrame([("d", 0, json.dumps({"corrections": items}))],
+                                 "doc_id string, chunk_no long, payload string")
+    assert [r.prop_no for r in payloads.read_proposals(rows).collect()] == [0]
+    assert payloads.malformed_proposals(rows).count() == 4
+    good = {"topic": "t", "genre": "g", "summary": "s", "style_guide": "x",
+            "entities": [{"name": "n", "category": "c"}]}
+    manifests = [good, {**good, "topic": 5}, {**good, "entities": [{"name": 1, "type": "c"}]},
+                 {**good, "industry": 3}, {**good, "industry": None}]
+    rows = spark.createDataFrame([(str(i), json.dumps(m)) for i, m in enumerate(manifests)],
+                                 "doc_id string, payload string")
+    got = {r.doc_id: r.is_fallback for r in payloads.read_manifests(rows).collect()}
+    assert got == {"0": False, "1": True, "2": True, "3": True, "4": False}
