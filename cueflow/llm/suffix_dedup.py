@@ -286,7 +286,9 @@ def repeated_spans(
     anchors = settle(
         named.select("doc", "text").mapInArrow(_anchor_rows, "gram long, doc long, pos int"),
         "anchors")
-    often = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # written out, so that Spark can split the rows of a hot gram in the join
+    often = settle(
+        anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "often")
     positions = (
         anchors.join(often, "gram", "left_semi")
         .groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
