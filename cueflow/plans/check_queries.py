@@ -376,6 +376,31 @@ def c09_validation_report(spark, folder):
     )
 
 
+@query("c09_text_report", f"""{with_views('seg_docs')},
+parsed AS (SELECT doc_id, pos, start_ms, end_ms, trim(text, ' ' || chr(9) || chr(160)) AS text
+  FROM seg WHERE (CAST(doc_id AS BIGINT) + pos) % 13 > 2 AND trim(text) <> ''),
+named AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 11 = 4 THEN 'content_empty'
+    WHEN doc_id % 11 = 5 THEN 'format' END AS reason, doc_id % 11 = 6 AS junk FROM documents)
+SELECT named.doc_id, reason, CASE WHEN reason IS NULL THEN count(pos) END AS segment_count,
+  CASE WHEN reason IS NULL THEN coalesce(arg_max(end_ms, pos), 0) END AS total_duration_ms
+FROM named LEFT JOIN parsed
+  ON named.doc_id = parsed.doc_id AND reason IS NULL AND NOT junk
+GROUP BY named.doc_id, reason""")
+def c09_text_report(spark, folder):
+    """From subtitle text to reports: admission, parsing, rules; also rejected and empty files."""
+    from cueflow.plans.source_queries import srt_corpus
+    from cueflow.plans.validation import text_report
+
+    docs = srt_corpus(spark, folder)
+    kind = F.col("doc_id").cast("long") % 11
+    docs = docs.select(
+        "doc_id", F.lit("en").alias("language"),
+        F.when(kind == 4, F.lit(" ")).when(kind == 6, F.lit("junk")).otherwise(
+            F.col("content")).alias("content"),
+        F.when(kind == 5, F.lit(None)).otherwise(F.lit("srt")).alias("format"))
+    return text_report(docs, 2**31 - 1).select("doc_id", "reason", "segment_count", "total_duration_ms")
+
+
 @query("d08_merge_adjacent", f"""{with_views('seg_long')},
 linked AS (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER w <= 100 THEN 0 ELSE 1 END AS fresh
   FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),

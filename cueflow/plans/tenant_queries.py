@@ -260,6 +260,29 @@ def x01_arriving_files(spark, folder):
     return spark.read.parquet(outbox).groupBy("issue_type").agg(F.count("*").alias("issues"))
 
 
+@query("x01_file_reports", f"""{with_views('seg_docs')},
+parsed AS (SELECT doc_id, pos, start_ms, end_ms, trim(text, ' ' || chr(9) || chr(160)) AS text
+  FROM seg WHERE (CAST(doc_id AS BIGINT) + pos) % 13 > 2 AND trim(text) <> ''),
+named AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(doc_id AS VARCHAR) || ': a %.srt' AS name
+    FROM documents
+  UNION ALL SELECT 'e' || doc_id, 'e' || doc_id || ': a %.srt' FROM documents)
+SELECT name, count(pos) AS segment_count, coalesce(arg_max(end_ms, pos), 0) AS total_duration_ms,
+  CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total_characters
+FROM named LEFT JOIN parsed USING (doc_id) GROUP BY name""")
+def x01_file_reports(spark, folder):
+    """Reports of streamed files: each document, and for each one more file without a cue."""
+    inbox, outbox = scratch_path(spark, "inbox"), scratch_path(spark, "reports")
+    docs = srt_corpus(spark, folder).select("doc_id", "content")
+    junk = docs.select(F.concat(F.lit("e"), "doc_id").alias("doc_id"), F.lit("no cue").alias("content"))
+    named = docs.unionByName(junk).select(
+        F.concat("doc_id", F.lit(": a %.srt")).alias("name"), F.lit(0).alias("part_no"), "content")
+    files.write_corpus(named, inbox)
+    jobs.report_per_batch(spark, inbox, outbox, scratch_path(spark, "progress"))
+    return spark.read.parquet(outbox).select(
+        files.document_name(F.col("doc_id")).alias("name"), "segment_count", "total_duration_ms",
+        F.coalesce("total_characters", F.lit(0)).alias("total_characters"))
+
+
 @query("x02_arriving_corrections", """SELECT event_type AS wrong_term, props AS correct_term,
   count(*) AS count FROM events GROUP BY ALL""")
 def x02_arriving_corrections(spark, folder):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from cueflow import constants as K
 from cueflow.functions.ordered import with_previous
 from cueflow.operators import intervals, rules, stats
+from cueflow.session import settle
+from cueflow.sources import codec, files
 
 
 def all_issues(
@@ -63,6 +65,20 @@ def validation_report(
     return report.withColumn("errors", errors).withColumn("valid", F.col("errors") == 0)
 
 
+def text_report(docs: DataFrame, max_chars: int = K.MAX_CONTENT_CHARS) -> DataFrame:
+    """Reports of documents (doc_id, content, format, language) from their text on.
+
+    One row per document: `reason` says why one was rejected; an admitted one without a cue has the
+    report of an empty document.
+    """
+    judged = settle(files.admit(docs, max_chars), "admitted")
+    admitted = files.accepted(judged)
+    report = validation_report(settle(codec.parse(admitted), "cues"), admitted)
+    rejected = files.rejected(judged).select("doc_id", "reason")
+    return report.withColumn("reason", F.lit(None).cast("string")).unionByName(
+        rejected, allowMissingColumns=True)
+
+
 def preset_table(spark: SparkSession) -> DataFrame:
     """The presets as rows (six, fixed)."""
     rows = []

@@ -36,9 +36,22 @@ def write_corpus(docs: DataFrame, path: str) -> None:
     )
 
 
+def _unescaped(text: Column) -> Column:
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def document_name(doc_id: Column) -> Column:
-    """Name of a document written by `write_corpus`, from its file path."""
-    return F.regexp_extract(doc_id, "/name=([^/]+)/", 1)
+    """Name of a document written by `write_corpus`, from its file path; empty for other paths.
+
+    The folder name is escaped, and so is the path that holds it.
+    """
+    return _unescaped(_unescaped(F.regexp_extract(doc_id, "/name=([^/]+)/", 1)))
+
+
+def source_name(doc_id: Column) -> Column:
+    """The name that tells a file's format: what `write_corpus` was given, or else the path."""
+    name = document_name(doc_id)
+    return F.when(name != "", name).otherwise(doc_id)
 
 
 def format_of(name: Column, policy: str = "router") -> Column:

@@ -16,16 +16,18 @@ LOG_SCHEMA = (
 )
 
 
-def arriving_segments(spark: SparkSession, path: str, policy: str = "router") -> DataFrame:
-    """Segments of subtitle files as they arrive below `path`. Stateless."""
+def arriving_documents(spark: SparkSession, path: str, policy: str = "router") -> DataFrame:
+    """Subtitle files as they arrive below `path`: (doc_id, content, format)."""
     arrived = spark.readStream.option("recursiveFileLookup", "true").text(path, wholetext=True)
     docs = arrived.select(
         F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("content")
     )
-    name = F.when(
-        files.document_name(F.col("doc_id")) != "", files.document_name(F.col("doc_id"))
-    ).otherwise(F.col("doc_id"))
-    return codec.parse(docs.withColumn("format", files.format_of(name, policy)))
+    return docs.withColumn("format", files.format_of(files.source_name(F.col("doc_id")), policy))
+
+
+def arriving_segments(spark: SparkSession, path: str, policy: str = "router") -> DataFrame:
+    """Segments of subtitle files as they arrive below `path`. Stateless."""
+    return codec.parse(arriving_documents(spark, path, policy))
 
 
 def arriving_issues(spark: SparkSession, path: str, policy: str = "router") -> DataFrame:
@@ -52,19 +54,21 @@ def run_available(
 def report_per_batch(
     spark: SparkSession, path: str, output: str, checkpoint: str, policy: str = "router"
 ) -> StreamingQuery:
-    """Validation report of each arriving file; a file always lies in one batch as a whole.
+    """Validation report of each arriving file, also of one without a single cue.
 
-    Each batch writes its own folder and replaces it when it is run again.
+    A file always lies in one batch as a whole. Each batch writes its own folder and replaces it
+    when it is run again.
     """
     from cueflow.plans.validation import validation_report
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # The report reads the segments several times, the files are read once.
-        segments = settle(batch, "arrived")
-        validation_report(segments).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        docs = settle(batch, "arrived")
+        report = validation_report(settle(codec.parse(docs), "arrived-cues"), docs)
+        report.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     query = (
-        arriving_segments(spark, path, policy)
+        arriving_documents(spark, path, policy)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
