@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of context; a run is one byte more and fits an integer of 32 bits.
 ORDER = 3
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 20
 #: Stands for what is before the beginning of a text.
 BEFORE = b"\n" * ORDER
 
@@ -39,26 +39,33 @@ def count_runs(
 ) -> DataFrame:
     """(group, run, n): how often each run occurs in a group's texts, combined per task first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         held: dict[str, list[np.ndarray]] = {}
         sizes: dict[str, int] = {}
 
-        def flush(key: str) -> pa.RecordBatch:
+        def fold(key: str) -> None:
+            """What is held of a group goes into its counts: one entry per distinct run."""
             runs, n = np.unique(np.concatenate(held.pop(key)), return_counts=True)
+            if key in counted:
+                runs, place = np.unique(np.append(counted[key][0], runs), return_inverse=True)
+                n = np.bincount(place, np.append(counted[key][1], n)).astype(np.int64)
+            counted[key] = runs, n
             sizes[key] = 0
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(runs), pa.string()), pa.array(runs.astype(np.int64)),
-                 pa.array(n)], ["group", "run", "n"])
 
         for batch in batches:
-            for value, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                  strict=True):
-                for window in windows(data_of(value)):
+            for value, own in zip(batch.column(0), batch.column(1), strict=True):
+                key = own.as_py()
+                for window in windows(data_of(value.as_py())):
                     held.setdefault(key, []).append(runs_of(window))
                     sizes[key] = sizes.get(key, 0) + len(window)
-                    if sizes[key] > 8 * BYTES_AT_ONCE:
-                        yield flush(key)
+                    if sizes[key] > BYTES_AT_ONCE:
+                        fold(key)
         for key in list(held):
-            yield flush(key)
+            fold(key)
+        for key, (runs, n) in counted.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * len(runs), pa.string()), pa.array(runs.astype(np.int64)),
+                 pa.array(n.astype(np.int64))], ["group", "run", "n"])
 
     counts = docs.select(text, group).mapInArrow(run, "group string, run long, n long")
     return counts.groupBy("group", "run").agg(F.sum("n").alias("n"))
