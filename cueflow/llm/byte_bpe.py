@@ -202,6 +202,7 @@ def encode(
                      pa.array(ids_out, kinds[0]), pa.array(decoded_out, kinds[1])],
                     [id_col, "n_tokens", "ids", "decoded"])
                 done += len(part)
+        store.trim()
 
     kinds = "ids string, decoded string" if digest else "ids array<int>, decoded binary"
     kind = docs.schema[id_col].dataType.simpleString()

@@ -133,6 +133,7 @@ def pack(
                         closed += bins.add((key, start, length, crc, len(ids), *own), length)
                 yield rows(closed)
                 done += len(part)
+        store.trim()
         rest = list(bins.finish())
         if rest:
             yield rows(rest)

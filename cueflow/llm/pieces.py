@@ -1,13 +1,14 @@
 """Token ids of whole texts through the distinct pieces that a pattern cuts them into.
 
 A piece's ids do not depend on its neighbours, so each worker looks every distinct piece up once and
-keeps it. The store is emptied when it holds too many pieces; that costs time, never results.
+keeps it. When the store holds too many pieces, and when a task ends, only those learnt first stay,
+which are mostly the frequent ones; that costs time, never results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import regex
@@ -15,6 +16,7 @@ import regex
 #: Ids and lengths of some pieces: all ids in one array, and how many each piece has.
 Encoded = tuple[np.ndarray, np.ndarray]
 PIECES_KEPT = 1_000_000
+KEPT_BETWEEN_TASKS = 100_000
 CHARS_AT_ONCE = 2_000_000
 
 
@@ -42,15 +44,21 @@ class PieceStore:
     ):
         self.pattern = regex.compile(pattern)
         self.encode, self.decode, self.kept = encode, decode, kept
-        self.forget()
-
-    def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.bytes: list[bytes] = []
         self.flat = np.empty(0, np.int32)
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
 
+    def trim(self, kept: int = KEPT_BETWEEN_TASKS) -> None:
+        """Forgets all but the pieces learnt first."""
+        if len(self.place) <= kept:
+            return
+        self.place = dict(islice(self.place.items(), kept))
+        self.flat = self.flat[:self.starts[kept]].copy()
+        self.starts, self.lengths = self.starts[:kept].copy(), self.lengths[:kept].copy()
+        del self.bytes[kept:]
+
     def learn(self, pieces: list[str]) -> None:
         ids, lengths = self.encode(pieces)
         starts = len(self.flat) + np.cumsum(lengths) - lengths
@@ -65,7 +73,7 @@ class PieceStore:
     def ids_of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids, and the places of its pieces in this store."""
         if len(self.place) > self.kept:
-            self.forget()
+            self.trim()
         cut = [self.pattern.findall(text) for text in texts]
         pieces = list(chain.from_iterable(cut))
         place = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))

@@ -54,3 +54,17 @@ def test_long_pieces_agree_with_the_recursion():
     for piece in ("abc" * 60, "q" * 90, "hereinafter" * 9, "thththt" * 20):
         ids, _ = bpe.encode([piece])
         assert ids.tolist() == bpe.contract_long(piece.encode()).tolist()
+
+
+def test_a_trimmed_store_gives_the_same_ids(library):
+    from cueflow.llm.pieces import PieceStore
+
+    bpe = byte_bpe.RecursiveBpe(PATH)
+    store = PieceStore(P.PATTERN, bpe.encode, bpe.decode, kept=20)
+    texts = [f"word{i} and other{i * 7} things {i}" for i in range(60)]
+    for i in range(0, 60, 7):
+        for text, (ids, at) in zip(texts[i:i + 7], store.ids_of(texts[i:i + 7])):
+            assert ids.tolist() == library.encode_ordinary(text)
+            assert b"".join(store.bytes[k] for k in at.tolist()) == text.encode()
+        store.trim(10)
+        assert len(store.place) == len(store.bytes) == len(store.starts) == 10
