@@ -11,6 +11,7 @@ WHITESPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202
 BLANK_CLASS = r"[\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NON_WHITESPACE_CLASS = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+# Formats and languages that requests may name.
 FORMATS = ("srt", "webvtt")
 LANGUAGES = ("en", "es", "fr", "de", "it", "pt", "nl")
 
