@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
+"""Passages that repeat across documents, by sparse suffix arrays and window hashes.
 
 Only suffixes at minimisers are kept: of every `WINDOW` consecutive grams of `GRAM` words, the one
 with the smallest hash, the rightmost of several (inside a run of equal grams every GRAM-th from its
@@ -6,13 +6,17 @@ end). The choice depends on the words alone, so two documents that share `LEAST`
 words in a row share an anchor in them.
 
 1. Anchors are rows (gram, document, position). Grams that occur once are done.
-2. What is left meets its text again and gets its suffix and what precedes it, as word hashes,
-   `LEAST` words each way. A longer passage has further anchors, whose spans join up.
-3. The suffixes are sorted, over ranges that also cut through equal suffixes, so the array is as
-   wide as the cluster. Each is compared with `NEIGHBOURS` suffixes on either side and with the
-   suffix of the smallest document among those of its gram before it; matches are extended to the
-   left. Matches of at least LEAST words between different documents count.
-4. The ends of each range are compared with those of the next.
+2. Grams of at most `NEIGHBOURS` + 1 rows meet their texts again and get their suffixes and what
+   precedes them, as word hashes, `LEAST` words each way; a longer passage has further anchors, whose
+   spans join up. Rows are dealt by gram and sorted, so that each suffix meets all others of its gram
+   among the `NEIGHBOURS` after it. Matches are extended to the left; those of at least LEAST words
+   between different documents count.
+3. For grams of more rows, each window of LEAST words around an anchor is a row (hash, document,
+   position). The two smallest documents of each hash come from aggregates that combine on the map
+   side, and go back to the windows in a join. The cost grows with the rows, not with their pairs.
+
+Every two documents that share LEAST words in a row share an anchor in them, and either all rows of
+its gram are compared or all windows around it, so no passage is missed.
 
 Of a passage the smallest document keeps its copy: a match is `gone` from the larger of its two
 documents, never from the smaller, so the words of a passage always stay somewhere.
@@ -28,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueflow.functions.skew import join_spread
 from cueflow.session import settle
 
 GRAM = 16
@@ -41,7 +45,6 @@ NEIGHBOURS = 16
 NO_ID = (1 << 63) - 1
 BLANKS = b" \t\n\x0b\x0c\r"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SPREAD = np.random.default_rng(1).integers(1, 1 << 62, GRAM) | 1
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -185,99 +188,88 @@ class Spans:
         np.maximum.at(self.gone_right, large, right)
         np.maximum.at(self.gone_left, large, left)
 
-    def batch(self, mine: np.ndarray, part: int, edges: np.ndarray) -> pa.RecordBatch:
-        """Spans of the rows `mine`, and the rows `edges` as ends of the range `part`."""
-        found = mine & (self.right > 0)
+    def batch(self) -> pa.RecordBatch:
+        found = self.right > 0
         rows = self.rows
-        n, m = int(found.sum()), len(edges)
-        both = lambda values, of: pa.array(
-            np.concatenate([values[found], np.zeros(m, np.int64) if of is None else of]))
         pos = rows.pos.astype(np.int64)
-        blank = [None] * n
-        packed = [[r.astype(">i8").tobytes() for r in m_[edges]]
-                  for m_ in (rows.suffix, rows.before)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(blank + [part] * m, pa.int32()), both(rows.number, rows.number[edges]),
-             both(rows.doc, rows.doc[edges]), both(pos, pos[edges]),
-             both(pos - self.left, None), both(pos + self.right, None),
-             both(pos - self.gone_left, None), both(pos + self.gone_right, None),
-             both(self.partner, None), pa.array(blank + packed[0], pa.binary()),
-             pa.array(blank + packed[1], pa.binary())],
-            SPAN_NAMES)
-
-
-SPAN_NAMES = ["part", "number", "doc", "pos", "start", "stop", "gone_start", "gone_stop", "partner",
-              "suffix", "before"]
-SPAN_FIELDS = (
-    "part int, number long, doc long, pos long, start long, stop long, gone_start long, "
-    "gone_stop long, partner long, suffix binary, before binary")
-
-
-def _compare_all(rows: Suffixes, leader: Suffixes | None) -> tuple[Spans, int, np.ndarray]:
-    """Spans over (the leader and) `rows`, how many rows stand before `rows`, and each one's leader."""
-    before = 0
-    if leader is not None and len(leader):
-        rows, before = leader.joined(rows), len(leader)
-    spans = Spans(rows)
-    body = np.arange(before, len(rows))
-    for step in range(1, NEIGHBOURS + 1):
-        if len(body) > step:
-            spans.compare(body[:-step], body[step:])
-    # the smallest document so far within each gram
-    gram = (rows.suffix[:, :GRAM] * _SPREAD).sum(1)  # wraps around; compare() looks at the words
-    group = np.unique(gram, return_inverse=True)[1]
-    order = np.lexsort((rows.pos, rows.doc, rows.number, group))
-    first = np.empty(len(rows), bool)
-    first[0:1] = True
-    first[1:] = group[order][1:] != group[order][:-1]
-    leaders = order[first][group]
-    others = np.flatnonzero(leaders != np.arange(len(rows)))
-    spans.compare(leaders[others], others)
-    return spans, before, leaders
+        columns = (rows.number, rows.doc, pos - self.left, pos + self.right,
+                   pos - self.gone_left, pos + self.gone_right, self.partner)
+        return pa.RecordBatch.from_arrays([pa.array(c[found]) for c in columns], SPAN_NAMES)
+
+
+SPAN_NAMES = ["number", "doc", "start", "stop", "gone_start", "gone_stop", "partner"]
+SPAN_FIELDS = ", ".join(f"{name} long" for name in SPAN_NAMES)
 
 
 def _neighbour_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of the suffix array; its first and last rows go out as its ends too."""
-    part = TaskContext.get().partitionId()
+    """Rows sorted by suffix; rows held from the batch before give further spans, which join up."""
     held: Suffixes | None = None
-    leader: Suffixes | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        first = held is None
         rows = Suffixes.read(batch)
         rows = held.joined(rows) if held is not None else rows
-        spans, before, leaders = _compare_all(rows, leader)
-        mine = np.ones(len(spans.rows), bool)
-        edges = np.empty(0, np.int64)
-        if first:
-            edges = np.unique(np.append(np.arange(min(NEIGHBOURS, len(mine))), leaders[-1:]))
-        # rows held from the batch before give further spans, which join up with the earlier ones
-        yield spans.batch(mine, part, edges)
-        leader = spans.rows.take(leaders[-1:])
-        held = spans.rows.take(np.arange(max(before, len(mine) - NEIGHBOURS), len(mine)))
-    if held is not None:
-        last = Spans(leader.joined(held))
-        yield last.batch(np.zeros(len(last.rows), bool), part, np.arange(len(last.rows)))
-
-
-def _edge_spans(table: pa.Table) -> pa.Table:
-    """Ends of two ranges that follow each other, as one small suffix array."""
-    order = ["suffix", "before", "number", "doc", "pos"]
-    table = table.sort_by([(name, "ascending") for name in order]).combine_chunks()
-    unpack = lambda name: np.frombuffer(
-        b"".join(table[name].to_pylist()), ">i8").astype(np.int64).reshape(-1, LEAST)
-    rows = Suffixes(*(table[n].to_numpy() for n in ("number", "doc", "pos")), unpack("suffix"),
-                    unpack("before"))
-    spans, _, _ = _compare_all(rows, None)
-    return pa.Table.from_batches(
-        [spans.batch(np.ones(len(spans.rows), bool), 0, np.empty(0, int))])
+        spans, all_ = Spans(rows), np.arange(len(rows))
+        for step in range(1, min(NEIGHBOURS, len(rows) - 1) + 1):
+            spans.compare(all_[:-step], all_[step:])
+        yield spans.batch()
+        held = rows.take(np.arange(max(0, len(rows) - NEIGHBOURS), len(rows)))
+
+
+def windows_at(words: np.ndarray, positions: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each window of LEAST words that holds the gram at one of `positions`."""
+    starts = np.unique((np.array(positions, np.int64)[:, None] - np.arange(WINDOW)).ravel())
+    starts = starts[(starts >= 0) & (starts <= len(words) - LEAST)]
+    if not len(starts):
+        return np.empty(0, np.uint64), starts
+    grams = _grams(words)
+    out = grams[starts]
+    for step in [*range(GRAM, LEAST - GRAM, GRAM), LEAST - GRAM]:
+        out = (out ^ (out >> np.uint64(32))) * _MIX + grams[starts + step]
+    return (out ^ (out >> np.uint64(29))) * _MIX, starts
+
+
+WINDOW_FIELDS = "hash long, number long, doc long, start int"
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            number, doc, text, positions = (c.to_pylist() for c in batch.slice(i, 64).columns)
+            found = [windows_at(word_hashes(t), p) for t, p in zip(text, positions, strict=True)]
+            counts = [len(h) for h, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([h for h, _ in found]).view(np.int64)),
+                 pa.array(np.repeat(np.array(number, np.int64), counts)),
+                 pa.array(np.repeat(np.array(doc, np.int64), counts)),
+                 pa.array(np.concatenate([s for _, s in found]).astype(np.int32))],
+                ["hash", "number", "doc", "start"])
+
+
+def _window_spans(windows: DataFrame) -> DataFrame:
+    """Spans of the windows (WINDOW_FIELDS) that stand in more than one document."""
+    own = F.struct("number", "doc")
+    # written out, so that Spark can split the rows of a hot window in the joins
+    least = settle(
+        windows.groupBy("hash").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+        .filter("first <> last").select("hash", "first"), "window-first")
+    both = settle(
+        join_spread(windows, least, ["hash"], "inner", ["doc", "start"])
+        .filter(own > F.col("first"))
+        .groupBy("hash").agg(F.min("first").alias("first"), F.min("number").alias("second")),
+        "window-seconds")
+    start = F.col("start").cast("long")
+    mine = own == F.col("first")
+    return windows.join(both, "hash").select(
+        "number", "doc", start.alias("start"), (start + LEAST).alias("stop"),
+        start.alias("gone_start"), F.when(mine, start).otherwise(start + LEAST).alias("gone_stop"),
+        F.when(mine, F.col("second")).otherwise(F.col("first.number")).alias("partner"))
 
 
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(number, doc, start, stop, gone_start, gone_stop, partner): word spans around each anchor.
+    """(number, doc, start, stop, gone_start, gone_stop, partner): word spans of anchors and windows.
 
     `doc` is `document_key` of the row. Words from gone_start to gone_stop also stand in a document
     with a smaller id; the two are equal where there is none. `partner` is the smallest id matched.
@@ -288,29 +280,25 @@ def repeated_spans(
         "anchors")
     # written out, so that Spark can split the rows of a hot gram in the join
     often = settle(
-        anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "often")
-    positions = (
-        anchors.join(often, "gram", "left_semi")
-        .groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
-    )
-    rows = (
-        named.join(positions, "doc").select("number", "doc", "text", "positions")
-        .mapInArrow(_context_rows, ROW_FIELDS)
+        anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+        .select("gram", (F.col("n") > NEIGHBOURS + 1).alias("hot")), "often")
+    at = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("pos"))))
+    positions = settle(
+        anchors.join(often, "gram").groupBy("doc")
+        .agg(at(~F.col("hot")).alias("some"), at(F.col("hot")).alias("many")), "positions")
+
+    def meet(which: str) -> DataFrame:
+        part = positions.filter(F.size(which) > 0).select("doc", F.col(which).alias("positions"))
+        return named.join(part, "doc").select("number", "doc", "text", "positions")
+
+    order = ["suffix", "number", "doc", "pos"]
+    near = (
+        meet("some").mapInArrow(_context_rows, ROW_FIELDS)
+        .repartition(F.substring("suffix", 1, 4 * GRAM)).sortWithinPartitions(*order)
+        .mapInArrow(_neighbour_spans, SPAN_FIELDS)
     )
-    order = ["suffix", "before", "number", "doc", "pos"]
-    met = settle(
-        rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(_neighbour_spans, SPAN_FIELDS), "suffix-spans")
-    ends = met.filter("part is not null")
-    # one number per range: each boundary gets the ends of the range before it and of the next
-    parts = sorted(r.part for r in ends.select("part").distinct().collect())
-    sides = [(p, b) for b, p in enumerate(parts)] + [(p, b) for b, p in enumerate(parts[1:])]
-    boundaries = docs.sparkSession.createDataFrame(sides, "part int, boundary int")
-    between = ends.join(boundaries, "part").groupBy("boundary").applyInArrow(
-        lambda rows: _edge_spans(rows), SPAN_FIELDS)
-    spans = met.filter("part is null").unionByName(between)
-    return spans.filter("stop > start").select(
-        "number", "doc", "start", "stop", "gone_start", "gone_stop", "partner")
+    windows = settle(meet("many").mapInArrow(_window_rows, WINDOW_FIELDS), "windows")
+    return near.unionByName(_window_spans(windows))
 
 
 def _merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
@@ -343,7 +331,8 @@ def repeated_passages(
     """(doc, spans, gone, partners): one row per document with a passage that repeats.
 
     Spans are word positions [start, stop); `gone` are those that also stand in documents with
-    smaller ids. `partners` are ids of documents that share a passage, for each anchor the smallest.
+    smaller ids. `partners` are ids of documents that share a passage, for each anchor or window the
+    smallest.
     """
     spans = repeated_spans(docs, id_col, text_col)
     some = "array<struct<start:bigint,stop:bigint>>"

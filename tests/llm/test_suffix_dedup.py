@@ -116,3 +116,26 @@ def test_registered_query_against_all_windows(spark):
     for i, r in rows.items():
         assert covered(r.spans) >= shared[i] and covered(r.gone) >= gone[i]
         assert r.repeated_words == len(covered(r.spans)) and r.gone_words == len(covered(r.gone))
+
+
+def found_and_brute(docs, texts):
+    named = docs.select("doc_id", S.document_key().alias("doc"))
+    rows = {r.doc_id: r for r in named.join(S.repeated_passages(docs), "doc").collect()}
+    words = lambda i, c: {
+        p for s in (rows[i][c] if i in rows else []) for p in range(s.start, s.stop)}
+    shared, gone = brute(texts)
+    return rows, {i: words(i, "spans") for i in texts}, {i: words(i, "gone") for i in texts}, shared, gone
+
+
+def test_short_passage_next_to_a_line_of_thousands(spark):
+    rng = random.Random(3)
+    draw = lambda n: [f"w{rng.randrange(1 << 30)}" for _ in range(n)]
+    line = draw(34)
+    texts = {i: " ".join(draw(20) + line + draw(5)) for i in range(3000)}
+    for a in range(0, 3000, 75):  # 54 words that two documents share, the line among them
+        own = draw(20)
+        texts[a], texts[a + 3000] = (" ".join(draw(9) + own + line + draw(40)) for _ in range(2))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows, spans, out, shared, gone = found_and_brute(docs, texts)
+    assert spans == shared and out == gone
+    assert all(len(out[a + 3000]) == 54 for a in range(0, 3000, 75))
