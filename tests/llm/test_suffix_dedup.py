@@ -139,3 +139,22 @@ def test_short_passage_next_to_a_line_of_thousands(spark):
     rows, spans, out, shared, gone = found_and_brute(docs, texts)
     assert spans == shared and out == gone
     assert all(len(out[a + 3000]) == 54 for a in range(0, 3000, 75))
+
+
+def test_hot_passage_in_differing_contexts_over_eight_tasks(spark):
+    rng = random.Random(4)
+    draw = lambda n: [f"w{rng.randrange(1 << 30)}" for _ in range(n)]
+    passage = draw(60)
+    texts = {i: " ".join(draw(60) + passage + draw(60)) for i in range(600)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        rows, spans, out, shared, gone = found_and_brute(docs, texts)
+    finally:
+        spark.conf.set(setting, before)
+    assert spans == shared and out == gone
+    assert [i for i in texts if not out[i]] == [0]
+    # an anchor that only some contexts choose may name a further partner
+    assert rows[0].partners[0] == 1 and all(rows[i].partners[0] == 0 for i in texts if i)
