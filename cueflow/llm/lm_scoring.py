@@ -222,20 +222,31 @@ class Trainer:
         self.log_noise = np.log(NOISE * unigram).astype(np.float32)
 
     def learn(self, triples: np.ndarray) -> None:
-        """`triples`: packed (far, near, class), one per token."""
+        """`triples`: packed (far, near, class), one per token.
+
+        A distinct triple has the weight of all its occurrences; the weights of one call have mean 1.
+        """
         size = len(self.unigram) + 1
         distinct, weight = np.unique(triples, return_counts=True)
         order = self.rng.permutation(len(distinct))
         far, rest = np.divmod(distinct[order], size * size)
         near, klass = np.divmod(rest, size)
-        weight = np.sqrt(weight[order]).astype(np.float32)
+        weight = (weight[order] / weight.mean()).astype(np.float32)
         for i in range(0, len(order), MINIBATCH):
             at = slice(i, i + MINIBATCH)
-            self._step(near[at], far[at], klass[at], weight[at] / weight[at].mean())
+            self._step(near[at], far[at], klass[at], weight[at])
 
     def _step(self, near, far, klass, weight) -> None:
-        m = self.model
         noise = self.rng.choice(len(self.unigram), NOISE, p=self.unigram)
+        for p, s, d in zip(self.model.parts, self.squares,
+                           self.gradients(near, far, klass, weight, noise), strict=True):
+            d /= np.float32(MINIBATCH)
+            s += d * d
+            p += RATE * d / np.sqrt(s)
+
+    def gradients(self, near, far, klass, weight, noise) -> tuple[np.ndarray, ...]:
+        """By part of the model, summed over the triples."""
+        m = self.model
         x, y = m.context[near], m.context[far]
         q = x @ m.near + y @ m.far
         true = (q * m.target[klass]).sum(1) + m.bias[klass] - self.log_noise[klass]
@@ -252,12 +263,7 @@ class Trainer:
         np.add.at(d_bias, noise, g_false.sum(0))
         np.add.at(d_context, near, dq @ m.near.T)
         np.add.at(d_context, far, dq @ m.far.T)
-        n = np.float32(len(near))
-        for p, s, d in zip(m.parts, self.squares, (d_context, d_target, x.T @ dq, y.T @ dq, d_bias),
-                           strict=True):
-            d /= n
-            s += d * d
-            p += RATE * d / np.sqrt(s)
+        return d_context, d_target, x.T @ dq, y.T @ dq, d_bias
 
 
 def triples_of(classes: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

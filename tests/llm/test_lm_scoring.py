@@ -108,3 +108,26 @@ def test_empty_and_null(spark):
     assert L.train_and_score(frame.limit(0), "out").count() == 0
     nothing = L.train_and_score(frame.filter("out"), "out").collect()
     assert nothing[0].train_tokens == 0 and math.isfinite(nothing[0].score)
+
+
+def test_merged_triples_give_the_gradient_of_all_occurrences(monkeypatch):
+    rng = np.random.default_rng(2)
+    classes = 40
+    unigram = np.full(classes, 1 / classes)
+    size = classes + 1
+    # some triples thousands of times, most once
+    triples = np.concatenate([np.repeat(rng.integers(0, size * size, 5) * size + 3, 3000),
+                              rng.integers(0, size * size, 2000) * size + rng.integers(0, classes, 2000)])
+    trainer = L.Trainer(L.LogBilinear.start(unigram), unigram, 1)
+    steps = []
+    monkeypatch.setattr(trainer, "_step", lambda *of: steps.append(of))
+    trainer.learn(triples)
+    assert len(steps) > 2
+    near, far, klass, weight = (np.concatenate(c) for c in zip(*steps, strict=True))
+    noise = rng.integers(0, classes, L.NOISE)
+    merged = trainer.gradients(near, far, klass, weight, noise)
+    rest, own = np.divmod(triples, size)
+    whole = trainer.gradients(rest % size, rest // size, own, np.ones(len(own), np.float32), noise)
+    scale = len(near) / len(triples)
+    for a, b in zip(merged, whole, strict=True):
+        assert np.allclose(a, b * scale, rtol=1e-2, atol=1e-2 * np.abs(b * scale).max())
