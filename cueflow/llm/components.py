@@ -38,14 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
     current = settle(
         edges.filter("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
-        state = current.agg(
-            F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("s")
-        ).first()
-        if state.n == 0 or state == seen:
+    while not current.isEmpty():
+        moved = settle(_star(settle(_star(current, True), "large-star"), False), "small-star")
+        same = moved.join(current, ["a", "b"], "left_anti").isEmpty() and current.join(
+            moved, ["a", "b"], "left_anti").isEmpty()
+        current = moved
+        if same:
             break
-        seen = state
-        current = settle(_star(settle(_star(current, True), "large-star"), False), "small-star")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cueflow.llm import byte_bpe, language_id, quality, suffix_dedup, winnowing
 from cueflow.llm.exact_dedup import exact_groups
 from cueflow.llm.lm_scoring import train_and_score
+from cueflow.llm.minhash import near_copies
 from cueflow.llm.packing import pack
 from cueflow.llm.registry import query, table
 from cueflow.llm.simhash import near_groups
@@ -140,3 +141,37 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_simhash_near_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s
+  FROM w
+), flat AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM s
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT doc_id, CAST(len(any_value(s)) AS BIGINT) AS n_shingles, min(y) AS component_id,
+  doc_id = min(y) AS kept
+FROM s JOIN reach ON doc_id = x GROUP BY doc_id
+"""
+
+
+@query("op11_minhash_near_dedup", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(table(spark, folder, "documents").select("doc_id", "text"))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from cueflow.llm.components import components
 from cueflow.llm.exact_dedup import keep_marked, row_key
+from cueflow.llm.minhash import CORPUS_COPIES, Likeness, alike_roots, sketches
 from cueflow.session import settle
 
 SHINGLE_WORDS = 3
@@ -69,19 +70,19 @@ def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    words_each: int = SHINGLE_WORDS, carry: tuple[str, ...] = (),
+    words_each: int = SHINGLE_WORDS,
 ) -> DataFrame:
-    """(id, `carry`, fp long) of every row."""
+    """(id, fp long) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), words_each) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(np.array(fps, np.uint64).view(np.int64))],
-                [id_col, *carry, "fp"])
+                [batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))],
+                [id_col, "fp"])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *carry)]
-    return docs.select(F.col(text_col).alias("__text"), id_col, *carry).mapInArrow(
-        run, ", ".join([*fields, "fp long"]))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(text_col).alias("__text"), id_col).mapInArrow(
+        run, f"`{id_col}` {kind}, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -251,11 +252,9 @@ def near_links(fps: DataFrame) -> DataFrame:
     return links.unionByName(pairs).distinct()
 
 
-def rooted_rows(
-    docs: DataFrame, id_col: str, text_col: str, words_each: int, carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """(id, `carry`, fp, root, component_id): `root` is one fingerprint for each group."""
-    rows = settle(fingerprints(docs, id_col, text_col, words_each, carry), "simhash")
+def rooted_rows(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> DataFrame:
+    """(id, fp, root, component_id): `root` is one fingerprint for each group."""
+    rows = settle(fingerprints(docs, id_col, text_col, words_each), "simhash")
     nodes = settle(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-nodes")
     roots = components(near_links(nodes))
     rooted = settle(
@@ -277,19 +276,54 @@ def near_groups(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _candidates(fps: DataFrame) -> DataFrame:
+    """(node, fp) -> (a, b): nodes with linked fingerprints, each by one node of its fingerprint."""
+    # written out, so that Spark can split the rows of a hot fingerprint in the join
+    first = settle(fps.groupBy("fp").agg(F.min("node").alias("first")), "simhash-first")
+    links = settle(near_links(first), "simhash-near")
+    far = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(
+        first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return fps.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(
+        far.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    words_each: int = SHINGLE_WORDS,
+    like: Likeness = CORPUS_COPIES,
 ) -> DataFrame:
-    """`docs` with one row of each group of linked fingerprints, the one with the smallest id.
+    """`docs` with one row of each group of near copies, the one with the smallest id.
+
+    Near copies are `like` on their whole shingle sets. Linked fingerprints of shingles of the same
+    length propose pairs; as three bits of 64 find few pairs at a similarity of 0.8, MinHash keys
+    propose the rest.
 
-    A row without an id stays only in a group without any; there the smallest text hash decides.
+    Null texts count as empty; rows without words are near copies of none. A row without an id stays
+    only in a group without any; there the smallest text hash decides. Of rows repeated with id and
+    text one stays. An empty table gives an empty table.
     """
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    rows = settle(
-        rooted_rows(keyed, id_col, text_col, words_each, ("__id", "__digest")), "near-rows")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__digest")
-    first = settle(rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("size"))
+    names = row_key(id_col, text_col)
+    keyed = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        names[0].alias("row_id"), names[1].alias("digest"))
+    sketched = settle(
+        sketches(keyed, "text", like, ["id", "row_id", "digest"]), "near-sketches")
+    fps = settle(
+        fingerprints(keyed.select("digest", "text"), "digest", "text", like.words)
+        .groupBy("digest").agg(F.min("fp").alias("fp")), "near-fingerprints")
+    named = sketched.filter("node is not null").select("digest", "node").distinct()
+    candidates = _candidates(
+        settle(fps.join(named, "digest").groupBy("node").agg(F.min("fp").alias("fp")),
+               "near-named"))
+    roots = alike_roots(sketched, docs, text_col, like, candidates)
+    # rows without words meet by their text only
+    rows = sketched.select("id", "row_id", "digest", F.coalesce("node", "digest").alias("node"))
+    groups = settle(
+        rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")),
+        "near-groups")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), "digest")
+    first = settle(groups.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("size"))
                    .filter("size > 1"), "near-first")
-    marks = rows.join(first, "root").select("__id", "__digest", (order == F.col("first")).alias("stays"))
+    marks = groups.join(first, "root").select(
+        F.col("row_id").alias("__id"), F.col("digest").alias("__digest"),
+        (order == F.col("first")).alias("stays"))
     return keep_marked(docs, marks, id_col, text_col)
