@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cueflow.llm import language_id
 from cueflow.llm.exact_dedup import drop_exact_copies
 from cueflow.llm.packing import pack
-from cueflow.llm.shingles import drop_alike
+from cueflow.llm.simhash import drop_near_copies
 from cueflow.llm.suffix_dedup import drop_repeated_passages
 from cueflow.session import scratch_path
 
@@ -41,9 +41,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Near copies share 0.8 and more of their five-word shingles.
+    Near copies have sets of five-word shingles with a Jaccard similarity of 0.8 or more; texts
+    without words are near copies of their equals only. Of rows without an id one stays, and only in
+    a group without any id.
     """
-    return drop_alike(docs)
+    return drop_near_copies(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
