@@ -14,6 +14,7 @@ from cueflow.llm.packing import pack
 from cueflow.llm.registry import query, table
 from cueflow.llm.simhash import near_groups
 from cueflow.llm.url_rules import judge_urls
+from cueflow.llm.whitening import whiten
 
 def remainder(id_col: str, divisor: int) -> F.Column:
     """crc32 of the id as text, modulo `divisor`; a null id counts as an empty text."""
@@ -175,3 +176,8 @@ FROM s JOIN reach ON doc_id = x GROUP BY doc_id
 @query("op11_minhash_near_dedup", OP11_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
