@@ -11,10 +11,12 @@ from cueflow.llm.exact_dedup import exact_groups
 from cueflow.llm.lm_scoring import train_and_score
 from cueflow.llm.minhash import near_copies
 from cueflow.llm.packing import pack
+from cueflow.llm.ranked_search import best_documents, build_index
 from cueflow.llm.registry import query, table
 from cueflow.llm.simhash import near_groups
 from cueflow.llm.url_rules import judge_urls
 from cueflow.llm.whitening import whiten
+from cueflow.session import settle
 
 def remainder(id_col: str, divisor: int) -> F.Column:
     """crc32 of the id as text, modulo `divisor`; a null id counts as an empty text."""
@@ -181,3 +183,45 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_whitening")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), total AS (
+  SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0
+), norm AS (
+  SELECT doc_id, 100 - 50 + ((50 * len(w) * docs) // terms) AS m FROM d, total WHERE len(w) > 0
+), tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM tf, total GROUP BY term, docs
+), scored AS (
+  SELECT item_id, doc_id,
+    CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN weight USING (term) JOIN norm USING (doc_id)
+  GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (
+    PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    index = settle(build_index(docs), "search-index")
+    return best_documents(index, table(spark, folder, "benchmark"))
