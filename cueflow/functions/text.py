@@ -61,8 +61,8 @@ def quote_replacement(term: Column) -> Column:
     return F.replace(escaped, F.lit("$"), F.lit("\\$"))
 
 
-def whole_term_pattern(term: Column) -> Column:
-    return F.concat(F.lit(r"(?iuU)\b"), quote_pattern(term), F.lit(r"\b"))
+def whole_term_pattern(term: Column, flags: str = "(?iuU)") -> Column:
+    return F.concat(F.lit(flags + r"\b"), quote_pattern(term), F.lit(r"\b"))
 
 
 def one_decimal(chars: Column, duration_ms: Column) -> Column:

@@ -1,8 +1,8 @@
 """Spelling rules over running text: each whole-word hit in any case is replaced, rule by rule.
 
 Rules work in order on the running text, so one rule's output can be another's input. Any number of
-rules takes the same way: rules are joined to the text on phrases, and only texts that hold a phrase
-are rewritten.
+rules takes the same way: a rule is a candidate for a text that holds its longest word, or for which
+a candidate before it may write that word. Only texts with candidates are rewritten, each once.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueflow.functions.text import quote_replacement, whole_term_pattern
+from cueflow.functions.skew import join_spread
+from cueflow.functions.text import let, quote_replacement, whole_term_pattern
 from cueflow.session import settle
 
 _RUNS = r"(?U)(\w+|\W+)"
-_STARTS_WITH_WORD = r"(?U)^\w"
+_WORDS = r"(?U)(\w+)"
+#: Up to so many rules are broadcast; more are joined by a salted shuffle.
+FEW_RULES = 5000
 
 
 def _odd_letters() -> dict[str, str]:
@@ -35,65 +38,68 @@ def _odd_letters() -> dict[str, str]:
 _ODD = _odd_letters()
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def fold_case(text: Column) -> Column:
     """Text in the form in which patterns that ignore case compare it."""
-    return F.lower(F.translate(text, "".join(_ODD), "".join(_ODD.values())))
+    odd = F.lower(F.translate(text, "".join(_ODD), "".join(_ODD.values())))
+    return F.when(_is_ascii(text), F.lower(text)).otherwise(odd)
+
 
+def _words(text: Column, gaps: bool) -> Column:
+    """Distinct words of a text in folded case; with `gaps` also what stands between them."""
+    return F.array_distinct(F.regexp_extract_all(fold_case(text), F.lit(_RUNS if gaps else _WORDS)))
 
-def _phrase_key(term: Column) -> Column:
-    """What a text must hold for the term to match: its words with what stands between them.
+
+def _keyed(rules: DataFrame) -> DataFrame:
+    """`rules` with `word`, the longest of the term, and `wordless`.
 
     A term without a word is its own key: bounded by word boundaries, it fills a whole gap.
     """
-    core = F.regexp_extract(fold_case(term), r"(?sU)(\w(?:.*\w)?)", 1)
-    return F.when(core != "", core).otherwise(fold_case(term))
+    words = F.regexp_extract_all(fold_case(F.col("wrong")), F.lit(_WORDS))
+    longest = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return rules.withColumn("wordless", F.size(words) == 0).withColumn(
+        "word", F.when(F.size(words) > 0, F.get(longest, F.lit(0))["w"]).otherwise(
+            fold_case(F.col("wrong"))))
 
 
-def _span(key: Column) -> Column:
-    return F.size(F.regexp_extract_all(key, F.lit(_RUNS)))
+def _is_loose(gaps: bool) -> Column:
+    """Whether a rule may write words (or, with `gaps`, gaps) that its replacement does not hold.
 
+    Matches end at word boundaries. So a replacement grows together with a word next to it only
+    where the term itself does not begin or end with a word, and with a gap only where the
+    replacement does not.
+    """
+    closed = F.col("wrong").rlike(r"(?sU)^\w(.*\w)?$")
+    if gaps:
+        closed = closed & F.col("right").rlike(r"(?sU)^\w(.*\w)?$")
+    return ~closed
 
-def _keyed(rules: DataFrame) -> DataFrame:
-    return rules.withColumn("phrase", _phrase_key(F.col("wrong"))).withColumn(
-        "span", _span(F.col("phrase")))
-
-
-def _phrases(texts: DataFrame, spans: Column) -> DataFrame:
-    """Phrases of each text, of the lengths (in runs) that some rule has."""
-    place = [c for c in texts.columns if c != "text"]
-    runs = F.regexp_extract_all(fold_case(F.col("text")), F.lit(_RUNS))
-    sized = texts.select(*place, runs.alias("runs")).withColumn("spans", spans)
-    # Words and gaps alternate, so phrases of several runs start at every second one.
-    first_word = F.when(F.get("runs", F.lit(0)).rlike(_STARTS_WITH_WORD), 1).otherwise(2)
-
-    def grams(size: Column) -> Column:
-        step = F.when(size == 1, 1).otherwise(2)
-        first = F.when(size == 1, 1).otherwise(F.col("first_word"))
-        last = F.size("runs") - size + 1
-        starts = F.when(first <= last, F.sequence(first, last, step)).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: F.array_join(F.slice("runs", at, size), ""))
-
-    sized = sized.withColumn("first_word", first_word)
-    phrases = F.explode(F.flatten(F.transform("spans", grams)))
-    return sized.select(*place, phrases.alias("phrase"))
-
-
-def _fold(start: Column, hits: Column) -> Column:
-    """Text after the ordered hits, with every state in between and the place it was reached at."""
-    seed = F.struct(
-        start.alias("text"),
-        F.array().cast("array<struct<text:string,stage:int,n:bigint>>").alias("states"),
-    )
+
+_NEWS = "array<struct<word:string,at_stage:int,at_n:bigint>>"
+
+
+def _fold(text: Column, hits: Column, gaps: bool) -> Column:
+    """(text, news): the text after the ordered hits, and its words after each loose one.
+
+    Where text and term are ASCII, the pattern without Unicode classes matches the same.
+    """
+    seed = F.struct(text.alias("text"), F.array().cast(_NEWS).alias("news"))
 
     def step(acc: Column, rule: Column) -> Column:
-        after = F.regexp_replace(acc["text"], rule["pattern"], rule["replacement"])
-        state = F.struct(after.alias("text"), rule["stage"].alias("stage"), rule["n"].alias("n"))
-        return F.struct(
-            after.alias("text"),
-            F.when(after != acc["text"], F.concat(acc["states"], F.array(state)))
-            .otherwise(acc["states"]).alias("states"),
-        )
+        def state(after: Column) -> Column:
+            news = F.transform(_words(after, gaps), lambda w: F.struct(
+                w.alias("word"), rule["stage"].alias("at_stage"), rule["n"].alias("at_n")))
+            return F.struct(
+                after.alias("text"),
+                F.when(rule["loose"] & (after != acc["text"]), F.concat(acc["news"], news))
+                .otherwise(acc["news"]).alias("news"))
+
+        pattern = F.when(_is_ascii(acc["text"]) & rule["plain"].isNotNull(), rule["plain"]).otherwise(
+            rule["pattern"])
+        return let(F.regexp_replace(acc["text"], pattern, rule["replacement"]), state)
 
     return F.aggregate(hits, seed, step)
 
@@ -103,58 +109,97 @@ def enforce_rules(
 ) -> DataFrame:
     """Segments after `rules` (wrong, right, stage, n), and `own_rules` per document if given.
 
-    Hits come from an equi-join of the texts' phrases with the rules' phrases. A rule that only
-    matches what an earlier one has written is found by looking at the states in between, until
-    none is left; each round only sees texts that changed.
+    The segments are evaluated once. Candidates come from an equi-join of the texts' words with the
+    rules' words, then, in rounds over new candidates only, from the words of their replacements;
+    so they hold every rule that may match at its turn. A text is rewritten once with all its
+    candidates; only after a rule that can glue words together (`_is_loose`) its words are looked at
+    again, and the text is rewritten once more if they bring new candidates.
     """
-    keyed = settle(_keyed(rules), "rules")
-    keyed_own = None if own_rules is None else settle(_keyed(own_rules), "own-rules")
-    all_spans = keyed.select("span")
-    if keyed_own is not None:
-        all_spans = all_spans.union(keyed_own.select("span"))
-    spans = all_spans.agg(F.array_sort(F.collect_set("span")).alias("spans")).scalar()
+    columns = ["wrong", "right", "stage", "n", "word", "wordless"]
+    keyed = settle(_keyed(rules).select(columns), "rules")
+    keyed_own = None if own_rules is None else settle(
+        _keyed(own_rules).select("doc_id", *columns), "own-rules")
+    all_rules = keyed if keyed_own is None else keyed.unionByName(keyed_own.select(columns))
+    known = all_rules.agg(
+        F.count("*").alias("n"), F.coalesce(F.bool_or("wordless"), F.lit(False)).alias("gaps")).first()
+    if not known.n:
+        return segments
+    gaps = known.gaps
+    segments = settle(segments, "rule-segments")
     row_key = ["doc_id", "pos"]
-
-    def hits_of(texts: DataFrame) -> DataFrame:
-        """(row key, rule) for texts (row key, text, stage, n); rules up to that place are past."""
-        phrases = _phrases(texts, spans).withColumnRenamed("stage", "at_stage").withColumnRenamed(
-            "n", "at_n")
-        found = phrases.join(keyed, "phrase").select(
-            *row_key, "wrong", "right", "stage", "n", "at_stage", "at_n", F.lit(0).alias("own"))
+    names = [*row_key, "wrong", "right", "stage", "n"]
+    later = (F.col("stage") > F.col("at_stage")) | (
+        (F.col("stage") == F.col("at_stage")) & (F.col("n") > F.col("at_n")))
+
+    def candidates(words: DataFrame) -> DataFrame:
+        """Distinct rules (row key, rule) for words (row key, word, place written at)."""
+        if known.n <= FEW_RULES:
+            found = words.join(F.broadcast(keyed), "word").where(later).select(*names)
+        else:  # a common word may be a rule's
+            found = join_spread(words, keyed.hint("merge"), ["word"], "inner", by=row_key).where(
+                later).select(*names)
         if keyed_own is not None:
-            replaced = keyed_own.select("doc_id", "wrong")
-            found = found.join(replaced, ["doc_id", "wrong"], "left_anti").unionByName(
-                phrases.join(keyed_own, ["doc_id", "phrase"]).select(
-                    *row_key, "wrong", "right", "stage", "n", "at_stage", "at_n",
-                    F.lit(1).alias("own"))
-            )
-        later = (F.col("stage") > F.col("at_stage")) | (
-            (F.col("stage") == F.col("at_stage")) & (F.col("n") > F.col("at_n")))
-        return found.where(later).select(*row_key, "wrong", "right", "stage", "n").distinct()
-
-    before_all = {"stage": F.lit(-1), "n": F.lit(-1).cast("long")}
-    source = segments.select(*row_key, "text")
-    hits = settle(hits_of(source.withColumns(before_all)), "hits")
-    while True:
+            found = found.join(keyed_own.select("doc_id", "wrong"), ["doc_id", "wrong"], "left_anti")
+            found = found.unionByName(
+                words.join(keyed_own, ["doc_id", "word"]).where(later).select(*names))
+        return found.distinct()
+
+    def unknown(found: DataFrame, hits: DataFrame) -> DataFrame:
+        return settle(found.join(hits.select(*row_key, "stage", "n"), [*row_key, "stage", "n"],
+                                 "left_anti"), "fresh-hits")
+
+    def closed(hits: DataFrame, fresh: DataFrame) -> DataFrame:
+        """`hits`, with `fresh` in them, and whatever replacements of candidates may bring."""
+        while True:
+            written = fresh.select(
+                *row_key, F.explode(_words(F.col("right"), gaps)).alias("word"),
+                F.col("stage").alias("at_stage"), F.col("n").alias("at_n"))
+            fresh = unknown(candidates(written.join(writable, "word", "left_semi")), hits)
+            if fresh.isEmpty():
+                return hits
+            hits = hits.unionByName(fresh)
+
+    def folded(hits: DataFrame, texts: DataFrame) -> DataFrame:
         listed = hits.groupBy(*row_key).agg(
             F.array_sort(F.collect_list(F.struct(
                 "stage", "n", whole_term_pattern(F.col("wrong")).alias("pattern"),
+                F.when(_is_ascii(F.col("wrong")), whole_term_pattern(F.col("wrong"), "(?i)"))
+                .alias("plain"),
                 quote_replacement(F.col("right")).alias("replacement"),
-            ))).alias("rules")
-        )
-        folded = source.join(listed, row_key).withColumn(
-            "fold", _fold(F.col("text"), F.col("rules")))
-        states = folded.select(*row_key, F.inline("fold.states"))
-        known = hits.select(*row_key, "stage", "n")
-        fresh = settle(
-            hits_of(states).join(known, [*row_key, "stage", "n"], "left_anti"), "fresh-hits"
-        )
+                _is_loose(gaps).alias("loose"),
+            ))).alias("rules"))
+        return settle(
+            texts.join(listed, row_key)
+            .select(*row_key, _fold(F.col("text"), F.col("rules"), gaps).alias("fold"))
+            .select(*row_key, F.col("fold.text").alias("new_text"), "fold.news"), "rule-fold")
+
+    # words that some rule writes and some rule looks for
+    writable = settle(
+        all_rules.select(F.explode(_words(F.col("right"), gaps)).alias("word")).distinct()
+        .join(all_rules.select("word").distinct(), "word", "left_semi"), "writable")
+    texts = segments.select(*row_key, "text")
+    hits = settle(candidates(
+        texts.select(*row_key, F.explode(_words(F.col("text"), gaps)).alias("word"))
+        .withColumns({"at_stage": F.lit(-1), "at_n": F.lit(-1).cast("long")})), "hits")
+    chains = not writable.isEmpty()
+    if chains:
+        hits = closed(hits, hits)
+    done = last = folded(hits, texts)
+    while True:
+        news = last.select(*row_key, F.inline("news"))
+        if news.isEmpty():
+            break
+        fresh = unknown(candidates(news), hits)
         if fresh.isEmpty():
             break
         hits = hits.unionByName(fresh)
-    changed = folded.select(*row_key, F.col("fold.text").alias("new_text"))
+        if chains:
+            hits = closed(hits, fresh)
+        rows = fresh.select(*row_key).distinct()
+        last = folded(hits.join(rows, row_key, "left_semi"), texts)
+        done = done.join(rows, row_key, "left_anti").unionByName(last)
     return (
-        segments.join(changed, row_key, "left")
+        segments.join(done.select(*row_key, "new_text"), row_key, "left")
         .withColumn("text", F.coalesce("new_text", "text"))
         .drop("new_text")
     )

@@ -142,6 +142,22 @@ def test_rules_per_document(spark, segments):
     assert result.content().count() == 2
 
 
+def test_chains_and_glued_words_match_python(spark, segments, monkeypatch):
+    """Rules that write each other's words, also across the edges of what they replace."""
+    rng = random.Random(17)
+    parts = ["a", "b", "ab", "ba", "é", "(", "-", ".", " ", "  ", "A"]
+    draw = lambda most: "".join(rng.choices(parts, k=rng.randint(1, most)))
+    for round_ in range(3):
+        rules = list(dict((draw(3).lower(), draw(3) if rng.random() < 0.9 else "") for _ in range(25)).items())
+        texts = [draw(14) for _ in range(60)]
+        monkeypatch.setattr(consistency, "FEW_RULES", 5000 if round_ else 0)
+        seg = segments([("d", i + 1, i, i + 1, t) for i, t in enumerate(texts)])
+        table = spark.createDataFrame(
+            [(w, r, 2, n) for n, (w, r) in enumerate(rules)], "wrong string, right string, stage int, n long")
+        got = [r["text"] for r in consistency.enforce_rules(seg, table).orderBy("pos").collect()]
+        assert got == [python_rules(t, rules) for t in texts]
+
+
 @pytest.mark.parametrize("count", [3, 199, 201])
 def test_any_number_of_rules_gives_the_same_text(spark, segments, count):
     rules = [("miss", "MR"), ("kelvin", "KEL"), ("όσος", "OSOS")]

@@ -20,7 +20,7 @@ def queries():
 PYTHON_ALLOWED = {
     "c05", "c06", "a05", "p06", "d15",
 }
-WRITES = {"s01", "x01", "x02", "x03", "c04", "d12", "d18"}
+WRITES = {"s01", "x01", "x02", "x03", "d12"}
 
 
 def plan_of(df) -> str:
