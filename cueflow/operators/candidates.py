@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from cueflow import constants as K
 from cueflow.functions.skew import join_spread
+from cueflow.functions.text import let, quote_pattern
 
 # Ships the helper functions below with the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -20,6 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Fixed pattern: word characters in any script, combining marks included.
 _NOT_WORD = r"[^\p{L}\p{N}\p{M}_]+"
 CONTEXT_BLOCK = 512
+SUM_CHUNK = 128
 
 # Fixed patterns: spans that must not be edited.
 GUARDS = {
@@ -125,46 +127,75 @@ def guard_counts(text: Column) -> list[Column]:
     return [F.size(guard_spans(text, kind)).alias(f"{kind}_spans") for kind in GUARDS]
 
 
-def _guard_ranges(text: Column, kind: str) -> Column:
-    """[start, stop) of each guarded span, counted from 1: spans are marked and the marks counted."""
-    marked = F.regexp_replace(text, f"({GUARDS[kind]})", "\x01$1\x02")
-    pieces = F.split(marked, "\x01")
-    state = F.struct(
-        (F.length(F.get(pieces, F.lit(0))) + 1).alias("at"),
-        F.array().cast("array<struct<start:int,stop:int>>").alias("ranges"))
+def _ranges(sizes: Column) -> Column:
+    """[start, stop) from 1 of spans given as (gap before, span) lengths.
+
+    Positions are summed up in pieces of `SUM_CHUNK`, so the work grows with the number of spans.
+    """
+    kind = "array<struct<start:int,stop:int,guard:boolean>>"
 
-    def step(acc: Column, piece: Column) -> Column:
-        size = F.length(F.substring_index(piece, "\x02", 1))
-        span = F.struct(acc["at"].alias("start"), (acc["at"] + size).alias("stop"))
-        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"),
-                        F.concat(acc["ranges"], F.array(span)).alias("ranges"))
+    def each(acc: Column, size: Column) -> Column:
+        start = acc["at"] + size["gap"]
+        span = F.struct(start.alias("start"), (start + size["span"]).alias("stop"),
+                        size["guard"].alias("guard"))
+        return F.struct((start + size["span"]).alias("at"),
+                        F.concat(acc["out"], F.array(span)).alias("out"))
 
-    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.aggregate(rest, state, step, lambda acc: acc["ranges"])
+    def chunk(acc: Column, number: Column) -> Column:
+        own = F.slice(sizes, number * SUM_CHUNK + 1, F.lit(SUM_CHUNK))
+        seed = F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out"))
+        return let(F.aggregate(own, seed, each), lambda done: F.struct(
+            done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out")))
 
+    last = F.floor((F.greatest(F.size(sizes), F.lit(1)) - 1) / SUM_CHUNK).cast("int")
+    seed = F.struct(F.lit(1).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), last), seed, chunk, lambda acc: F.flatten(acc["out"]))
 
-def _occurrences(text: Column, term: Column) -> Column:
-    """[start, stop) of each place where `term` stands, also overlapping ones; none for an empty."""
-    n = F.length(term)
-    last = F.length(text) - n + 1
-    starts = F.when((n > 0) & (last > 0), F.sequence(F.lit(1), last)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(F.filter(starts, lambda i: F.substr(text, i, n) == term),
-                       lambda i: F.struct(i.alias("start"), (i + n).alias("stop")))
+
+def _guard_ranges(text: Column, kind: str) -> Column:
+    """[start, stop) of each guarded span: gaps and spans alternate, so their lengths add up."""
+    spans = guard_spans(text, kind)
+    sizes = F.zip_with(F.split(text, GUARDS[kind], -1), spans, lambda gap, span: F.struct(
+        F.length(gap).alias("gap"), F.length(span).alias("span"), F.lit(True).alias("guard")))
+    return let(F.slice(sizes, 1, F.size(spans)), _ranges)
+
+
+def _occurrences(text: Column, term: Column, guard: bool = False) -> Column:
+    """[start, stop) of each place where `term` stands, also overlapping ones; none for an empty.
+
+    The text is cut before each place, so the cuts are the places, but for the text's own start.
+    """
+    pieces = F.split(text, F.concat(F.lit("(?="), quote_pattern(term), F.lit(")")), -1)
+    sizes = F.transform(pieces, lambda piece: F.struct(
+        F.lit(0).alias("gap"), F.length(piece).alias("span"), F.lit(guard).alias("guard")))
+    starts = F.transform(let(sizes, _ranges), lambda r: F.struct(
+        r["start"].alias("start"), (r["start"] + F.length(term)).alias("stop"),
+        r["guard"].alias("guard")))
+    own = F.when(F.startswith(text, term), starts).otherwise(
+        F.slice(starts, 2, F.greatest(F.size(pieces) - 1, F.lit(0))))
+    return F.when(F.length(term) > 0, own).otherwise(F.slice(starts, 1, 0))
 
 
 def touches_guard(text: Column, original: Column, entities: Column | None = None) -> Column:
     """Whether some place of the text to be replaced overlaps a guarded span of `text`.
 
-    `entities` adds an array of protected terms. Texts are taken not to hold the control
-    characters 1 and 2.
+    `entities` adds an array of protected terms. All spans are sorted by their start and swept once:
+    one that starts before the furthest end of the other kind so far overlaps it.
     """
-    ranges = F.flatten(F.array(*[_guard_ranges(text, kind) for kind in GUARDS]))
+    spans = [*(_guard_ranges(text, kind) for kind in GUARDS), _occurrences(text, original)]
     if entities is not None:
-        ranges = F.concat(ranges, F.flatten(F.transform(
-            entities, lambda e: _occurrences(text, e))))
-    return F.exists(_occurrences(text, original), lambda o: F.exists(
-        ranges, lambda r: (o["start"] < r["stop"]) & (r["start"] < o["stop"])))
+        spans.append(F.flatten(F.transform(entities, lambda e: _occurrences(text, e, guard=True))))
+    seed = F.struct(F.lit(0).alias("guarded"), F.lit(0).alias("replaced"), F.lit(False).alias("met"))
+
+    def sweep(acc: Column, span: Column) -> Column:
+        other = F.when(span["guard"], acc["replaced"]).otherwise(acc["guarded"])
+        further = lambda end, own: F.when(own, F.greatest(end, span["stop"])).otherwise(end)
+        return F.struct(
+            further(acc["guarded"], span["guard"]).alias("guarded"),
+            further(acc["replaced"], ~span["guard"]).alias("replaced"),
+            (acc["met"] | (other > span["start"])).alias("met"))
+
+    return F.aggregate(F.array_sort(F.concat(*spans)), seed, sweep, lambda acc: acc["met"])
 
 
 def unguarded_proposals(matched: DataFrame, entities: Column | None = None) -> DataFrame:

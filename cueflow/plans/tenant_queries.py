@@ -161,12 +161,26 @@ def d13_edit_gate(spark, folder):
     )
 
 
-_GUARD_SQL = ", ".join(
-    "CAST(len(regexp_extract_all(text, '{}')) AS INTEGER) AS {}_spans".format(
-        pattern.replace("\\u20ac", "\\x{20ac}").replace("\\u00a3", "\\x{a3}"), kind
-    )
+_GUARDS_SQL = {
+    kind: pattern.replace("\\u20ac", "\\x{20ac}").replace("\\u00a3", "\\x{a3}")
     for kind, pattern in C.GUARDS.items()
+}
+_GUARD_SQL = ", ".join(
+    f"CAST(len(regexp_extract_all(text, '{pattern}')) AS INTEGER) AS {kind}_spans"
+    for kind, pattern in _GUARDS_SQL.items()
 )
+# A place of the term overlaps a span just when the span with all but one character of the term's
+# length on either side holds the term.
+_TOUCHED_SQL = " UNION ".join(f"""SELECT doc_id FROM (
+  SELECT *, CAST(sum(length(gap) + length(span)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT)
+    - length(span) AS b
+  FROM (SELECT doc_id, text, term, unnest(regexp_extract_all(text, '{pattern}')) AS span,
+    unnest(list_slice(g, 1, len(g) - 1)) AS gap,
+    generate_subscripts(regexp_extract_all(text, '{pattern}'), 1) AS i
+    FROM (SELECT *, string_split_regex(text, '{pattern}') AS g FROM proposed)))
+  WHERE contains(substr(text, greatest(b - length(term) + 2, 1),
+    b + length(span) + length(term) - greatest(b - length(term) + 2, 1)), term)"""
+    for pattern in _GUARDS_SQL.values())
 
 
 @query("d14_guard_spans", f"SELECT doc_id, {_GUARD_SQL} FROM documents")
@@ -175,7 +189,11 @@ def d14_guard_spans(spark, folder):
     return docs.select("doc_id", *C.guard_counts(F.col("text")))
 
 
-@query("d14_unguarded_proposals")
+@query("d14_unguarded_proposals", f"""WITH proposed AS (
+  SELECT doc_id, text, substr(text, length(text) // 2 + 1, 8) AS term FROM documents
+  WHERE text IS NOT NULL),
+touched AS ({_TOUCHED_SQL})
+SELECT doc_id, term AS original_text FROM proposed WHERE doc_id NOT IN (SELECT doc_id FROM touched)""")
 def d14_unguarded_proposals(spark, folder):
     """Of one proposal per document, its middle eight characters, those that touch no guard."""
     text = F.col("text")

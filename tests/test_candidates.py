@@ -62,10 +62,12 @@ def test_guards_go_by_position(spark):
     rng = random.Random(2)
     rows = [("Paid €5.50 on monday", "Paid €5"), ("a 5 b a c", "a "), ("5 5", "5"), ("x", "")]
     for _ in range(200):
-        text = "".join(rng.choice("a1 €.:/5") for _ in range(rng.randint(1, 14)))
+        text = "".join(rng.choice("a1 €.:/5\x01\x02\U0001f600") for _ in range(rng.randint(1, 14)))
         at = rng.randrange(len(text))
         rows.append((text, text[at:at + rng.randint(1, 4)]))
 
+    rows += [("aa 5" * 300 + "aaa", "aaa"), ("1 aa" * 300 + "aaa", "aa"), ("9 " * 400 + "x9", "x9")]
+
     def plain(text, original):
         spans = [m.span() for p in C.GUARDS.values() for m in re.finditer(p, text)]
         places = [(i, i + len(original)) for i in range(len(text) - len(original) + 1)
