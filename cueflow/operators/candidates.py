@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from cueflow import constants as K
 from cueflow.functions.skew import join_spread
 from cueflow.functions.text import let, quote_pattern
+from cueflow.session import settle
 
 # Ships the helper functions below with the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -203,7 +204,17 @@ def unguarded_proposals(matched: DataFrame, entities: Column | None = None) -> D
     return matched.where(~touches_guard(F.col("text"), F.col("original_text"), entities))
 
 
+def _best_of(score: np.ndarray, rows: np.ndarray, cols: np.ndarray, top: int) -> pd.DataFrame:
+    """The `top` best columns of each row; ties go to the smaller neighbour, in any cut."""
+    best = np.lexsort((np.broadcast_to(cols, score.shape), -score))[:, :min(top, len(cols))]
+    at, to = np.repeat(np.arange(len(rows)), best.shape[1]), best.ravel()
+    usable = np.isfinite(score[at, to])
+    at, to = at[usable], to[usable]
+    return pd.DataFrame({"pos": rows[at], "neighbour": cols[to], "score": score[at, to]})
+
+
 def _block_neighbours(left: pd.DataFrame, right: pd.DataFrame, alpha, tau, floor, top):
+    """Of each row of one block the best of the other, both ways; of a block against itself once."""
     a = np.stack(left["vector"].to_numpy()).astype("float64")
     b = np.stack(right["vector"].to_numpy()).astype("float64")
     norms = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
@@ -212,14 +223,47 @@ def _block_neighbours(left: pd.DataFrame, right: pd.DataFrame, alpha, tau, floor
     apart = np.abs(i[:, None] - j[None, :])
     score = alpha * similarity + (1 - alpha) * np.exp(-apart / tau)
     score[(similarity < floor) | (apart == 0)] = -np.inf
-    kept = min(top, len(j))
-    # ties go to the smaller neighbour here too, so that the cut does not depend on the blocks
-    best = np.lexsort((np.broadcast_to(j, score.shape), -score))[:, :kept]
-    rows = np.repeat(np.arange(len(i)), best.shape[1])
-    cols = best.ravel()
-    usable = np.isfinite(score[rows, cols])
-    rows, cols = rows[usable], cols[usable]
-    return pd.DataFrame({"pos": i[rows], "neighbour": j[cols], "score": score[rows, cols]})
+    found = [_best_of(score, i, j, top)]
+    if left is not right:
+        found.append(_best_of(score.T, j, i, top))
+    return pd.concat(found)
+
+
+def _cone(vectors: np.ndarray) -> tuple[np.ndarray, float, bool]:
+    """(axis, angle) of a cone that holds all vectors, and whether one of them is zero."""
+    norms = np.linalg.norm(vectors, axis=1)
+    unit = vectors[norms > 0] / norms[norms > 0, None]
+    axis = unit.sum(0)
+    length = np.linalg.norm(axis)
+    if not len(unit) or length < 1e-9:
+        return np.zeros(vectors.shape[1]), float(np.pi), bool((norms == 0).any())
+    axis /= length
+    return axis, float(np.arccos(np.clip(unit @ axis, -1, 1)).max()), bool((norms == 0).any())
+
+
+def near_blocks(vectors: DataFrame, floor: float, block: int = CONTEXT_BLOCK) -> DataFrame:
+    """Pairs (doc_id, first <= second) of blocks that may hold a cosine of at least `floor`.
+
+    A block's vectors lie in a cone. Vectors of two blocks are at least as far apart as the axes of
+    their cones less both angles, so pairs further apart than the floor allows are left out.
+    """
+    def cone(key, rows: pd.DataFrame) -> pd.DataFrame:
+        axis, angle, zero = _cone(np.stack(rows["vector"].to_numpy()).astype("float64"))
+        return pd.DataFrame({"doc_id": [key[0]], "block": [key[1]], "axis": [axis],
+                             "angle": [angle], "zero": [zero]})
+
+    fields = "doc_id string, block long, axis array<double>, angle double, zero boolean"
+    cones = settle(
+        vectors.select("doc_id", F.floor(F.col("pos") / block).cast("long").alias("block"), "vector")
+        .groupBy("doc_id", "block").applyInPandas(cone, fields), "context-cones")
+    second = cones.select("doc_id", *(F.col(c).alias(f"{c}2") for c in cones.columns[1:]))
+    dot = F.aggregate(F.zip_with("axis", "axis2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    between = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
+    reach = F.lit(float(np.arccos(np.clip(floor, -1, 1))) + 1e-6) + F.col("angle") + F.col("angle2")
+    # a zero vector counts as a cosine of zero to everything
+    may = (between <= reach) | (F.lit(floor <= 0) & (F.col("zero") | F.col("zero2")))
+    return cones.join(second, "doc_id").where((F.col("block") <= F.col("block2")) & may).select(
+        "doc_id", F.col("block").alias("first"), F.col("block2").alias("second"))
 
 
 def context_neighbours(
@@ -233,31 +277,25 @@ def context_neighbours(
     """The `top` context neighbours of each segment of (doc_id, pos, vector).
 
     Score: alpha x cosine + (1 - alpha) x exp(-distance / tau), for cosines of at least `floor`.
-    A document is cut into blocks; a task scores one block against another as a matrix product and
-    passes on only the best of each row, so neither a whole document nor all its pairs are ever
-    held or shuffled.
+    A document is cut into blocks; a task scores one block against another as a matrix product, both
+    ways at once, and passes on only the best of each row, so neither a whole document nor all its
+    pairs are ever held or shuffled. Pairs of blocks that cannot reach the floor are never built.
     """
-    blocks = vectors.select(
-        "doc_id", F.floor(F.col("pos") / block).cast("long").alias("block"), "pos", "vector"
-    )
-    last = blocks.groupBy("doc_id").agg(F.max("block").alias("last"))
-    sized = join_spread(blocks, last, ["doc_id"], "inner", by=["block"])
-    every = F.sequence(F.lit(0).cast("long"), F.col("last"))
-    names = ["doc_id", "block", "other", "pos", "vector"]
-    left = sized.select("doc_id", "block", F.explode(every), "pos", "vector").toDF(*names)
-    right = sized.select("doc_id", F.explode(every), "block", "pos", "vector").toDF(*names)
-
-    def score(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"doc_id": [], "pos": [], "neighbour": [], "score": []})
+    pairs = settle(near_blocks(vectors, floor, block), "context-blocks")
+    member = pairs.select(
+        "doc_id", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
+    rows = vectors.select(
+        "doc_id", F.floor(F.col("pos") / block).cast("long").alias("block"), "pos", "vector")
+
+    def score(key, both: pd.DataFrame) -> pd.DataFrame:
+        a = both[both["block"] == key[1]]
+        b = a if key[1] == key[2] else both[both["block"] == key[2]]
         out = _block_neighbours(a, b, alpha, tau, floor, top)
         out.insert(0, "doc_id", key[0])
         return out
 
-    keys = ["doc_id", "block", "other"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        score, "doc_id string, pos long, neighbour long, score double"
-    )
+    best = rows.join(member, ["doc_id", "block"]).groupBy("doc_id", "first", "second").applyInPandas(
+        score, "doc_id string, pos long, neighbour long, score double")
     order = Window.partitionBy("doc_id", "pos").orderBy(F.desc("score"), "neighbour")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 

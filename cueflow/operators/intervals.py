@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cueflow import constants as K
 from cueflow.functions.ordered import running_sum, with_next, with_previous
+from cueflow.functions.skew import join_spread
 
 CELL_MS = 16_000
 CELL_GROWTH = 16
@@ -34,13 +35,15 @@ def overlap_pairs(segments: DataFrame) -> DataFrame:
 
     Of two overlapping intervals, the one that starts later starts inside the other. So intervals
     are spread over the (at most two) cells of a width fitting their length, starts stand in one
-    cell per width in use, and the pair meets in exactly one cell: an equi-join on the cell with
-    the exact test as residual. The join key holds a time cell, so a long or frequent document
+    cell per width in use in their document, and the pair meets in exactly one cell: an equi-join on
+    the cell with the exact test as residual. So an interval with a broken end multiplies the starts
+    of its own document only. The join key holds a time cell, so a long or frequent document
     spreads over many keys; adaptive skew splitting halves cells that are still crowded.
     """
     spans = segments.select("doc_id", "pos", "start_ms", "end_ms")
     proper = spans.where("start_ms < end_ms").withColumn("level", _level())
-    top_level = proper.agg(F.coalesce(F.max("level"), F.lit(0)).alias("top")).scalar()
+    # at most LEVELS entries for each document
+    used = proper.groupBy("doc_id").agg(F.collect_set("level").alias("levels"))
     outer = proper.withColumn("width", _width(F.col("level"))).select(
         "doc_id", "level",
         F.explode(
@@ -52,8 +55,8 @@ def overlap_pairs(segments: DataFrame) -> DataFrame:
         F.col("pos").alias("pos_a"), F.col("start_ms").alias("start_a"),
         F.col("end_ms").alias("end_a"),
     )
-    inner = spans.select(
-        "doc_id", F.explode(F.sequence(F.lit(0), top_level)).alias("level"),
+    inner = join_spread(spans, used, ["doc_id"], "inner", by=["pos"]).select(
+        "doc_id", F.explode("levels").alias("level"),
         F.col("pos").alias("pos_b"), F.col("start_ms").alias("start_b"),
         F.col("end_ms").alias("end_b"),
     ).withColumn("cell", F.floor(F.col("start_b") / _width(F.col("level"))))

@@ -113,7 +113,7 @@ def knowledge_versions(
 def outcome_windows(log: DataFrame, span: str = "1 day", lateness: str = "2 days") -> DataFrame:
     """Applied and successful corrections per tenant and window; later rows than `lateness` drop.
 
-    Windows come out once, when the watermark has passed them.
+    The state holds a window until the watermark has passed it.
     """
     counted = (
         log.withColumn("applied_at", F.col("applied_at").cast("timestamp"))
@@ -127,3 +127,34 @@ def outcome_windows(log: DataFrame, span: str = "1 day", lateness: str = "2 days
     return counted.select(
         "tenant_id", F.col("w.start").alias("window_start"), "applied", "successful"
     )
+
+
+def run_outcome_windows(
+    log: DataFrame, output: str, checkpoint: str, span: str = "1 day", lateness: str = "2 days"
+) -> StreamingQuery:
+    """All arrived rows of the log counted into `output`, also windows that are still open.
+
+    Each batch writes the totals of the windows that it has changed into a folder of its own, and
+    replaces it when it is run again, so a restart counts nothing twice.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+
+    query = (
+        outcome_windows(log, span, lateness).writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
+
+
+def read_outcome_windows(spark: SparkSession, output: str) -> DataFrame:
+    """The latest totals of every window: (tenant_id, window_start, applied, successful)."""
+    schema = "tenant_id string, window_start timestamp, applied long, successful long, batch long"
+    written = spark.read.schema(schema).option("basePath", output).parquet(output)
+    latest = written.groupBy("tenant_id", "window_start").agg(
+        F.max_by(F.struct("applied", "successful"), "batch").alias("last"))
+    return latest.select("tenant_id", "window_start", "last.applied", "last.successful")

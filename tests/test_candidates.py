@@ -89,6 +89,21 @@ def test_equal_scores_go_to_the_smaller_neighbour(spark):
         assert got == [19, 21, 18]
 
 
+def test_blocks_too_far_apart_are_not_built(spark):
+    """Four topics of 32 segments each: blocks of 8 meet those of their own topic only."""
+    rng = np.random.default_rng(6)
+    axes = np.eye(12)[:4]
+    vectors = np.vstack([axis + rng.normal(scale=0.03, size=(32, 12)) for axis in axes])
+    vectors[5] = 0
+    table = spark.createDataFrame(
+        [("d", i, v.tolist()) for i, v in enumerate(vectors)], "doc_id string, pos long, vector array<double>")
+    assert C.near_blocks(table, 0.5, block=8).count() == 4 * (4 * 5 // 2)
+    assert C.near_blocks(table, -1.0, block=8).count() == 16 * 17 // 2
+    few, one = (sorted(map(tuple, C.context_neighbours(table, top=5, block=b).collect()))
+                for b in (8, 512))
+    assert [r[:3] for r in few] == [r[:3] for r in one] and len(few) == 127 * 5
+
+
 def test_context_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(4)
     docs = {"a": rng.normal(size=(50, 6)), "b": rng.normal(size=(7, 6)), "c": rng.normal(size=(1, 6))}

@@ -9,6 +9,7 @@ from cueflow.functions.text import one_decimal, squash, strip, words
 from cueflow.operators import intervals, rules, stats
 from cueflow.operators.cleaning import drop_empty
 from cueflow.plans import validation
+from tests.test_plans import plan_of
 
 
 def found(issues):
@@ -196,3 +197,17 @@ def test_dropping_empty_segments_recounts_positions(segments):
     kept = drop_empty(seg).orderBy("pos").collect()
     assert [r["pos"] for r in kept] == list(range(6000))
     assert [r["idx"] for r in kept] == [i + 1 for i in range(9000) if i % 3]
+
+
+def test_a_broken_end_multiplies_its_own_document_only(spark, segments):
+    """One cue of a hundred days: only its document's starts stand in cells of that width."""
+    rows = [("long", 0, 0, 100 * 86_400_000, "x")]
+    rows += [("long", i, i * 1000, i * 1000 + 900, "x") for i in range(1, 40)]
+    rows += [(f"d{d}", i, i * 1000, i * 1000 + 1001, "x") for d in range(50) for i in range(20)]
+    seg = segments(rows)
+    pairs = intervals.overlap_pairs(seg)
+    got = {(r.doc_id, r.pos_i, r.pos_j) for r in pairs.collect()}
+    assert got == {("long", 0, i) for i in range(1, 40)} | {
+        (f"d{d}", i, i + 1) for d in range(50) for i in range(19)}
+    plan = plan_of(pairs)
+    assert "Subquery" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -74,19 +74,44 @@ def test_running_counts(spark, tmp_path):
     assert [r["count"] for r in spark.table("kb_counts").collect()] == [3]
 
 
-def test_windows_drop_late_rows(spark, tmp_path):
+def test_windows_also_open_ones_without_late_rows(spark, tmp_path):
     inbox, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     schema = jobs.LOG_SCHEMA
 
     def arrive(*days):
         rows = [("t", 1, day % 2 == 0, datetime(2024, 1, day, 12)) for day in days]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
-        log = spark.readStream.schema(schema).parquet(inbox)
-        jobs.run_available(jobs.outcome_windows(log), out, progress)
+        run()
+
+    def run():
+        jobs.run_outcome_windows(spark.readStream.schema(schema).parquet(inbox), out, progress)
+
+    def windows():
+        return {(r["window_start"].day, r["applied"], r["successful"])
+                for r in jobs.read_outcome_windows(spark, out).withColumn(
+                    "window_start", F.col("window_start").cast("timestamp_ntz")).collect()}
 
     arrive(1, 2, 10)
-    arrive(1, 20)
-    got = {(r["window_start"].day, r["applied"], r["successful"])
-           for r in spark.read.parquet(out).select(
-               F.col("window_start").cast("timestamp_ntz").alias("window_start"), "applied", "successful").collect()}
-    assert got == {(1, 1, 0), (2, 1, 1), (10, 1, 1)}
+    assert windows() == {(1, 1, 0), (2, 1, 1), (10, 1, 1)}  # also the windows still open
+    arrive(1, 10, 20)  # the first is too late by now, its window is closed
+    want = {(1, 1, 0), (2, 1, 1), (10, 2, 2), (20, 1, 1)}
+    assert windows() == want
+    run()  # nothing new
+    assert windows() == want
+
+
+def test_windows_survive_a_restart_within_a_batch(spark, tmp_path):
+    """A batch whose files were written, but which was not yet marked as done, is written again."""
+    inbox, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = jobs.LOG_SCHEMA
+    for day in (3, 4):
+        rows = [("t", 1, True, datetime(2024, 1, day, hour)) for hour in range(day)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        jobs.run_outcome_windows(spark.readStream.schema(schema).parquet(inbox), out, progress)
+    want = sorted(jobs.read_outcome_windows(spark, out).collect())
+    for name in os.listdir(f"{progress}/commits"):
+        if name.strip(".").startswith("1"):
+            os.remove(f"{progress}/commits/{name}")
+    jobs.run_outcome_windows(spark.readStream.schema(schema).parquet(inbox), out, progress)
+    assert sorted(jobs.read_outcome_windows(spark, out).collect()) == want
+    assert sorted(r.applied for r in jobs.read_outcome_windows(spark, out).collect()) == [3, 4]
