@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +18,20 @@ def _pair(clock: str) -> str:
     return f"{clock}{_ARROW}{clock}"
 
 
-SRT_SPAN = _pair("[0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3}")
-VTT_LONG_SPAN = _pair(r"[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}")
-VTT_SHORT_SPAN = _pair(r"[0-9]{2}:[0-9]{2}\.[0-9]{3}")
+# Decimal digits of any script.
+DIGIT = r"\p{Nd}"
+SRT_SPAN = _pair(f"{DIGIT}{{2}}:{DIGIT}{{2}}:{DIGIT}{{2}},{DIGIT}{{3}}")
+VTT_LONG_SPAN = _pair(rf"{DIGIT}{{2}}:{DIGIT}{{2}}:{DIGIT}{{2}}\.{DIGIT}{{3}}")
+VTT_SHORT_SPAN = _pair(rf"{DIGIT}{{2}}:{DIGIT}{{2}}\.{DIGIT}{{3}}")
+
+_DIGITS = [chr(code) for code in range(0x80, 0x20000) if unicodedata.category(chr(code)) == "Nd"]
+
+
+def fold_digits(text: Column) -> Column:
+    """`text` with the decimal digits of all scripts as ASCII digits."""
+    values = "".join(str(unicodedata.decimal(digit)) for digit in _DIGITS)
+    folded = F.translate(text, "".join(_DIGITS), values)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
 def _clock_ms(text: Column, with_hours: bool) -> Column:
@@ -42,7 +55,7 @@ def _span(line: Column, with_hours: bool) -> Column:
 
 def srt_times(line: Column) -> Column:
     """struct(start_ms, end_ms), null when the line is no SRT timing line."""
-    return let(line, lambda x: F.when(x.rlike("^" + SRT_SPAN), _span(x, True)))
+    return let(fold_digits(line), lambda x: F.when(x.rlike("^" + SRT_SPAN), _span(x, True)))
 
 
 def cut_cue_settings(line: Column) -> Column:
@@ -54,7 +67,7 @@ def cut_cue_settings(line: Column) -> Column:
 def vtt_times(line: Column) -> Column:
     """struct(start_ms, end_ms) of a cut WebVTT timing line; both ends with hours or both without."""
     return let(
-        line,
+        fold_digits(line),
         lambda x: F.when(x.rlike("^" + VTT_LONG_SPAN), _span(x, True)).when(
             x.rlike("^" + VTT_SHORT_SPAN), _span(x, False)
         ),

@@ -53,41 +53,100 @@ def remove_entries(kb: DataFrame, ids: DataFrame) -> DataFrame:
     return kb.join(ids.select("id").distinct(), "id", "left_anti")
 
 
-def relevant_entries(kb: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(context columns, KB id, score) of every entry relevant to a context.
+SCOPES = ["country", "topic", "industry"]
+
+
+def _matches(columns: list[Column]) -> Column:
+    """array<struct<mask, country, topic, industry>>: every choice of scopes that has no null."""
+    choices = []
+    for mask in range(1, 1 << len(SCOPES)):
+        chosen = [F.lower(c) if mask >> n & 1 else F.lit("") for n, c in enumerate(columns)]
+        whole = F.lit(True)
+        for c in chosen:
+            whole = whole & c.isNotNull()
+        key = F.struct(F.lit(mask).alias("mask"), *(
+            c.alias(f"key_{name}") for name, c in zip(SCOPES, chosen, strict=True)))
+        choices.append(F.when(whole, key))
+    return F.filter(F.array(*choices), lambda k: k.isNotNull())
+
+
+_MATCH_KEY = ["mask", *(f"key_{name}" for name in SCOPES)]
 
-    Both sides are spelled out as scopes (country x, topic y, …) and joined on the scope; the
-    score is the sum of the weights of the scopes that met. `contexts` are distinct combinations
-    (topic, industry, country), so the result grows with contexts, not with documents.
+
+def relevance_classes(kb: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Entries relevant to each context, counted by how they match: at most 15 rows a context.
+
+    (topic, industry, country, mask, is_general, score, entries). Bit n of `mask` says that the entry
+    has the context's value of SCOPES[n]. The KB is counted once for every choice of scopes; a context
+    looks up its seven choices, and the exact classes follow by inclusion and exclusion, so no
+    context meets an entry. `contexts` are distinct combinations.
     """
-    kb_scopes = [
-        F.struct(F.lit(n).alias("scope"), F.lower(F.col(n)).alias("scope_value"))
-        for n in ["country", "topic", "industry"]
-    ]
-    general = F.when(
-        F.col("country") == "general",
-        F.struct(F.lit("general").alias("scope"), F.lit("").alias("scope_value")),
-    )
+    general = F.coalesce(F.col("country") == "general", F.lit(False)).alias("is_general")
+    choices = kb.select(general, F.inline(_matches([F.col(n) for n in SCOPES])))
+    counts = settle(
+        choices.groupBy(*_MATCH_KEY, "is_general").agg(F.count("*").alias("n")), "relevance-counts")
+    total = kb.select(general).agg(F.count_if("is_general").alias("n")).scalar()
+    wanted = settle(contexts.select("topic", "industry", "country").distinct(), "relevance-contexts")
+    asked = wanted.select("*", F.inline(_matches([F.col(n) for n in SCOPES])))
+    met = asked.join(counts, _MATCH_KEY)
+    at_least = [F.coalesce(F.sum(F.when(F.col("mask") == m, F.col("n"))), F.lit(0)).alias(f"n{m}")
+                for m in range(1, 8)]
+    found = met.groupBy("topic", "industry", "country", "is_general").agg(*at_least)
+    # a context that meets nothing still has the general entries
+    every = wanted.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_general"))
+    same = [every[c].eqNullSafe(found[c]) for c in ("topic", "industry", "country", "is_general")]
+    sized = every.join(found, same, "left").select(
+        *(every[c] for c in every.columns),
+        F.when(every["is_general"], total).otherwise(F.lit(0)).alias("n0"),
+        *(F.coalesce(f"n{m}", F.lit(0)).alias(f"n{m}") for m in range(1, 8)))
+
+    def exact(mask: int) -> Column:
+        out = F.lit(0)
+        for other in range(8):
+            if other & mask == mask:
+                sign = -1 if (other ^ mask).bit_count() % 2 else 1
+                out = out + sign * F.col(f"n{other}")
+        return out
+
+    halves = [sum(_RELEVANCE_HALVES[n] for i, n in enumerate(SCOPES) if mask >> i & 1) for mask in range(8)]
+    classes = F.array(*(F.struct(
+        F.lit(mask).alias("mask"),
+        ((F.lit(halves[mask]) + F.when(F.col("is_general"), _RELEVANCE_HALVES["general"]).otherwise(0))
+         / F.lit(2.0)).alias("score"), exact(mask).alias("entries")) for mask in range(8)))
+    return sized.select("topic", "industry", "country", "is_general", F.inline(classes)).where(
+        (F.col("entries") > 0) & (F.col("score") > 0)).select(
+        "topic", "industry", "country", "mask", "is_general", "score",
+        F.col("entries").cast("long").alias("entries"))
+
+
+def class_members(kb: DataFrame, classes: DataFrame) -> DataFrame:
+    """(context columns, KB id, score) of the entries of `classes` (some of `relevance_classes`)."""
     entries = kb.select(
-        "id",
-        F.inline(F.filter(F.array(*kb_scopes, general), lambda s: s.isNotNull())),
-    )
-    wanted = contexts.select("topic", "industry", "country").distinct()
-    context_scopes = wanted.select(
-        "topic", "industry", "country",
-        F.inline(F.array(
-            *kb_scopes,
-            F.struct(F.lit("general").alias("scope"), F.lit("").alias("scope_value")),
-        )),
-    )
-    weight = F.lit(0)
-    for name, halves in _RELEVANCE_HALVES.items():
-        weight = F.when(F.col("scope") == name, F.lit(halves)).otherwise(weight)
-    return (
-        context_scopes.join(entries, ["scope", "scope_value"])
-        .groupBy("topic", "industry", "country", "id")
-        .agg((F.sum(weight) / F.lit(2.0)).alias("score"))
-    )
+        "id", *(F.lower(F.col(n)).alias(f"own_{n}") for n in SCOPES),
+        F.coalesce(F.col("country") == "general", F.lit(False)).alias("general"))
+    own = [F.col(f"own_{n}") for n in SCOPES]
+    keyed = entries.select("*", F.inline(_matches(own)))
+    asked = classes.select("*", F.inline(F.filter(
+        _matches([F.col(n) for n in SCOPES]), lambda k: k["mask"] == F.col("mask"))).alias(
+            "met_mask", *_MATCH_KEY[1:])).drop("met_mask")
+    exact = F.col("general") == F.col("is_general")
+    for n, name in enumerate(SCOPES):
+        differs = F.coalesce(F.col(f"own_{name}") != F.lower(F.col(name)), F.lit(True))
+        exact = exact & ((F.col("mask").bitwiseAND(1 << n) > 0) | differs)
+    columns = ["topic", "industry", "country", "id", "score"]
+    met = asked.join(keyed, _MATCH_KEY).where(exact).select(*columns)
+    # of no scope of the context, general only: one list for all such classes
+    rest = classes.where(F.col("mask") == 0).join(
+        entries.where("general").withColumn("mask", F.lit(0)), "mask").where(exact).select(*columns)
+    return met.unionByName(rest)
+
+
+def relevant_entries(kb: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(context columns, KB id, score) of every entry relevant to a context: all pairs.
+
+    Use `relevance_classes` for scores and counts, and `class_members` for the classes wanted.
+    """
+    return class_members(kb, settle(relevance_classes(kb, contexts), "relevance-classes"))
 
 
 def top_entries(kb: DataFrame, contexts: DataFrame, limit: int = K.TOP_ENTRIES) -> DataFrame:

@@ -78,6 +78,19 @@ def j02_relevant_entries(spark, folder):
     return KB.relevant_entries(A.knowledge_table(spark, folder), contexts)
 
 
+@query("j02_relevance_classes", f"""{with_views('learned', 'kb', 'contexts')},
+c AS (SELECT DISTINCT topic, industry, country FROM contexts)
+SELECT c.topic, c.industry, c.country,
+  coalesce(lower(kb.country) = lower(c.country), false)::INT
+  + 2 * coalesce(lower(kb.topic) = lower(c.topic), false)::INT
+  + 4 * coalesce(lower(kb.industry) = lower(c.industry), false)::INT AS mask,
+  kb.country = 'general' AS is_general, CAST({_SCORE} AS DOUBLE) AS score, count(*) AS entries
+FROM kb, c WHERE {_SCORE} > 0 GROUP BY ALL""")
+def j02_relevance_classes(spark, folder):
+    return KB.relevance_classes(
+        A.knowledge_table(spark, folder), A.customer_contexts(spark, folder))
+
+
 @query("t01_top_entries", f"""{with_views('learned', 'kb', 'contexts')},
 c AS (SELECT DISTINCT topic, industry, country FROM contexts),
 ranked AS (SELECT c.topic, c.industry, c.country, kb.id, wrong_term, correct_term,

@@ -22,11 +22,16 @@ def _trim(text: str) -> str:
 
 
 
-def srt_corpus(spark, folder):
+# Arabic-Indic digits, and mathematical ones beyond the basic plane.
+_OTHER_DIGITS = ["".join(chr(zero + n) for n in range(10)) for zero in (0x660, 0x1D7CE)]
+
+
+def srt_corpus(spark, folder, odd_numbers=False):
     """Each document as an SRT file, with faults planted by (document + line) number.
 
     Of 13 blocks one has a bad number, one a dot in its times, one no text, and one has junk after
-    its times. Every third file has CR LF line ends, every fifth a byte order mark.
+    its times. Every third file has CR LF line ends, every fifth a byte order mark. With
+    `odd_numbers` two more have digits of other scripts and one has a number beyond 64 bits.
     """
     docs = A.documents(spark, folder)
     lines = F.split("text", "\n", -1)
@@ -38,6 +43,12 @@ def srt_corpus(spark, folder):
         fault = (F.col("doc_id") + pos) % 13
         number = (pos + 1).cast("string")
         times = F.concat(srt_clock(start), F.lit(" --> "), srt_clock(end))
+        if odd_numbers:
+            number = (
+                F.when(fault == 5, F.translate(number, "0123456789", _OTHER_DIGITS[0]))
+                .when(fault == 7, F.concat(F.lit("9" * 20), number)).otherwise(number))
+            times = F.when(fault == 6, F.translate(times, "0123456789", _OTHER_DIGITS[1])).otherwise(
+                times)
         return F.concat(
             F.when(fault == 0, F.concat(F.lit("x"), number)).otherwise(number), F.lit("\n"),
             F.when(fault == 1, F.replace(times, F.lit(","), F.lit(".")))
@@ -62,9 +73,15 @@ _SRT_EXPECTED = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER
 FROM seg WHERE (CAST(doc_id AS BIGINT) + pos) % 13 > 2 AND {_trim('text')} <> ''"""
 
 
-@query("s03_parse_srt", f"{with_views('seg_docs')}\n{_SRT_EXPECTED}")
+_LARGE_SQL = f"""4611686018427387904 + CAST('0x' || substr(
+  md5('{'9' * 20}' || (seg.pos + 1)), 1, 15) AS BIGINT)"""
+
+
+@query("s03_parse_srt", f"""{with_views('seg_docs')}
+{_SRT_EXPECTED.replace('  idx,', f"""  CASE WHEN (CAST(doc_id AS BIGINT) + seg.pos) % 13 = 7
+    THEN {_LARGE_SQL} ELSE idx END AS idx,""")}""")
 def s03_parse_srt(spark, folder):
-    return codec.parse_srt(srt_corpus(spark, folder))
+    return codec.parse_srt(srt_corpus(spark, folder, odd_numbers=True))
 
 
 @query("w04_renumbered", f"""{with_views('seg_docs')},

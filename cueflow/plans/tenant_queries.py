@@ -208,7 +208,7 @@ def d14_unguarded_proposals(spark, folder):
 pairs AS (SELECT a.doc_id, a.pos, b.pos AS neighbour, list_cosine_similarity(a.e, b.e) AS sim
   FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.pos <> b.pos),
 scored AS (SELECT *, 0.7::DOUBLE * sim + (1 - 0.7::DOUBLE) * exp(-abs(pos - neighbour) / 7.0::DOUBLE)
-  AS score FROM pairs WHERE sim >= 0.5)
+  AS score FROM pairs WHERE sim >= 0.1)
 SELECT doc_id, pos, neighbour, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, neighbour) AS rank
   FROM scored) WHERE rank <= 8""")
@@ -217,10 +217,42 @@ def d15_context_neighbours(spark, folder):
         F.col("label").cast("string").alias("doc_id"), F.col("vec_id").alias("pos"),
         F.col("embedding").alias("vector"),
     )
-    near = C.context_neighbours(vectors)
+    # no two vectors of a label here reach the default floor
+    near = C.context_neighbours(vectors, floor=0.1)
     return near.withColumn("score", F.round("score", 6))
 
 
+_PROFILE = "aeiounrstlhd"
+
+
+@query("d15_line_neighbours", f"""WITH lines AS (
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, lower(unnest(string_split(text, chr(10)))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+v AS (SELECT doc_id, pos, [{', '.join(
+    f"CAST(length(line) - length(replace(line, '{c}', '')) AS DOUBLE) + 0.13::DOUBLE" for c in _PROFILE)}] AS e
+  FROM lines),
+pairs AS (SELECT a.doc_id, a.pos, b.pos AS neighbour, list_cosine_similarity(a.e, b.e) AS sim
+  FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.pos <> b.pos),
+scored AS (SELECT *, 0.7::DOUBLE * sim + (1 - 0.7::DOUBLE) * exp(-abs(pos - neighbour) / 7.0::DOUBLE)
+  AS score FROM pairs WHERE sim >= 0.5)
+SELECT doc_id, pos, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, neighbour) AS rank
+  FROM scored) WHERE rank <= 8""")
+def d15_line_neighbours(spark, folder):
+    """Lines by how often they have each of twelve letters, with the default floor.
+
+    The neighbour itself is left out: lines with equal counts tie but for rounding. So is a cosine
+    of just the floor, by the small share that every letter has.
+    """
+    line = F.lower("text")
+    counts = [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("double")
+              + F.lit(0.13) for c in _PROFILE]
+    vectors = A.document_lines(spark, folder).select(
+        F.col("doc_no").cast("string").alias("doc_id"), "pos", F.array(*counts).alias("vector"))
+    near = C.context_neighbours(vectors)
+    return near.select("doc_id", "pos", "rank", F.round("score", 6).alias("score"))
+
+
 @query("d16_candidate_ranking", """WITH f AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc_id,
   l_partkey % 7 AS pos, 'part ' || l_partkey || '/' || l_linenumber AS candidate,
   1 / (1 + exp(-(-0.4::DOUBLE + 0.7::DOUBLE * (l_quantity / 10) + -1.0::DOUBLE * (l_tax * 10)

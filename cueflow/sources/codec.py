@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from cueflow.constants import BLANK_CLASS, MAX_SEGMENTS, NON_WHITESPACE_CLASS, WHITESPACE_CLASS
 from cueflow.functions.text import drop_bom, fold_newlines, lstrip, strip
 from cueflow.functions.timecode import (
+    DIGIT,
     SRT_SPAN,
     VTT_LONG_SPAN,
     VTT_SHORT_SPAN,
+    fold_digits,
     srt_clock,
     srt_times,
     vtt_clock,
@@ -29,7 +31,7 @@ _VTT_TAGS = ["<v[^>]*>", "</v>", "<c[^>]*>", "</c>"]
 
 # Fixed pattern: a well-formed SRT block is a number, a timing line, and something to read.
 _SRT_BLOCK = (
-    rf"\A{WHITESPACE_CLASS}*[+-]?[0-9]+(?:_[0-9]+)*{BLANK_CLASS}*\n"
+    rf"\A{WHITESPACE_CLASS}*[+-]?{DIGIT}+(?:_{DIGIT}+)*{BLANK_CLASS}*\n"
     rf"{BLANK_CLASS}*{SRT_SPAN}[^\n]*\n{WHITESPACE_CLASS}*{NON_WHITESPACE_CLASS}"
 )
 # Fixed pattern: a WebVTT timing line has both ends with hours or both without.
@@ -89,6 +91,19 @@ def _webvtt_blocks(content: Column) -> Column:
     )
 
 
+def cue_number(text: Column) -> Column:
+    """A cue number as a long; digits may be of any script.
+
+    One that no long can hold becomes 2^62 and 60 bits of a digest of its digits, with its sign, so
+    equal numbers stay equal and different ones apart.
+    """
+    digits = fold_digits(F.replace(strip(text), F.lit("_")))
+    bare = F.regexp_replace(digits, r"^[+-]?0*", "")
+    large = F.lit(1 << 62) + F.conv(F.substring(F.md5(bare), 1, 15), 16, 10).cast("long")
+    return F.coalesce(
+        digits.try_cast("long"), F.when(F.startswith(digits, F.lit("-")), -large).otherwise(large))
+
+
 def _segments(docs: DataFrame, blocks: Column, is_srt: Column, key: list[str]) -> DataFrame:
     rows = docs.select(*key, is_srt.alias("is_srt"), F.posexplode(blocks).alias("pos", "b"))
     split = rows.withColumn(
@@ -103,11 +118,7 @@ def _segments(docs: DataFrame, blocks: Column, is_srt: Column, key: list[str]) -
         F.when(F.col("is_srt"), strip(part[2])).otherwise(part[2]).alias("text"),
     )
     times = F.when(F.col("is_srt"), srt_times(F.col("line"))).otherwise(vtt_times(F.col("line")))
-    # a number that no long can hold counts as the nearest one that can
-    digits = F.replace(strip(F.col("number")), F.lit("_"))
-    number = F.coalesce(
-        digits.try_cast("long"),
-        F.when(F.startswith(digits, F.lit("-")), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1)))
+    number = cue_number(F.col("number"))
     return lines.select(
         *key, "pos", F.when(F.col("is_srt"), number).otherwise(F.col("pos") + 1).alias("idx"),
         times.alias("t"), "text",

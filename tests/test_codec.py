@@ -173,11 +173,26 @@ def test_timecodes(spark):
 def test_cue_numbers_of_any_length(spark):
     from cueflow.sources import codec
 
-    numbers = ["1234567890123456789", "1_0000000000000000000000", "-99999999999999999999", "7"]
+    numbers = ["1234567890123456789", "1_0000000000000000000000", "-99999999999999999999", "7",
+               "010000000000000000000000", "10000000000000000000001", "-10000000000000000000000", "٣_٤",
+               "\U0001d7d92", "00000000000000000000000012"]
     body = "\n\n".join(f"{n}\n00:00:01,000 --> 00:00:02,000\nx" for n in numbers)
     docs = spark.createDataFrame([("d", "srt", body)], "doc_id string, format string, content string")
     got = [r.idx for r in codec.parse(docs).orderBy("pos").collect()]
-    assert got == [1234567890123456789, 2**63 - 1, -(2**63), 7]
+    assert [got[0], got[3], *got[7:]] == [1234567890123456789, 7, 34, 12, 12]
+    # equal numbers stay equal, others apart
+    assert got[1] == got[4] > 2**62 and got[6] == -got[1] and got[2] < -(2**62)
+    assert len({*got[:7]}) == 6
+
+
+def test_digits_of_any_script(spark):
+    docs = spark.createDataFrame(
+        [("s", "srt", "١\n٠٠:٠٠:٠١,٥٠٠ --> 00:00:0２,000\nx ٣"),
+         ("v", "webvtt", "WEBVTT\n\n٠٠:٠١.٥٠٠ --> 00:02.000\ny"),
+         ("n", "srt", "²\n00:00:01,000 --> 00:00:02,000\nsuperscripts are no decimal digits")],
+        "doc_id string, format string, content string")
+    got = {tuple(r) for r in codec.parse(docs).collect()}
+    assert got == {("s", 0, 1, 1500, 2000, "x ٣"), ("v", 0, 1, 1500, 2000, "y")}
 
 
 def test_payload_fields_must_be_strings(spark):
