@@ -346,6 +346,7 @@ def alike_roots(
     `sketched` has the sketch of every row and `digest`, xxhash64 of its text; `docs` has the texts.
     `known` (a, b) are further candidate pairs of nodes.
     """
+    known = None if known is None else known.filter("a <> b")
     nodes = settle(
         sketched.filter("node is not null").groupBy("node").agg(
             F.first("size").alias("size"), F.first("signature").alias("signature"),
@@ -379,8 +380,9 @@ def alike_roots(
     pairs = met.join(leaders, "key").filter("node <> node2").filter(fits).select(
         F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
     if known is not None:
-        pairs = pairs.unionByName(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = settle(pairs.filter("a <> b").distinct(), "minhash-pairs")
+        pairs = pairs.unionByName(
+            known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = settle(pairs.distinct(), "minhash-pairs")
     links = _verified(pairs, nodes, sets, like)
     roots = settle(components(links), "minhash-roots")
 
