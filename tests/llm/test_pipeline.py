@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as C
 from cueflow.llm import language_id, packing
-from tests.llm.test_simhash import plain_fingerprint, plain_roots
+from tests.llm.test_minhash import plain_roots
 from tests.llm.test_suffix_dedup import brute
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,10 +41,10 @@ def test_exact_copies(steps):
 
 
 def test_near_copies(steps):
-    rows = sorted(steps["exact"], key=lambda r: r.doc_id)
-    roots = plain_roots([plain_fingerprint(r.text) for r in rows])
-    assert sorted(r.doc_id for r in steps["near"]) == [
-        r.doc_id for i, r in enumerate(rows) if roots[i] == i]
+    """Against the Jaccard similarity of all pairs of five-word shingle sets."""
+    docs = {r.doc_id: r.text for r in steps["exact"]}
+    roots, _ = plain_roots(docs, 5, 80)
+    assert sorted(r.doc_id for r in steps["near"]) == sorted({*roots.values()})
 
 
 def test_passages(steps):
