@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cueflow import constants as K
 from cueflow.operators.intervals import overlap_counts
 from cueflow.operators.rules import cps, duration_ms
+from cueflow.session import settle
 
 
 def segment_measures(chars: Column, speed: Column) -> list[Column]:
@@ -31,8 +32,16 @@ def segment_stats(segments: DataFrame) -> DataFrame:
 
 
 def document_stats(segments: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """Statistics with overlap counts; documents of `docs` without segments give zeros."""
-    stats = segment_stats(segments).join(overlap_counts(segments), "doc_id", "left")
+    """Statistics with overlap counts; documents of `docs` without segments give zeros.
+
+    The segments are read once; their text is measured there and dropped.
+    """
+    measured = settle(segments.select(
+        "doc_id", "pos", "start_ms", "end_ms", F.length("text").alias("chars"),
+        cps().alias("cps")), "cue-measures")
+    stats = measured.groupBy("doc_id").agg(
+        *segment_measures(F.col("chars"), F.col("cps"))).join(
+        overlap_counts(measured), "doc_id", "left")
     stats = stats.withColumn("overlap_count", F.coalesce("overlap_count", F.lit(0)))
     if docs is None:
         return stats

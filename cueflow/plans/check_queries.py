@@ -32,9 +32,9 @@ SELECT doc_id, idx AS segment_idx, '{name}' AS issue_type, 'warning' AS severity
   CAST(line_no AS INTEGER) AS line_no FROM pieces WHERE {condition}"""
 
 
-def _written(segments):
-    """Segments written once, for jobs that read them several times."""
-    return settle(segments, "segments")
+def _times(segments):
+    """Times of segments, written once for jobs that read them several times."""
+    return settle(segments.select("doc_id", "pos", "start_ms", "end_ms"), "cue-times")
 
 
 def _negative_shift(df):
@@ -182,7 +182,7 @@ SELECT a.doc_id, a.pos AS pos_i, b.pos AS pos_j FROM seg a JOIN seg b
 WHERE NOT (a.end_ms <= b.start_ms OR a.start_ms >= b.end_ms)""")
 def j01_overlaps(spark, folder):
     return intervals.overlap_pairs(
-        _written(A.event_segments(spark, folder, ms_per_unit=600_000))
+        _times(A.event_segments(spark, folder, ms_per_unit=600_000))
     )
 
 
@@ -245,7 +245,7 @@ def _rounded_stats(df):
 
 @query("a01_document_stats", _stats_sql("seg_docs"))
 def a01_document_stats(spark, folder):
-    return _rounded_stats(stats.document_stats(_written(A.document_segments(spark, folder))))
+    return _rounded_stats(stats.document_stats(A.document_segments(spark, folder)))
 
 
 @query("a01_overlap_counts_faulty", f"""{with_views('seg_long')},
@@ -256,7 +256,7 @@ SELECT a.doc_id, count(*) AS overlap_count FROM faulty a JOIN faulty b
   ON a.doc_id = b.doc_id AND a.pos < b.pos
 WHERE NOT (a.end_ms <= b.start_ms OR a.start_ms >= b.end_ms) GROUP BY a.doc_id""")
 def a01_overlap_counts_faulty(spark, folder):
-    seg = _written(A.event_segments(spark, folder, ms_per_unit=600_000))
+    seg = _times(A.event_segments(spark, folder, ms_per_unit=600_000))
     length = F.col("end_ms") - F.col("start_ms")
     faulty = seg.withColumn(
         "end_ms",
@@ -269,7 +269,7 @@ def a01_overlap_counts_faulty(spark, folder):
 
 @query("a01_document_stats_long", _stats_sql("seg_long"))
 def a01_document_stats_long(spark, folder):
-    seg = _written(A.event_segments(spark, folder, ms_per_unit=600_000))
+    seg = A.event_segments(spark, folder, ms_per_unit=600_000)
     return _rounded_stats(stats.document_stats(seg))
 
 
@@ -323,6 +323,88 @@ def a07_size_distribution(spark, folder):
     return stats.size_distribution(docs, "lang", F.col("n_chars"), _SIZE_BOUNDS)
 
 
+_V_BOUNDS = [("duration_too_short", "dur < 500", "below minimum", "500"),
+             ("duration_short", "dur >= 500 AND dur < 1500", "below recommended", "1500"),
+             ("duration_too_long", "dur > 10000", "exceeds maximum", "10000"),
+             ("duration_long", "dur > 6000 AND dur <= 10000", "exceeds recommended", "6000")]
+_V_MESSAGES = " UNION ALL ".join([
+    *(f"""SELECT doc_id, idx, '{name}' AS issue_type, 'Segment duration (' || dur || 'ms) is {words} ({bound}ms)'
+  AS message, 'duration_ms=' || dur AS details FROM timed WHERE {test}""".replace(
+        " is exceeds", " exceeds") for name, test, words, bound in _V_BOUNDS),
+    """SELECT doc_id, idx, 'cps_too_high', 'CPS (' || printf('%.1f', cps) || ') exceeds maximum (25.0)',
+  '' FROM timed WHERE cps > 25""",
+    """SELECT doc_id, idx, 'cps_high', 'CPS (' || printf('%.1f', cps) || ') exceeds target (17.0)',
+  '' FROM timed WHERE cps > 17 AND cps <= 25""",
+    """SELECT doc_id, idx, 'empty_text', 'Segment has empty text', '' FROM timed WHERE trim(text) = ''""",
+    """SELECT doc_id, idx, 'too_many_lines', 'Segment has ' || len(string_split(text, chr(10)))
+  || ' lines (max: 2)', 'line_count=' || len(string_split(text, chr(10))) FROM timed
+  WHERE len(string_split(text, chr(10))) > 2""",
+    """SELECT doc_id, idx, 'line_too_long', 'Line ' || line_no || ' has ' || length(line)
+  || ' characters (max: 80)', 'line_length=' || length(line) || ',line_number=' || line_no
+  FROM pieces WHERE length(line) > 80""",
+    """SELECT doc_id, idx, 'line_long', 'Line ' || line_no || ' has ' || length(line)
+  || ' characters (target: 42)', 'line_length=' || length(line) || ',line_number=' || line_no
+  FROM pieces WHERE length(line) > 42 AND length(line) <= 80""",
+    """SELECT doc_id, idx, 'negative_start', 'Segment has negative start time',
+  'start_ms=' || start_ms FROM timed WHERE start_ms < 0""",
+    """SELECT doc_id, idx, 'invalid_timing', 'End time must be after start time',
+  'end_ms=' || end_ms || ',start_ms=' || start_ms FROM timed WHERE end_ms <= start_ms""",
+])
+
+
+@query("v17_messages", f"""{with_views('seg_convs')},
+moved AS (SELECT doc_id, pos, idx, start_ms - 4000 AS start_ms,
+  CASE WHEN pos % 3 = 1 THEN start_ms - 4000 - pos ELSE end_ms - 4000 END AS end_ms,
+  CASE WHEN pos % 5 = 4 THEN ' ' ELSE text END AS text FROM seg),
+timed AS (SELECT *, end_ms - start_ms AS dur, CASE WHEN end_ms = start_ms THEN 0.0::DOUBLE
+  ELSE length(text) / (CAST(end_ms - start_ms AS DOUBLE) / 1000.0::DOUBLE) END AS cps FROM moved),
+pieces AS (SELECT doc_id, idx, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM timed)
+SELECT doc_id, idx AS segment_idx, issue_type, message, details FROM ({_V_MESSAGES})""")
+def v17_messages(spark, folder):
+    """Messages and details of all rules on single segments; turns with planted faults.
+
+    Of the reading speed only the message is compared: its detail is a double printed as text.
+    """
+    seg = A.conversation_segments(spark, folder)
+    start = F.col("start_ms") - 4000
+    seg = seg.select(
+        "doc_id", "pos", "idx", start.alias("start_ms"),
+        F.when(F.col("pos") % 3 == 1, start - F.col("pos")).otherwise(F.col("end_ms") - 4000)
+        .alias("end_ms"),
+        F.when(F.col("pos") % 5 == 4, F.lit(" ")).otherwise(F.col("text")).alias("text"))
+    entries = F.array_sort(F.map_entries("details"))
+    shown = F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return rules.segment_issues(seg).select(
+        "doc_id", "segment_idx", "issue_type", "message",
+        F.when(F.startswith("issue_type", F.lit("cps")), F.lit("")).otherwise(shown).alias("details"))
+
+
+@query("d09_settings_faults", """WITH settings AS (
+  SELECT p_partkey AS id, p_size * 2 AS line_wrap, p_partkey % 6 AS max_lines,
+    p_size * 130 AS min_duration_ms, CAST(p_retailprice * 8 AS BIGINT) AS max_duration_ms,
+    CAST(p_size AS DOUBLE) / 1.6 AS max_cps FROM part)
+SELECT id, 'line_wrap' AS setting, CAST(line_wrap AS DOUBLE) AS value FROM settings
+  WHERE line_wrap NOT BETWEEN 20 AND 80
+UNION ALL SELECT id, 'max_lines', CAST(max_lines AS DOUBLE) FROM settings
+  WHERE max_lines NOT BETWEEN 1 AND 4
+UNION ALL SELECT id, 'min_duration_ms', CAST(min_duration_ms AS DOUBLE) FROM settings
+  WHERE min_duration_ms NOT BETWEEN 500 AND 5000
+UNION ALL SELECT id, 'max_duration_ms', CAST(max_duration_ms AS DOUBLE) FROM settings
+  WHERE max_duration_ms NOT BETWEEN 2000 AND 10000
+UNION ALL SELECT id, 'max_cps', max_cps FROM settings WHERE max_cps NOT BETWEEN 5 AND 25""")
+def d09_settings_faults(spark, folder):
+    """Settings made of part columns, checked against the allowed ranges."""
+    from cueflow.plans.validation import settings_faults
+
+    settings = A.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), (F.col("p_size") * 2).alias("line_wrap"),
+        (F.col("p_partkey") % 6).alias("max_lines"), (F.col("p_size") * 130).alias("min_duration_ms"),
+        F.round(F.col("p_retailprice") * 8).cast("long").alias("max_duration_ms"),
+        (F.col("p_size") / F.lit(1.6)).alias("max_cps"))
+    return settings_faults(settings).select("id", "setting", "value")
+
+
 @query("t04_ordered_issues", f"""{_ALL_SHORT_SQL},
 linked AS (SELECT *, lag(start_ms) OVER w AS prev_start, lag(end_ms) OVER w AS prev_end FROM seg
   WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
@@ -341,7 +423,7 @@ SELECT * FROM every ORDER BY doc_id, phase, pos, rule_no, line_no""")
 def t04_ordered_issues(spark, folder):
     from cueflow.plans.validation import all_issues
 
-    issues = all_issues(_written(A.event_segments(spark, folder)))
+    issues = all_issues(A.event_segments(spark, folder))
     return rules.ordered_issues(issues).select(
         "doc_id", "segment_idx", "issue_type", "severity", "phase", "pos", "rule_no", "line_no"
     )
@@ -369,7 +451,7 @@ FROM base LEFT JOIN sides USING (doc_id) LEFT JOIN pairs USING (doc_id)""")
 def c09_validation_report(spark, folder):
     from cueflow.plans.validation import validation_report
 
-    report = validation_report(_written(A.event_segments(spark, folder)))
+    report = validation_report(A.event_segments(spark, folder))
     return report.select(
         "doc_id", "segment_count", "total_duration_ms", "total_characters", "errors", "warnings",
         "valid", "overlap_count",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.operators import consistency, diffs, knowledge, proposals as P
+from cueflow.session import settle
 from cueflow.sources import codec
 
 
@@ -58,6 +59,22 @@ def document_contents(docs: DataFrame, rendered: DataFrame) -> DataFrame:
     return rendered.unionByName(kept)
 
 
+def correct_documents(
+    docs: DataFrame,
+    proposals: DataFrame,
+    kb: DataFrame,
+    manifests: DataFrame | None = None,
+    timecode: str = "srt",
+) -> DataFrame:
+    """Subtitle text (doc_id, format, content) to corrected text, in parts (doc_id, part_no, content).
+
+    A document without a cue, whatever the reason, comes back as it is.
+    """
+    segments = settle(codec.parse(docs), "cues")
+    run = correct_segments(segments, proposals, kb, manifests)
+    return document_contents(docs, run.content(timecode))
+
+
 def learn_corrections(
     original: DataFrame,
     corrected: DataFrame,

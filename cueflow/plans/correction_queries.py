@@ -10,10 +10,11 @@ from cueflow import constants as K
 from cueflow.functions.text import words
 from cueflow.operators import cleaning, consistency, diffs, knowledge, prompts, stats
 from cueflow.operators import proposals as P
-from cueflow.plans.correction import correct_segments, learn_corrections
+from cueflow.plans.correction import correct_documents, correct_segments, learn_corrections
 from cueflow.plans.knowledge_queries import nation_manifests
 from cueflow.plans.registry import query
 from cueflow.sources import adapters as A
+from cueflow.sources import codec
 from cueflow.sources.adapters import with_views
 
 # The proposals every conversation turn gets: list order, original, corrected, type.
@@ -521,14 +522,91 @@ def c08_changes(spark, folder):
     return _flagship(spark, folder).changes
 
 
-@query("c08_manifest_rules")
+def _srt_clock_sql(ms: str) -> str:
+    return f"""lpad(CAST({ms} // 3600000 AS VARCHAR), 2, '0') || ':'
+  || lpad(CAST({ms} % 3600000 // 60000 AS VARCHAR), 2, '0') || ':'
+  || lpad(CAST({ms} % 60000 // 1000 AS VARCHAR), 2, '0') || ','
+  || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0')"""
+
+
+@query("c08_text_to_content", f"""{with_views('seg_convs')},
+flat AS (SELECT * REPLACE (replace(text, chr(10), ' ') AS text) FROM seg
+  WHERE CAST(doc_id AS BIGINT) % 7 NOT IN (3, 5)),
+fixed AS (SELECT *, {_chain_sql(_EXACT)} AS done FROM flat)
+SELECT doc_id, CAST(0 AS BIGINT) AS part_no, string_agg(idx || chr(10)
+  || {_srt_clock_sql('start_ms')} || ' --> ' || {_srt_clock_sql('end_ms')}
+  || chr(10) || done || chr(10), chr(10) ORDER BY pos) AS content
+FROM fixed GROUP BY doc_id
+UNION ALL SELECT DISTINCT doc_id, CAST(0 AS BIGINT),
+  CASE CAST(doc_id AS BIGINT) % 7 WHEN 3 THEN 'no cue, the end' ELSE '' END FROM seg
+  WHERE CAST(doc_id AS BIGINT) % 7 IN (3, 5)""")
+def c08_text_to_content(spark, folder):
+    """Each conversation as an SRT file, from its text to the corrected text.
+
+    Of seven files one has no cue and one is empty; both come back as they are.
+    """
+    seg = A.conversation_segments(spark, folder).withColumn(
+        "text", F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
+    kind = F.col("doc_id").cast("long") % 7
+    docs = codec.render_srt(seg).select(
+        "doc_id", F.lit("srt").alias("format"),
+        F.when(kind == 3, F.lit("no cue, the end")).when(kind == 5, F.lit("")).otherwise(
+            F.col("content")).alias("content"))
+    return correct_documents(docs, turn_proposals(spark, folder), small_kb(spark))
+
+
+def _marked_sql(term: str) -> str:
+    return f"regexp_replace({term}, '({_WORD})', chr(1) || '\\1' || chr(2), 'g')"
+
+
+def _manifest_chain_sql() -> str:
+    """The ordered rules of a document: the fixed list, its manifest (`n_name` and `c_mktsegment`
+    of its customer, where it has one), the KB."""
+    text = _marked_sql(_EXACT)
+    fixed = [(f"'{_marked(w)}'", f"'{_marked(r)}'") for w, r in K.BUILTIN_SPELLINGS]
+    # the manifest names one of the fixed terms too: its place stays, its replacement changes
+    fixed = [(w, f"coalesce({_marked_sql('n_name')}, {r})" if _marked("Xvi") in w else r)
+             for w, r in fixed]
+    never = "chr(3)"
+    short = f"CASE WHEN strict THEN {_marked_sql('substr(n_name, 1, 3)')} END"
+    own = [(short, "n_name"), (_marked_sql("lower(n_name)"), "n_name"),
+           (_marked_sql("n_name || 'x'"), "c_mktsegment"),
+           (_marked_sql("lower(c_mktsegment)"), "c_mktsegment"),
+           (_marked_sql("'1-URGENT'"), "c_mktsegment")]
+    own = [(f"CASE WHEN n_name IS NULL THEN {never} ELSE coalesce({w}, {never}) END",
+            f"coalesce({_marked_sql(r)}, '')") for w, r in own]
+    learned = [(f"'{_marked(w)}'", f"'{_marked(r)}'") for w, r in _SMALL_KB]
+    for wrong, right in [*fixed, *own, *learned]:
+        text = f"regexp_replace({text}, {wrong}, {right}, 'gi')"
+    return f"translate({text}, chr(1) || chr(2), '')"
+
+
+@query("c08_manifest_rules", f"""{with_views('seg_convs')},
+manifests AS (SELECT CAST(c_custkey AS VARCHAR) AS doc_id, n_name, c_mktsegment,
+  c_custkey % 2 = 0 AS strict FROM customer JOIN nation ON c_nationkey = n_nationkey),
+named AS (SELECT seg.* REPLACE (CASE WHEN n_name IS NULL THEN text ELSE text || ' ' || lower(n_name)
+  || ' ' || n_name || 'x, ' || c_mktsegment || ' Xvi ' || substr(n_name, 1, 3) END AS text),
+  n_name, c_mktsegment, strict FROM seg LEFT JOIN manifests USING (doc_id)),
+fixed AS (SELECT doc_id, pos, idx, start_ms, end_ms, {_manifest_chain_sql()} AS text FROM named)
+SELECT doc_id, CAST(0 AS BIGINT) AS part_no, string_agg(idx || chr(10) || {_srt_clock_sql('start_ms')}
+  || ' --> ' || {_srt_clock_sql('end_ms')} || chr(10) || text || chr(10), chr(10) ORDER BY pos)
+  AS content
+FROM fixed GROUP BY doc_id""")
 def c08_manifest_rules(spark, folder):
-    """As `c08_corrected_content`, with the spelling of each document's own manifest on top."""
+    """As `c08_corrected_content`, with the spelling of each document's own manifest on top.
+
+    Turns of a document with a manifest end in words that it spells otherwise.
+    """
     seg = A.conversation_segments(spark, folder)
+    manifests = _conversation_manifests(spark, folder)
+    names = manifests.select(
+        "doc_id", F.col("manifest.country").alias("n"), F.col("manifest.topic").alias("s"))
+    tail = F.concat_ws(
+        " ", "text", F.lower("n"), F.concat("n", F.lit("x,")), "s", F.lit("Xvi"), F.substring("n", 1, 3))
+    seg = seg.join(names, "doc_id", "left").withColumn(
+        "text", F.when(F.col("n").isNull(), F.col("text")).otherwise(tail)).drop("n", "s")
     run = correct_segments(
-        seg, turn_proposals(spark, folder), small_kb(spark),
-        manifests=_conversation_manifests(spark, folder),
-    )
+        seg, turn_proposals(spark, folder), small_kb(spark), manifests=manifests)
     return run.content()
 
 

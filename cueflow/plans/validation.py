@@ -17,14 +17,19 @@ from cueflow.sources import codec, files
 def all_issues(
     segments: DataFrame, docs: DataFrame | None = None, strict: bool = False
 ) -> DataFrame:
-    """Every issue of every document; `docs` adds those without a single segment."""
+    """Every issue of every document; `docs` adds those without a single segment.
+
+    The segments are read twice: for their times, which are written once for overlaps and order, and
+    for the rules on their text.
+    """
+    times = settle(segments.select("doc_id", "pos", "idx", "start_ms", "end_ms"), "cue-times")
     issues = (
         rules.segment_issues(segments, strict=strict)
-        .unionByName(rules.overlap_issues(intervals.overlap_pairs(segments)))
-        .unionByName(rules.order_issues(segments))
+        .unionByName(rules.overlap_issues(intervals.overlap_pairs(times)))
+        .unionByName(rules.order_issues(times))
     )
     if docs is not None:
-        issues = issues.unionByName(rules.empty_document_issues(docs, segments))
+        issues = issues.unionByName(rules.empty_document_issues(docs, times))
     return issues
 
 
@@ -33,23 +38,24 @@ def validation_report(
 ) -> DataFrame:
     """Statistics and verdict per document.
 
-    The verdict needs counts only, so no issue row is ever made: each segment's broken rules are
-    counted where it is read, its text is dropped, one neighbour pass adds the order faults while
-    everything is summed up, and overlaps come from the pair-free count.
+    The verdict needs counts only, so no issue row is ever made: the segments are read once, each
+    one's broken rules are counted there and its text is dropped. What is left is written once; one
+    neighbour pass adds the order faults while everything is summed up, and overlaps come from the
+    pair-free count.
     """
     checks = rules.SegmentRules(strict=strict)
-    measured = segments.select(
+    measured = settle(segments.select(
         "doc_id", "pos", "start_ms", "end_ms", F.length("text").alias("chars"),
         rules.cps().alias("cps"), checks.tally(errors=True).alias("rule_errors"),
         checks.tally(errors=False).alias("rule_warnings"),
-    )
+    ), "cue-measures")
     linked = with_previous(measured, ["doc_id"], "pos", ["start_ms", "end_ms"])
     counts = linked.groupBy("doc_id").agg(
         *stats.segment_measures(F.col("chars"), F.col("cps")),
         (F.sum("rule_errors") + F.count_if(rules.out_of_order())).alias("errors"),
         (F.sum("rule_warnings") + F.count_if(rules.large_gap())).alias("warnings"),
     )
-    report = counts.join(intervals.overlap_counts(segments), "doc_id", "left")
+    report = counts.join(intervals.overlap_counts(measured), "doc_id", "left")
     if docs is not None:
         report = docs.select("doc_id").join(report, "doc_id", "left")
     report = report.fillna(
@@ -73,7 +79,7 @@ def text_report(docs: DataFrame, max_chars: int = K.MAX_CONTENT_CHARS) -> DataFr
     """
     judged = settle(files.admit(docs, max_chars), "admitted")
     admitted = files.accepted(judged)
-    report = validation_report(settle(codec.parse(admitted), "cues"), admitted)
+    report = validation_report(codec.parse(admitted), admitted)
     rejected = files.rejected(judged).select("doc_id", "reason")
     return report.withColumn("reason", F.lit(None).cast("string")).unionByName(
         rejected, allowMissingColumns=True)

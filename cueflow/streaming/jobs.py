@@ -62,9 +62,9 @@ def report_per_batch(
     from cueflow.plans.validation import validation_report
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # The report reads the segments several times, the files are read once.
+        # the text is read twice, the files once
         docs = settle(batch, "arrived")
-        report = validation_report(settle(codec.parse(docs), "arrived-cues"), docs)
+        report = validation_report(codec.parse(docs), docs)
         report.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     query = (
