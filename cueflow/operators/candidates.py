@@ -23,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _NOT_WORD = r"[^\p{L}\p{N}\p{M}_]+"
 CONTEXT_BLOCK = 512
 SUM_CHUNK = 128
+#: Characters of a word that its keys are made of.
+INDEX_PREFIX = 12
 
 # Fixed patterns: spans that must not be edited.
 GUARDS = {
@@ -58,9 +60,9 @@ def unknown_words(counts: DataFrame, min_uses: int = K.VOCAB_MIN_FREQ) -> DataFr
     return counts.where(_fit_length() & (F.col("uses") < min_uses))
 
 
-def deletion_keys(word: Column) -> Column:
-    """The word's prefix with up to two characters left out, in every way."""
-    prefix = F.substring(word, 1, K.EDIT_PREFIX)
+def deletion_keys(word: Column, prefix: int = INDEX_PREFIX) -> Column:
+    """Hashes of the word's first `prefix` characters with up to two left out, in every way."""
+    head = F.substring(word, 1, prefix)
 
     def without(text: Column, at: Column) -> Column:
         return F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + 1, F.length(text)))
@@ -70,9 +72,17 @@ def deletion_keys(word: Column) -> Column:
             F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: without(text, i)
         )
 
-    one = F.array_distinct(each_without(prefix))
-    two = F.flatten(F.transform(one, each_without))
-    return F.array_distinct(F.concat(F.array(prefix), one, two))
+    # the second one left out stands at or behind the first, so that each two are taken once
+    def each_two(text: Column) -> Column:
+        def behind(i: Column) -> Column:
+            return F.transform(
+                F.sequence(i, F.greatest(F.length(text) - 1, i)), lambda j: without(without(text, i), j))
+
+        return F.flatten(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), behind))
+
+    keys = F.concat(F.array(head), each_without(head), each_two(head))
+    return F.transform(F.array_distinct(keys), lambda k: F.xxhash64(k))
 
 
 def edit_neighbours(
@@ -80,8 +90,10 @@ def edit_neighbours(
 ) -> DataFrame:
     """Vocabulary words within edit distance 2 of each unknown word, the `top` best ranked.
 
-    Two words that close share a deletion key of their prefixes, so both meet by key; only pairs
-    that met and whose lengths fit are measured. Rank: distance, more uses, word.
+    Two words that close share a key of their first characters with up to two left out, so both meet
+    by key; only pairs that met and whose lengths fit are measured. Keys reach over whole words, but
+    for long ones, so a key's words are those that two insertions make of it: few, however large the
+    vocabulary grows. Rank: distance, more uses, word.
     """
     offered = known.select(
         F.col("word").alias("candidate"), F.col("uses").alias("candidate_uses"),

@@ -281,17 +281,34 @@ _NAME_SQL = """'doc' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.srt' WHEN 1 THEN
 @query("s01_scan_corpus", f"""SELECT {_NAME_SQL} AS name, length(text) + 1 AS chars,
   md5(text || chr(10)) AS digest FROM documents""")
 def s01_scan_corpus(spark, folder):
-    """Documents written as a corpus to the shared folder and scanned back."""
+    """Documents packed into a corpus in the shared folder, in two parts each, and scanned back."""
     path = scratch_path(spark, "corpus")
-    docs = _named_documents(spark, folder).withColumn("part_no", F.lit(0))
-    files.write_corpus(docs, path)
-    return files.scan_corpus(spark, path).select(
-        files.document_name(F.col("doc_id")).alias("name"),
+    docs = _named_documents(spark, folder)
+    half = (F.length("content") / 2).cast("int")
+    parts = F.array(
+        F.struct(F.lit(1).alias("part_no"), F.concat(
+            F.substr("content", half + 1, F.length("content")), F.lit("\n")).alias("content")),
+        F.struct(F.lit(0).alias("part_no"), F.substr("content", F.lit(1), half).alias("content")))
+    files.pack_corpus(docs.select("name", F.inline(parts)), path)
+    return files.scan_packed(spark, path).select(
+        F.col("doc_id").alias("name"),
         F.length("content").cast("long").alias("chars"),
         F.md5(F.col("content").cast("binary")).alias("digest"),
     )
 
 
+@query("s01_named_documents", f"""SELECT {_NAME_SQL} AS name, length(text) AS chars
+FROM documents WHERE doc_id % 97 = 3""")
+def s01_named_documents(spark, folder):
+    """Documents looked up by name in a packed corpus; only the files that hold them are read."""
+    path = scratch_path(spark, "corpus")
+    docs = _named_documents(spark, folder)
+    files.pack_corpus(docs.select("name", F.lit(0).alias("part_no"), "content"), path)
+    names = docs.where(F.col("doc_id").cast("long") % 97 == 3).select("name")
+    return files.read_packed(spark, path, names).select(
+        F.col("doc_id").alias("name"), F.length("content").cast("long").alias("chars"))
+
+
 @query("s02_format_dispatch", f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_NAME_SQL} AS name,
   CASE WHEN doc_id % 5 = 0 THEN 'srt' ELSE 'webvtt' END AS router,
   CASE WHEN doc_id % 5 IN (1, 3) THEN 'webvtt' ELSE 'srt' END AS cli,

@@ -300,13 +300,13 @@ SELECT issue_type, count(*) AS issues FROM found GROUP BY issue_type"""
 
 @query("x01_arriving_files", _X1_SQL)
 def x01_arriving_files(spark, folder):
-    """The documents as subtitle files, streamed from the shared folder and checked."""
+    """The documents as a packed corpus, streamed from the shared folder and checked."""
     inbox, outbox = scratch_path(spark, "inbox"), scratch_path(spark, "issues")
     docs = srt_corpus(spark, folder).select(
         F.concat("doc_id", F.lit(".srt")).alias("name"), F.lit(0).alias("part_no"), "content"
     )
-    files.write_corpus(docs, inbox)
-    jobs.run_available(jobs.arriving_issues(spark, inbox), outbox, scratch_path(spark, "progress"))
+    files.pack_corpus(docs, inbox)
+    jobs.run_available(jobs.arriving_issues(spark, inbox, packed=True), outbox, scratch_path(spark, "progress"))
     return spark.read.parquet(outbox).groupBy("issue_type").agg(F.count("*").alias("issues"))
 
 
@@ -326,10 +326,10 @@ def x01_file_reports(spark, folder):
     junk = docs.select(F.concat(F.lit("e"), "doc_id").alias("doc_id"), F.lit("no cue").alias("content"))
     named = docs.unionByName(junk).select(
         F.concat("doc_id", F.lit(": a %.srt")).alias("name"), F.lit(0).alias("part_no"), "content")
-    files.write_corpus(named, inbox)
-    jobs.report_per_batch(spark, inbox, outbox, scratch_path(spark, "progress"))
+    files.pack_corpus(named, inbox)
+    jobs.report_per_batch(spark, inbox, outbox, scratch_path(spark, "progress"), packed=True)
     return spark.read.parquet(outbox).select(
-        files.document_name(F.col("doc_id")).alias("name"), "segment_count", "total_duration_ms",
+        F.col("doc_id").alias("name"), "segment_count", "total_duration_ms",
         F.coalesce("total_characters", F.lit(0)).alias("total_characters"))
 
 

@@ -22,9 +22,49 @@ def scan_corpus(
     )
 
 
+def pack_corpus(docs: DataFrame, path: str) -> None:
+    """Documents (name, part_no, content) as a table below `path`, with an index.
+
+    `documents` has one row per document, (name, content), in files that hold a range of names each;
+    `index` tells the file and the row of each name: (name, part, row).
+    """
+    parts = F.array_sort(F.collect_list(F.struct("part_no", "content")))
+    whole = docs.groupBy("name").agg(
+        F.array_join(F.transform(parts, lambda p: p["content"]), "").alias("content"))
+    whole.repartitionByRange("name").sortWithinPartitions("name").write.parquet(f"{path}/documents")
+    stored = docs.sparkSession.read.schema("name string, content string").parquet(f"{path}/documents")
+    stored.select(
+        "name", F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("row")
+    ).write.parquet(f"{path}/index")
+
+
+def scan_packed(
+    spark: SparkSession, path: str, normalize_newlines: bool = True, strip_bom: bool = True
+) -> DataFrame:
+    """Documents of a packed corpus: (doc_id = name, content)."""
+    stored = spark.read.schema("name string, content string").parquet(f"{path}/documents")
+    return stored.select(
+        F.col("name").alias("doc_id"),
+        clean_content(F.col("content"), normalize_newlines, strip_bom).alias("content"))
+
+
+def read_packed(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
+    """The documents of a packed corpus with the given `names`; only their files are read."""
+    wanted = spark.read.parquet(f"{path}/index").join(names.select("name").distinct(), "name")
+    files = [r.part for r in wanted.select("part").distinct().collect()]
+    if not files:
+        return scan_packed(spark, path).limit(0)
+    stored = spark.read.schema("name string, content string").parquet(
+        *(f"{path}/documents/{part}" for part in files))
+    return stored.join(wanted.select("name"), "name", "left_semi").select(
+        F.col("name").alias("doc_id"), clean_content(F.col("content")).alias("content"))
+
+
 def write_corpus(docs: DataFrame, path: str) -> None:
     """One folder per document name below `path`, holding its text: (name, part_no, content).
 
+    For whoever needs files; `pack_corpus` keeps large corpora in a table.
+
     Parts of a long document are written in order into one file; a task holds one row at a time.
     """
     (

@@ -16,8 +16,17 @@ LOG_SCHEMA = (
 )
 
 
-def arriving_documents(spark: SparkSession, path: str, policy: str = "router") -> DataFrame:
-    """Subtitle files as they arrive below `path`: (doc_id, content, format)."""
+def arriving_documents(
+    spark: SparkSession, path: str, policy: str = "router", packed: bool = False
+) -> DataFrame:
+    """Subtitle files as they arrive below `path`: (doc_id, content, format).
+
+    With `packed` they arrive as files of a packed corpus, many documents each.
+    """
+    if packed:
+        docs = spark.readStream.schema("name string, content string").parquet(
+            f"{path}/documents").select(F.col("name").alias("doc_id"), "content")
+        return docs.withColumn("format", files.format_of(F.col("doc_id"), policy))
     arrived = spark.readStream.option("recursiveFileLookup", "true").text(path, wholetext=True)
     docs = arrived.select(
         F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("content")
@@ -25,14 +34,18 @@ def arriving_documents(spark: SparkSession, path: str, policy: str = "router") -
     return docs.withColumn("format", files.format_of(files.source_name(F.col("doc_id")), policy))
 
 
-def arriving_segments(spark: SparkSession, path: str, policy: str = "router") -> DataFrame:
+def arriving_segments(
+    spark: SparkSession, path: str, policy: str = "router", packed: bool = False
+) -> DataFrame:
     """Segments of subtitle files as they arrive below `path`. Stateless."""
-    return codec.parse(arriving_documents(spark, path, policy))
+    return codec.parse(arriving_documents(spark, path, policy, packed))
 
 
-def arriving_issues(spark: SparkSession, path: str, policy: str = "router") -> DataFrame:
+def arriving_issues(
+    spark: SparkSession, path: str, policy: str = "router", packed: bool = False
+) -> DataFrame:
     """Segment rule issues of arriving files. Stateless."""
-    return segment_issues(arriving_segments(spark, path, policy))
+    return segment_issues(arriving_segments(spark, path, policy, packed))
 
 
 def run_available(
@@ -52,7 +65,8 @@ def run_available(
 
 
 def report_per_batch(
-    spark: SparkSession, path: str, output: str, checkpoint: str, policy: str = "router"
+    spark: SparkSession, path: str, output: str, checkpoint: str, policy: str = "router",
+    packed: bool = False,
 ) -> StreamingQuery:
     """Validation report of each arriving file, also of one without a single cue.
 
@@ -68,7 +82,7 @@ def report_per_batch(
         report.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     query = (
-        arriving_documents(spark, path, policy)
+        arriving_documents(spark, path, policy, packed)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
