@@ -240,7 +240,7 @@ class Trainer:
         noise = self.rng.choice(len(self.unigram), NOISE, p=self.unigram)
         for p, s, d in zip(self.model.parts, self.squares,
                            self.gradients(near, far, klass, weight, noise), strict=True):
-            d /= np.float32(MINIBATCH)
+            d = d / np.float32(MINIBATCH)
             s += d * d
             p += RATE * d / np.sqrt(s)
 
@@ -255,15 +255,23 @@ class Trainer:
         g_true = weight / (1 + np.exp(np.clip(true, -30, 30)))
         g_false = -weight[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
         dq = g_true[:, None] * m.target[klass] + g_false @ m.target[noise]
-        d_context, d_target = np.zeros_like(m.context), np.zeros_like(m.target)
-        d_bias = np.zeros_like(m.bias)
-        np.add.at(d_target, klass, g_true[:, None] * q)
-        np.add.at(d_target, noise, g_false.T @ q)
-        np.add.at(d_bias, klass, g_true)
-        np.add.at(d_bias, noise, g_false.sum(0))
-        np.add.at(d_context, near, dq @ m.near.T)
-        np.add.at(d_context, far, dq @ m.far.T)
-        return d_context, d_target, x.T @ dq, y.T @ dq, d_bias
+        d_target = sums_by_row(
+            len(m.target), np.concatenate([klass, noise]), np.vstack([
+                np.column_stack([g_true[:, None] * q, g_true]),
+                np.column_stack([g_false.T @ q, g_false.sum(0)])]))
+        d_context = sums_by_row(
+            len(m.context), np.concatenate([near, far]), np.vstack([dq @ m.near.T, dq @ m.far.T]))
+        return d_context, d_target[:, :-1], x.T @ dq, y.T @ dq, d_target[:, -1]
+
+
+def sums_by_row(rows: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of `values` by the row `at` that each belongs to."""
+    out = np.zeros((rows, values.shape[1]), values.dtype)
+    order = np.argsort(at, kind="stable")
+    own = at[order]
+    starts = np.flatnonzero(np.diff(own, prepend=-1))
+    out[own[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
 
 
 def triples_of(classes: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
