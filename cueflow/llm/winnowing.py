@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, in column expressions only.
 
-A text is cut into units: runs of characters that are not blank, and within a run every `UNIT_CHARS`
-characters, so that text without blanks has units too. Each run of `GRAM` units is a gram; its hash
+A text is cut into units: runs of up to `UNIT_CHARS` characters that are not blank, and the single
+characters of longer runs, so that in text without blanks a unit does not depend on what stands
+before it. Each run of `GRAM` units is a gram; its hash
 is rolled up from the hashes of its halves, which neighbouring grams share. Of every `WINDOW`
 consecutive grams the one with the smallest hash is kept, the rightmost of several. Two texts that
 share `GRAM + WINDOW - 1` units in a row therefore share a kept gram, and its position in each says
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from cueflow.session import settle
 
-UNIT_CHARS = 8
+UNIT_CHARS = 16
+UNIT = r"(?<!\S)\S{1,%d}(?!\S)|\S" % UNIT_CHARS
 GRAM = 5
 WINDOW = 8
 LAST_POSITION = (1 << 31) - 1
@@ -44,8 +46,7 @@ def _least(values: str, by: int) -> F.Column:
 def with_kept_grams(rows: DataFrame, text: F.Column, out: str) -> DataFrame:
     """`rows` with the kept grams of `text` as array<long>, by position."""
     names = ("__u1", "__u2", "__u4", "__g")
-    units = F.regexp_extract_all(
-        F.coalesce(text, F.lit("")), F.lit(r"\S{1,%d}" % UNIT_CHARS), F.lit(0))
+    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
     grams = (
         rows.withColumn("__u1", F.transform(units, lambda u: F.xxhash64(u)))
         .withColumn("__u2", _rolled("__u1", "__u1", 1))

@@ -1,6 +1,7 @@
 """Winnowing against a plain version in Python."""
 
 import hashlib
+import random
 import re
 import struct
 
@@ -29,7 +30,8 @@ def hash_longs(*values):
 
 def plain(text):
     """(hash, position) of the kept grams."""
-    units = re.findall(r"[^ \t\n\x0b\f\r]{1,8}", text or "")
+    runs = re.findall(r"[^ \t\n\x0b\f\r]+", text or "")
+    units = [u for run in runs for u in ([run] if len(run) <= 16 else run)]
     u = [xxhash.xxh64_intdigest(x.encode(), 42) for x in units]
     if not u:
         return []
@@ -108,3 +110,13 @@ def test_order_over_ranges_and_odd_rows(spark, tmp_path):
     assert W.edited_likeness(odd.limit(0)).count() == 0
     one = W.edited_likeness(odd.filter("doc_id = 3").limit(1)).collect()
     assert [r.edited for r in one] == ["c d e fc d"] or len(one) == 1
+
+
+def test_passages_without_blanks_are_found_at_any_offset(spark):
+    rng = random.Random(9)
+    passage = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(600))
+    texts = [passage, "x" + passage, "前" * 5 + passage + "後" * 7, passage[:300] + "!" + passage[300:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {r.doc_id: {g.hash for g in r.grams} for r in W.fingerprints(docs).collect()}
+    for i in (1, 2, 3):
+        assert len(sets[0] & sets[i]) > 0.9 * len(sets[0])
