@@ -20,18 +20,19 @@ all are equally likely. A model without any labelled text predicts `und` everywh
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from cueflow.llm.byte_runs import BEFORE, ORDER, RunTable, count_runs, sums_over_runs
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -91,14 +92,22 @@ def code_lengths(model: FrozenTrees, texts: list[str | None]) -> np.ndarray:
 
 def predict(model: FrozenTrees, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
+    return judge(model, texts)[:2]
+
+
+def judge(
+    model: FrozenTrees, texts: list[str | None]
+) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text, and its bits per byte in that language."""
     known = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
     if not model.languages:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     bits = code_lengths(model, [t if k else None for t, k in zip(texts, known, strict=True)])
     best = bits.argmin(1)
     odds = np.exp2(np.clip(bits.min(1, keepdims=True) - bits, -1000, 0)).sum(1)
     names = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-    return names, np.where(known, 1 / odds, 0.0)
+    sizes = np.array([max(len(_bytes_of(t)) - len(BEFORE), 1) for t in texts])
+    return names, np.where(known, 1 / odds, 0.0), np.where(known, bits.min(1) / sizes, 0.0)
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> FrozenTrees:
@@ -113,22 +122,27 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Fr
 
 
 def identify(
-    docs: DataFrame, model: FrozenTrees, text_col: str = "text", keep: list[str] | None = None
+    docs: DataFrame, model: FrozenTrees, text_col: str = "text", keep: list[str] | None = None,
+    bits_col: str | None = None,
 ) -> DataFrame:
-    """`docs` (or its columns `keep`) with lang_pred and score; these names are replaced."""
+    """`docs` (or its columns `keep`) with lang_pred and score; these names are replaced.
+
+    `bits_col` names a further column: bits per byte in the predicted language.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
+    made = ["lang_pred", "score", *([bits_col] if bits_col else [])]
+    kept = [c for c in keep or docs.columns if c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                names, scores = predict(shared.value, part.column(0).to_pylist())
+                names, *numbers = judge(shared.value, part.column(0).to_pylist())
+                out = [pa.array(names, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(names, pa.string()),
-                     pa.array(scores, pa.float64())],
-                    [*kept, "lang_pred", "score"])
+                    [*part.columns[1:], *out[:len(made)]], [*kept, *made])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    return docs.select(F.col(text_col).alias("__text"), *kept).mapInArrow(
-        run, ", ".join([*fields, "lang_pred string", "score double"]))
+    schema = StructType([
+        *(docs.schema[c] for c in kept), StructField(made[0], StringType()),
+        *(StructField(c, DoubleType()) for c in made[1:])])
+    return docs.select(F.col(text_col).alias("__text"), *kept).mapInArrow(run, schema)

@@ -88,3 +88,10 @@ def test_held_out_accuracy(spark):
     rows = [r for r in op5(spark, folder).collect() if r.held_out]
     right = sum(truth[r.doc_id] == r.lang_pred for r in rows)
     assert len(rows) > 200 and right / len(rows) > 0.98
+
+
+def test_only_letters_count_as_letters():
+    for text in ("²", "½", "①", "Ⅳ", "12 ³", "_", "٣", "🙂"):
+        assert not L.LETTER.search(text)
+    for text in ("a", "é", "漢", "ª", "1b"):
+        assert L.LETTER.search(text)
