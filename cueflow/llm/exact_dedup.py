@@ -111,20 +111,21 @@ def keep_marked(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -
     marks = settle(
         marks.groupBy("__id", "__digest")
         .agg(F.max("stays").alias("__stays"), F.count("*").alias("__times")), "marks")
-    keyed = docs.select("*", *row_key(id_col, text_col))
+    # rows as one column, so that no name of theirs can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *row_key(id_col, text_col))
     met = keyed.join(marks, ["__id", "__digest"], "left").filter(F.coalesce("__stays", F.lit(True)))
     if marks.filter("__stays and __times > 1").isEmpty():
-        return met.select(*docs.columns)
+        return met.select("row.*")
     once = met.filter(F.coalesce("__times", F.lit(1)) == 1)
     repeated_rows = met.filter("__times > 1").dropDuplicates(["__id", "__digest"])
-    return once.unionByName(repeated_rows).select(*docs.columns)
+    return once.unionByName(repeated_rows).select("row.*")
 
 
 def drop_exact_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """`docs` with one row of each group of equal texts, the one with the largest id."""
-    keyed = docs.select("*", *row_key(id_col, text_col))
+    keyed = docs.select(id_col, text_col, *row_key(id_col, text_col))
     groups = exact_groups(keyed, id_col, text_col, carry=("__id", "__digest"))
     marks = groups.filter("group_size > 1").select("__id", "__digest", F.col("kept").alias("stays"))
     return keep_marked(docs, marks, id_col, text_col)

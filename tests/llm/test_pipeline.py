@@ -1,5 +1,6 @@
 """The pipeline stage by stage against brute force, on a small table and on odd rows."""
 
+import random
 from collections import defaultdict
 
 import pytest
@@ -33,6 +34,19 @@ def test_language_goes_only_for_texts_without_one(steps):
     assert all(language_id.LETTER.search(r.text) for r in kept.values())
 
 
+def test_language_goes_for_gibberish(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rng = random.Random(12)
+    strange = [("".join(rng.choices("bcdfghjklmnpqrstvwxyz0123456789+/=%&", k=500)), None),
+               (" ".join("".join(rng.choices("qxzwkvjy", k=7)) for _ in range(70)), None)]
+    plain = [("the", "en"), ("und", "de")]
+    rows = [(9000 + i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(strange + plain)]
+    added = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r.doc_id for r in C.by_language(spark, added, FOLDER).select("doc_id").collect()}
+    assert not kept & {9000, 9001}
+    assert kept >= {r.doc_id for r in C.by_language(spark, docs, FOLDER).select("doc_id").collect()}
+
+
 def test_exact_copies(steps):
     last = defaultdict(int)
     for r in steps["language"]:
@@ -91,3 +105,19 @@ def test_odd_rows(spark):
     for _, stage in C.STAGES:
         empty = stage(spark, empty, FOLDER)
     assert empty.count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns named like those that the stages make come through unchanged."""
+    prose = "the cat and the dog sat on the mat and looked at the hat of the man " * 3
+    clash = ["lang_pred", "score", "bits", "row", "usual", "__id", "__digest", "__stays", "__times",
+             "node", "digest", "size", "keys", "signature", "row_id", "id", "root", "doc", "words"]
+    docs = spark.createDataFrame(
+        [(1, prose + "a"), (2, prose + "a"), (3, prose + "b c d e f g h i j k l m n o p q r s")],
+        "doc_id long, text string").selectExpr(
+        "*", "'en' lang", "'s' source", "length(text) n_chars", *(f"'x{i}' `{c}`" for i, c in enumerate(clash)))
+    for _, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER)
+        rows = docs.collect()
+        assert rows and all(r[c] == f"x{i}" for r in rows for i, c in enumerate(clash))
+    assert C.packed(spark, docs, FOLDER).count() >= len(rows)
