@@ -14,23 +14,32 @@ from cueflow.llm.exact_dedup import drop_exact_copies
 from cueflow.llm.packing import pack
 from cueflow.llm.simhash import drop_near_copies
 from cueflow.llm.suffix_dedup import drop_repeated_passages
-from cueflow.session import scratch_path
+from cueflow.session import scratch_path, settle
 
 #: Least probability of the predicted language.
 LEAST_SCORE = 0.5
+#: A text may cost so many times the median bits per byte of its language, and so many bits more.
+ROOM, FREE_BITS = 1.5, 64
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known and predicted with some confidence.
+    """Documents whose language is known, predicted with some confidence, and fits well.
 
-    `lang` stays as it came. A model of all labelled rows predicts; what goes are texts without a
-    letter, null texts and texts that no language fits well.
+    `lang` stays as it came. A model of all labelled rows predicts. What goes are null texts, texts
+    without a letter, texts on which languages tie, and those that cost far more bits than texts of
+    the predicted language do, measured over all documents. Nulls in other columns and repeated rows
+    stay; an empty table gives an empty table.
     """
     model = language_id.train(docs)
-    judged = language_id.identify(docs, model)
-    return judged.filter(
-        (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    ).select(*docs.columns)
+    # rows as one column, so that no name of theirs can clash
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    judged = settle(language_id.identify(rows, model, keep=["row"], bits_col="bits"), "judged")
+    known = judged.filter(
+        (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    usual = known.groupBy("lang_pred").agg(F.percentile_approx("bits", 0.5, 10000).alias("usual"))
+    size = F.greatest(F.octet_length("row.text"), F.lit(1))
+    return known.join(settle(usual, "usual-bits"), "lang_pred").filter(
+        F.col("bits") <= ROOM * F.col("usual") + FREE_BITS / size).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +60,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more stay in the smallest document that has them.
 
-    `n_chars` follows the text; a document of which nothing is left goes.
+    `n_chars` follows the text; a document of which nothing is left goes, and so do null and blank
+    texts. Rows without an id come after all others; an empty table gives an empty table.
     """
     left = drop_repeated_passages(docs)
     return left.withColumn("n_chars", F.char_length("text").cast("long")).filter(
@@ -59,7 +69,11 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens.
+
+    Null texts count as empty and have one piece, the end id; rows repeated or without an id are
+    packed like others; an empty table gives no pieces.
+    """
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
                 with_ids=False)
 
