@@ -107,12 +107,14 @@ def j05_stray_proposals(spark, folder):
 
 
 @query("j06_neighbours", f"""{with_views('seg_source')},
-holes AS (SELECT * FROM seg WHERE pos % 5 <> 2)
+holes AS (SELECT * REPLACE (CASE WHEN pos % 5 = 2 THEN idx + 1000000 ELSE idx END AS idx) FROM seg)
 SELECT a.doc_id, a.pos, n.text AS next_text, p.text AS prev_text FROM holes a
 LEFT JOIN holes n ON n.doc_id = a.doc_id AND n.idx = a.idx + 1 AND n.pos // 30 = a.pos // 30
 LEFT JOIN holes p ON p.doc_id = a.doc_id AND p.idx = a.idx - 1 AND p.pos // 30 = a.pos // 30""")
 def j06_neighbours(spark, folder):
-    seg = A.source_segments(spark, folder).where(F.col("pos") % 5 != 2)
+    """Neighbours by number; every fifth number is moved far up, which leaves holes."""
+    idx = F.when(F.col("pos") % 5 == 2, F.col("idx") + 1_000_000).otherwise(F.col("idx"))
+    seg = A.source_segments(spark, folder).withColumn("idx", idx)
     return P.with_neighbours(seg).select("doc_id", "pos", "next_text", "prev_text")
 
 
