@@ -32,10 +32,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueflow.functions.skew import join_spread
 from cueflow.session import settle
 
 GRAM = 16
@@ -229,10 +228,18 @@ def windows_at(words: np.ndarray, positions: list[int]) -> tuple[np.ndarray, np.
     return (out ^ (out >> np.uint64(29))) * _MIX, starts
 
 
-WINDOW_FIELDS = "hash long, number long, doc long, start int"
+WINDOW_FIELDS = "hash long, number long, doc long, start int, leads boolean"
+
+
+def _leads(hashes: np.ndarray) -> np.ndarray:
+    """Whether each is the first of its value."""
+    out = np.zeros(len(hashes), bool)
+    out[np.unique(hashes, return_index=True)[1]] = True
+    return out
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`leads` marks the first window of each hash in a document."""
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             number, doc, text, positions = (c.to_pylist() for c in batch.slice(i, 64).columns)
@@ -242,22 +249,24 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(np.concatenate([h for h, _ in found]).view(np.int64)),
                  pa.array(np.repeat(np.array(number, np.int64), counts)),
                  pa.array(np.repeat(np.array(doc, np.int64), counts)),
-                 pa.array(np.concatenate([s for _, s in found]).astype(np.int32))],
-                ["hash", "number", "doc", "start"])
+                 pa.array(np.concatenate([s for _, s in found]).astype(np.int32)),
+                 pa.array(np.concatenate([_leads(h) for h, _ in found]))],
+                ["hash", "number", "doc", "start", "leads"])
 
 
 def _window_spans(windows: DataFrame) -> DataFrame:
     """Spans of the windows (WINDOW_FIELDS) that stand in more than one document."""
     own = F.struct("number", "doc")
-    # written out, so that Spark can split the rows of a hot window in the joins
-    least = settle(
-        windows.groupBy("hash").agg(F.min(own).alias("first"), F.max(own).alias("last"))
-        .filter("first <> last").select("hash", "first"), "window-first")
+    # each task passes on the two smallest documents of a hash, however many have it
+    order = Window.partitionBy("hash").orderBy(F.asc_nulls_first("number"), "doc")
+    smallest = windows.filter("leads").select("hash", "number", "doc").withColumn(
+        "rank", F.row_number().over(order)).filter(F.col("rank") <= 2)
+    # written out, so that Spark can split the rows of a hot window in the join
     both = settle(
-        join_spread(windows, least, ["hash"], "inner", ["doc", "start"])
-        .filter(own > F.col("first"))
-        .groupBy("hash").agg(F.min("first").alias("first"), F.min("number").alias("second")),
-        "window-seconds")
+        smallest.groupBy("hash").agg(
+            F.min(own).alias("first"), F.max(own).alias("last"))
+        .filter("first <> last").select("hash", "first", F.col("last.number").alias("second")),
+        "window-first")
     start = F.col("start").cast("long")
     mine = own == F.col("first")
     return windows.join(both, "hash").select(
