@@ -105,20 +105,24 @@ def row_key(id_col: str, text_col: str) -> list[F.Column]:
 def keep_marked(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`docs` without the rows that `marks` (__id, __digest, stays) says go.
 
-    Rows without a mark stay. Of rows repeated with id and text, one stays. The texts move once, to
-    meet the marks.
+    Rows without a mark stay. Of rows repeated with id and text, one stays. A bitmap of the marks
+    tells most rows without one, so that only marked texts move to meet their mark.
     """
     marks = settle(
         marks.groupBy("__id", "__digest")
         .agg(F.max("stays").alias("__stays"), F.count("*").alias("__times")), "marks")
     # rows as one column, so that no name of theirs can clash
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), *row_key(id_col, text_col))
-    met = keyed.join(marks, ["__id", "__digest"], "left").filter(F.coalesce("__stays", F.lit(True)))
+    keyed = mark_groups(
+        docs.select(F.struct(*docs.columns).alias("row"), *row_key(id_col, text_col)),
+        marks, "__id", "__digest")
+    rest = keyed.filter(~F.col("survives")).select("row.*")
+    met = keyed.filter("survives").join(marks, ["__id", "__digest"], "left").filter(
+        F.coalesce("__stays", F.lit(True)))
     if marks.filter("__stays and __times > 1").isEmpty():
-        return met.select("row.*")
+        return rest.unionByName(met.select("row.*"))
     once = met.filter(F.coalesce("__times", F.lit(1)) == 1)
     repeated_rows = met.filter("__times > 1").dropDuplicates(["__id", "__digest"])
-    return once.unionByName(repeated_rows).select("row.*")
+    return rest.unionByName(once.unionByName(repeated_rows).select("row.*"))
 
 
 def drop_exact_copies(
