@@ -31,10 +31,10 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay; an empty table gives an empty table.
     """
     model = language_id.train(docs)
-    # rows as one column, so that no name of theirs can clash
+    # rows as one column, so that no name of theirs can clash; judged twice, so that no text is
+    # written for the sake of the medians
     rows = docs.select("text", F.struct(*docs.columns).alias("row"))
-    judged = settle(language_id.identify(rows, model, keep=["row"], bits_col="bits"), "judged")
-    known = judged.filter(
+    known = language_id.identify(rows, model, keep=["row"], bits_col="bits").filter(
         (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     usual = known.groupBy("lang_pred").agg(F.percentile_approx("bits", 0.5, 10000).alias("usual"))
     size = F.greatest(F.octet_length("row.text"), F.lit(1))
