@@ -158,6 +158,23 @@ def test_admission_and_base64(spark):
     assert files.rejected(admitted).count() == 5
 
 
+def test_packed_corpora(spark, tmp_path):
+    path = str(tmp_path / "packed")
+    rows = [(f"n{i:03d} a/b:%.srt", 0, f"text {i}\r\n") for i in range(40)]
+    rows += [("long.vtt", 1, "second"), ("long.vtt", 0, "first "), ("empty.srt", 0, "")]
+    docs = spark.createDataFrame(rows, "name string, part_no int, content string").repartition(7)
+    files.pack_corpus(docs, path)
+    got = {r.doc_id: r.content for r in files.scan_packed(spark, path).collect()}
+    assert len(got) == 42 and got["long.vtt"] == "first second" and got["empty.srt"] == ""
+    assert got["n007 a/b:%.srt"] == "text 7\n"
+    index = spark.read.parquet(f"{path}/index").collect()
+    assert len(index) == 42 and len({(r.part, r.row) for r in index}) == 42
+    names = spark.createDataFrame([("n003 a/b:%.srt",), ("long.vtt",), ("none",)], "name string")
+    assert {r.doc_id for r in files.read_packed(spark, path, names).collect()} == {
+        "n003 a/b:%.srt", "long.vtt"}
+    assert files.read_packed(spark, path, names.where("name = 'none'")).count() == 0
+
+
 def test_timecodes(spark):
     lines = spark.createDataFrame([(T,), (V,), ("00:01,000 --> 00:02,000",)], "l string")
     got = lines.select(

@@ -60,6 +60,28 @@ def test_best_correction_against_a_loop(spark):
         assert got.get((term, topic, industry, country)) == expected
 
 
+def test_relevance_classes_against_a_loop(spark):
+    entries = _entries(random.Random(5), 300)
+    kb = kb_of(spark, entries)
+    asked = [("TECH", "media", "Spain"), ("none", "none", "none"), ("x", "general", "general"),
+             (None, "media", "Spain")]
+    contexts = spark.createDataFrame(asked, "topic string, industry string, country string")
+    low = lambda v: None if v is None else v.lower()
+    want = {}
+    for topic, industry, country in asked:
+        for _, _, t, i, c, _ in entries:
+            same = [low(country) == c.lower(), low(topic) == t.lower(), low(industry) == i.lower()]
+            mask = sum(1 << n for n, s in enumerate(same) if s)
+            score = 2 * same[0] + same[1] + same[2] + 0.5 * (c == "general")
+            if score > 0:
+                key = (topic, industry, country, mask, c == "general", score)
+                want[key] = want.get(key, 0) + 1
+    classes = KB.relevance_classes(kb, contexts)
+    assert {tuple(r)[:6]: r.entries for r in classes.collect()} == want
+    best = classes.where("mask = 7")
+    assert KB.class_members(kb, best).count() == sum(n for k, n in want.items() if k[3] == 7)
+
+
 def test_relevance_and_top_entries_against_a_loop(spark):
     entries = _entries(random.Random(4), 80)
     kb = kb_of(spark, entries)
