@@ -259,7 +259,7 @@ def near_blocks(vectors: DataFrame, floor: float, block: int = CONTEXT_BLOCK) ->
     A block's vectors lie in a cone. Vectors of two blocks are at least as far apart as the axes of
     their cones less both angles, so pairs further apart than the floor allows are left out.
     """
-    def cone(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def cone(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         axis, angle, zero = _cone(np.stack(rows["vector"].to_numpy()).astype("float64"))
         return pd.DataFrame({"doc_id": [key[0]], "block": [key[1]], "axis": [axis],
                              "angle": [angle], "zero": [zero]})
@@ -299,7 +299,7 @@ def context_neighbours(
     rows = vectors.select(
         "doc_id", F.floor(F.col("pos") / block).cast("long").alias("block"), "pos", "vector")
 
-    def score(key, both: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
         a = both[both["block"] == key[1]]
         b = a if key[1] == key[2] else both[both["block"] == key[2]]
         out = _block_neighbours(a, b, alpha, tau, floor, top)
