@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueflow.llm.exact_dedup import mark_groups
 from cueflow.session import settle
 
 GRAM = 16
@@ -298,7 +299,9 @@ def repeated_spans(
 
     def meet(which: str) -> DataFrame:
         part = positions.filter(F.size(which) > 0).select("doc", F.col(which).alias("positions"))
-        return named.join(part, "doc").select("number", "doc", "text", "positions")
+        # a bitmap spares the texts without such a position the way to the join
+        some = mark_groups(named, part, "doc").filter("survives").select("number", "doc", "text")
+        return some.join(part, "doc").select("number", "doc", "text", "positions")
 
     order = ["suffix", "number", "doc", "pos"]
     near = (
