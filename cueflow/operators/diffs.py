@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from cueflow import constants as K
 from cueflow.functions.skew import join_spread
 from cueflow.functions.text import strip, words
+from cueflow.session import settle
 
 # Ships the helper functions below with the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -137,7 +138,6 @@ def attributed_spans(spans: DataFrame, applied: DataFrame) -> DataFrame:
     added = spans.where((F.col("kind") == "added") & (F.length(trimmed) > 2)).select(
         "doc_id", "pos", "span_no", trimmed.alias("value")
     )
-    sizes = F.array(F.lit(8), F.lit(3))
     asked = added.select("doc_id", "value").distinct().withColumn(
         "gram", F.substring("value", 1, 8)
     ).withColumn("gram", F.when(F.length("gram") < 8, F.substring("gram", 1, 3))
@@ -145,14 +145,15 @@ def attributed_spans(spans: DataFrame, applied: DataFrame) -> DataFrame:
     texts = applied.groupBy("doc_id", "corrected_text").agg(
         F.min_by(F.struct("apply_order", "type", "reason"), "apply_order").alias("hit")
     ).withColumn("apply_order", F.col("hit.apply_order"))
-    grams = F.flatten(F.transform(
-        sizes,
-        lambda size: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("corrected_text") - size + 1, F.lit(1))),
-            lambda at: F.substr(F.col("corrected_text"), at, size),
-        ),
-    ))
-    offered = texts.select("doc_id", "apply_order", F.explode(grams).alias("gram")).distinct()
+    # A substring by position would read the text from its start each time.
+    grams = F.concat(*[
+        F.regexp_extract_all("corrected_text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+        for size in (8, 3)
+    ])
+    # Few of the grams are looked for anywhere: the others go before the shuffle.
+    wanted = settle(asked.select("gram").distinct(), "asked-grams")
+    offered = texts.select("doc_id", "apply_order", F.explode(grams).alias("gram")).join(
+        wanted, "gram", "left_semi").distinct()
     # Grams multiply the rows, which size estimates do not see: never broadcast them.
     met = asked.join(offered.hint("merge"), ["doc_id", "gram"])
     found = (

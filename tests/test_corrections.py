@@ -280,3 +280,20 @@ def test_cleaning(spark):
     [row] = spark.createDataFrame([("<b>a</b>  b...!!??",)], "t string").select(
         cleaning.normalize_punctuation(cleaning.strip_markup(F.col("t")))).collect()
     assert row[0] == "a b…!?"
+
+
+def test_spans_are_found_in_odd_texts_by_asked_grams_only(spark):
+    texts = ["ab\n\U0001f600cd", "\U0001f600\U0001f600\U0001f600 x" * 3, "x" * 300 + "a needle", "néé ퟿"]
+    wanted = ["b\n\U0001f600", "\U0001f600\U0001f600\U0001f600 x\U0001f600\U0001f600\U0001f600 x", "a needle", "needles",
+              "xxx", "\U0001f600cd", "éé"]
+    spans = spark.createDataFrame(
+        [("d", i, 0, "added", w) for i, w in enumerate(wanted)],
+        "doc_id string, pos long, span_no int, kind string, value string")
+    applied = spark.createDataFrame(
+        [("d", i, t, "e", "r") for i, t in enumerate(texts)],
+        "doc_id string, apply_order long, corrected_text string, type string, reason string")
+    found = diffs.attributed_spans(spans, applied)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    first = {r.pos: r.apply_order for r in found.collect()}
+    assert first == {i: next((n for n, t in enumerate(texts) if w in t), None) for i, w in enumerate(wanted)}
