@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import difflib
+import re
 import sys
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cueflow import constants as K
+from cueflow.constants import WHITESPACE_CLASS
 from cueflow.functions.skew import join_spread
 from cueflow.functions.text import strip, words
 from cueflow.session import settle
@@ -20,6 +22,9 @@ from cueflow.session import settle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SPANS = "array<struct<tag:string,left:string,right:string>>"
+_SPAN_TYPE = pa.list_(pa.struct([(name, pa.string()) for name in ("tag", "left", "right")]))
+#: Segments whose words a task holds at a time.
+SPAN_ROWS = 64
 
 
 def changed_segments(original: DataFrame, corrected: DataFrame) -> DataFrame:
@@ -70,21 +75,28 @@ def word_spans(left: list[str], right: list[str], tags: set[str]) -> list[tuple[
     ]
 
 
-def _span_function(tags: set[str]):
-    def spans(left: pd.Series, right: pd.Series) -> pd.Series:
-        found = [word_spans(list(a), list(b), tags) for a, b in zip(left, right)]
-        return pd.Series(
-            [[{"tag": t, "left": x, "right": y} for t, x, y in row] for row in found],
-            dtype="object",
-        )
-
-    return F.pandas_udf(spans, _SPANS)
-
-
 def _with_spans(pairs: DataFrame, tags: set[str]) -> DataFrame:
-    changed = pairs.where(F.col("left_text") != F.col("right_text"))
-    spans = _span_function(tags)(words(F.col("left_text")), words(F.col("right_text")))
-    return changed.withColumn("spans", spans)
+    """(doc_id, pos, spans) of changed segments; a task holds the words of `SPAN_ROWS` at a time."""
+    schema = f"doc_id string, pos long, spans {_SPANS}"
+    changed = pairs.where(F.col("left_text") != F.col("right_text")).select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), "left_text", "right_text")
+    split = re.compile(WHITESPACE_CLASS + "+")
+
+    def listed(text: str) -> list[str]:
+        return [word for word in split.split(text) if word]
+
+    def spans(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SPAN_ROWS):
+                part = batch.slice(at, SPAN_ROWS)
+                found = [
+                    [{"tag": t, "left": x, "right": y} for t, x, y in word_spans(
+                        listed(a.as_py()), listed(b.as_py()), tags)]
+                    for a, b in zip(part["left_text"], part["right_text"])]
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], part["pos"], pa.array(found, _SPAN_TYPE)], ["doc_id", "pos", "spans"])
+
+    return changed.mapInArrow(spans, schema)
 
 
 def learned_pairs(pairs: DataFrame, max_words: int = K.LEARN_MAX_WORDS) -> DataFrame:

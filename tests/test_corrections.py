@@ -297,3 +297,14 @@ def test_spans_are_found_in_odd_texts_by_asked_grams_only(spark):
     assert "LeftSemi" in plan
     first = {r.pos: r.apply_order for r in found.collect()}
     assert first == {i: next((n for n, t in enumerate(texts) if w in t), None) for i, w in enumerate(wanted)}
+
+
+def test_spans_leave_no_word_lists_to_a_whole_batch(spark, segments):
+    count = 3 * diffs.SPAN_ROWS + 1
+    one = segments([("d", i + 1, i, i + 1, f"a x{i} b") for i in range(count)])
+    two = segments([("d", i + 1, i, i + 1, f"a y{i}  b") for i in range(count)])
+    learned = diffs.learned_pairs(diffs.aligned_segments(one, two))
+    assert {(r.pos, r.span_no, r.wrong, r.right) for r in learned.collect()} == {
+        (i, 0, f"x{i}", f"y{i}") for i in range(count)}
+    plan = learned._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
