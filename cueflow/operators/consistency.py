@@ -16,8 +16,8 @@ from cueflow.session import settle
 
 _RUNS = r"(?U)(\w+|\W+)"
 _WORDS = r"(?U)(\w+)"
-#: Up to so many rules are broadcast; more are joined by a salted shuffle.
-FEW_RULES = 5000
+#: Up to so many rules, and bytes of their terms, are broadcast; more are joined by a salted shuffle.
+FEW_RULES, FEW_BYTES = 100_000, 8_000_000
 
 
 def _odd_letters() -> dict[str, str]:
@@ -109,8 +109,9 @@ def enforce_rules(
 ) -> DataFrame:
     """Segments after `rules` (wrong, right, stage, n), and `own_rules` per document if given.
 
-    The segments are evaluated once. Candidates come from an equi-join of the texts' words with the
-    rules' words, then, in rounds over new candidates only, from the words of their replacements;
+    The segments are evaluated once and dealt out by their key; where the rules are broadcast, their
+    candidates are found and listed there. Candidates come from an equi-join of the texts' words with
+    the rules' words, then, in rounds over new candidates only, from the words of their replacements;
     so they hold every rule that may match at its turn. A text is rewritten once with all its
     candidates; only after a rule that can glue words together (`_is_loose`) its words are looked at
     again, and the text is rewritten once more if they bring new candidates.
@@ -120,20 +121,26 @@ def enforce_rules(
     keyed_own = None if own_rules is None else settle(
         _keyed(own_rules).select("doc_id", *columns), "own-rules")
     all_rules = keyed if keyed_own is None else keyed.unionByName(keyed_own.select(columns))
+    size = F.octet_length("wrong") + F.octet_length("right")
+    shared = keyed.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    few = shared.n <= FEW_RULES and shared.bytes <= FEW_BYTES
     known = all_rules.agg(
-        F.count("*").alias("n"), F.coalesce(F.bool_or("wordless"), F.lit(False)).alias("gaps")).first()
+        F.count("*").alias("n"), F.coalesce(F.bool_or("wordless"), F.lit(False)).alias("gaps"),
+        F.coalesce(F.bool_or(_is_loose(False)), F.lit(False)).alias("loose"),
+        F.coalesce(F.bool_or(_is_loose(True)), F.lit(False)).alias("loose_gaps")).first()
     if not known.n:
         return segments
-    gaps = known.gaps
-    segments = settle(segments, "rule-segments")
+    gaps, loose = known.gaps, known.loose_gaps if known.gaps else known.loose
     row_key = ["doc_id", "pos"]
+    segments = settle(segments, "rule-segments")
+    dealt = segments.repartition(*row_key)
     names = [*row_key, "wrong", "right", "stage", "n"]
     later = (F.col("stage") > F.col("at_stage")) | (
         (F.col("stage") == F.col("at_stage")) & (F.col("n") > F.col("at_n")))
 
     def candidates(words: DataFrame) -> DataFrame:
-        """Distinct rules (row key, rule) for words (row key, word, place written at)."""
-        if known.n <= FEW_RULES:
+        """Rules (row key, rule) for words (row key, word, place written at)."""
+        if few:
             found = words.join(F.broadcast(keyed), "word").where(later).select(*names)
         else:  # a common word may be a rule's
             found = join_spread(words, keyed.hint("merge"), ["word"], "inner", by=row_key).where(
@@ -142,11 +149,12 @@ def enforce_rules(
             found = found.join(keyed_own.select("doc_id", "wrong"), ["doc_id", "wrong"], "left_anti")
             found = found.unionByName(
                 words.join(keyed_own, ["doc_id", "word"]).where(later).select(*names))
-        return found.distinct()
+        return found
 
     def unknown(found: DataFrame, hits: DataFrame) -> DataFrame:
-        return settle(found.join(hits.select(*row_key, "stage", "n"), [*row_key, "stage", "n"],
-                                 "left_anti"), "fresh-hits")
+        return settle(
+            found.distinct().join(hits.select(*row_key, "stage", "n"), [*row_key, "stage", "n"],
+                                  "left_anti"), "fresh-hits")
 
     def closed(hits: DataFrame, fresh: DataFrame) -> DataFrame:
         """`hits`, with `fresh` in them, and whatever replacements of candidates may bring."""
@@ -159,34 +167,39 @@ def enforce_rules(
                 return hits
             hits = hits.unionByName(fresh)
 
-    def folded(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    def folded(hits: DataFrame, rows: DataFrame) -> DataFrame:
+        """`rows` with `fold`, what their hits make of them; each hit counts once."""
         listed = hits.groupBy(*row_key).agg(
-            F.array_sort(F.collect_list(F.struct(
+            F.array_sort(F.collect_set(F.struct(
                 "stage", "n", whole_term_pattern(F.col("wrong")).alias("pattern"),
                 F.when(_is_ascii(F.col("wrong")), whole_term_pattern(F.col("wrong"), "(?i)"))
                 .alias("plain"),
                 quote_replacement(F.col("right")).alias("replacement"),
                 _is_loose(gaps).alias("loose"),
             ))).alias("rules"))
-        return settle(
-            texts.join(listed, row_key)
-            .select(*row_key, _fold(F.col("text"), F.col("rules"), gaps).alias("fold"))
-            .select(*row_key, F.col("fold.text").alias("new_text"), "fold.news"), "rule-fold")
+        rules = F.coalesce("rules", F.array().cast(listed.schema["rules"].dataType))
+        return rows.join(listed, row_key, "left").select(
+            *rows.columns, _fold(F.col("text"), rules, gaps).alias("fold"))
 
     # words that some rule writes and some rule looks for
     writable = settle(
         all_rules.select(F.explode(_words(F.col("right"), gaps)).alias("word")).distinct()
         .join(all_rules.select("word").distinct(), "word", "left_semi"), "writable")
-    texts = segments.select(*row_key, "text")
-    hits = settle(candidates(
-        texts.select(*row_key, F.explode(_words(F.col("text"), gaps)).alias("word"))
-        .withColumns({"at_stage": F.lit(-1), "at_n": F.lit(-1).cast("long")})), "hits")
     chains = not writable.isEmpty()
+    hits = candidates(
+        dealt.select(*row_key, F.explode(_words(F.col("text"), gaps)).alias("word"))
+        .withColumns({"at_stage": F.lit(-1), "at_n": F.lit(-1).cast("long")}))
+    if chains or loose:  # read again below
+        hits = settle(hits, "hits")
     if chains:
         hits = closed(hits, hits)
-    done = last = folded(hits, texts)
+    if not loose:
+        return folded(hits, dealt).withColumn("text", F.col("fold.text")).drop("fold")
+    done = last = settle(folded(hits, dealt), "rule-fold")
+    texts = segments.select(*row_key, "text")
+    redone = None
     while True:
-        news = last.select(*row_key, F.inline("news"))
+        news = last.select(*row_key, F.inline("fold.news"))
         if news.isEmpty():
             break
         fresh = unknown(candidates(news), hits)
@@ -196,10 +209,16 @@ def enforce_rules(
         if chains:
             hits = closed(hits, fresh)
         rows = fresh.select(*row_key).distinct()
-        last = folded(hits.join(rows, row_key, "left_semi"), texts)
-        done = done.join(rows, row_key, "left_anti").unionByName(last)
+        last = settle(folded(hits.join(rows, row_key, "left_semi"),
+                             texts.join(rows, row_key, "left_semi")), "rule-fold")
+        redone = last if redone is None else redone.join(
+            rows, row_key, "left_anti").unionByName(last)
+    done = done.withColumn("text", F.col("fold.text")).drop("fold")
+    if redone is None:
+        return done
+    again = redone.select(*row_key, F.col("fold.text").alias("new_text"))
     return (
-        segments.join(done.select(*row_key, "new_text"), row_key, "left")
+        done.join(again, row_key, "left")
         .withColumn("text", F.coalesce("new_text", "text"))
         .drop("new_text")
     )

@@ -170,6 +170,26 @@ def test_any_number_of_rules_gives_the_same_text(spark, segments, count):
     assert got == ["MR MR", "KEL KEL", "OSOS OSOS OSOS", "MR MR", "µ stays", "w2000 x"]
 
 
+def test_thousands_of_rules_move_no_words(spark, segments, monkeypatch):
+    """Six thousand plain rules are broadcast, and hits are listed where their text is."""
+    from tests.test_plans import plan_of
+
+    settled = []
+    monkeypatch.setattr(consistency, "join_spread", None)
+    monkeypatch.setattr(
+        consistency, "settle", lambda df, label, f=consistency.settle: (settled.append(label), f(df, label))[1])
+    table = spark.createDataFrame(
+        [(f"w{n}", f"v{n}", 2, n) for n in range(6000)], "wrong string, right string, stage int, n long")
+    seg = segments([("d", i + 1, i, i + 1, f"w{i} x w{i} W{i + 1} y") for i in range(50)])
+    out = consistency.enforce_rules(seg, table)
+    assert [r["text"] for r in out.orderBy("pos").collect()] == [
+        f"v{i} x v{i} v{i + 1} y" for i in range(50)]
+    assert "hits" not in settled and "rule-fold" not in settled
+    plan = plan_of(out)
+    assert "hashpartitioning(word" not in plan
+    assert plan.count("Exchange hashpartitioning(doc_id") == 2
+
+
 def test_folding_is_that_of_patterns(spark):
     letters = [chr(c) for c in range(0x80, 0x2200) if chr(c).isalpha()] + ["\ua64a", "\u1c80", "A"]
     table = spark.createDataFrame([(c, c.upper(), c.lower()) for c in letters],
