@@ -139,3 +139,19 @@ def test_remove_entries(spark):
     kb = kb_of(spark, [("a", "b", "t", "i", "c", 1), ("c", "d", "t", "i", "c", 1)])
     ids = spark.createDataFrame([(1,), (9,)], "id long")
     assert [r["id"] for r in KB.remove_entries(kb, ids).collect()] == [2]
+
+
+def test_document_rules_are_dealt_out_before_they_are_sorted(spark):
+    """One shuffle by document; nothing is aggregated before it, and terms meet the KB where they are."""
+    from tests.test_plans import plan_of
+
+    manifests = manifest_of(spark, [("Xavier", ["Chavi", "own", "kb"]), ("Iniesta", ["Chavi"])])
+    kb = kb_of(spark, [("kb", "KB", "general", "general", "general", 1),
+                       ("kb", "Kb", "news", "general", "general", 1)])
+    rules = KB.document_rules(manifests, kb)
+    plan = plan_of(rules)
+    got = {r["wrong"]: (r["right"], r["stage"]) for r in rules.collect()}
+    assert got == {"Chavi": ("Iniesta", 0), "own": ("Xavier", 1), "kb": ("Kb", 1)}
+    assert plan.count("Exchange hashpartitioning(") == 1 and "REPARTITION_BY_NUM" in plan
+    below = plan[plan.index("Exchange hashpartitioning(doc_id"):]
+    assert "Aggregate" not in below.split("BroadcastExchange")[0]
