@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cueflow import constants as K
+from cueflow.functions.skew import deal
 from cueflow.operators import candidates as C
 from cueflow.operators import tenant as T
 from cueflow.plans.registry import query
@@ -38,15 +39,19 @@ def d02_outcome_stats(spark, folder):
 
 
 def part_corrections(spark, folder):
-    """A correction per (supplier, part) from line items: brand to type."""
+    """A correction per (supplier, part) from line items: brand to type.
+
+    Hardly a pair occurs twice in a task, so aggregating ahead of the shuffle would only fill memory.
+    Dealt out by tenant and text, corrections are where lookups and contexts rank them.
+    """
     items, parts = A.table(spark, folder, "lineitem"), A.table(spark, folder, "part")
-    known = items.groupBy("l_suppkey", "l_partkey").agg(F.max("l_discount").alias("discount"))
-    joined = known.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select(
+    uses = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").cast("string").alias("tenant_id"), F.col("p_partkey").alias("id"),
-        F.col("p_brand").alias("original_text"), F.col("p_type").alias("corrected_text"),
-        (F.col("discount") * 10).alias("confidence"),
+        F.col("p_brand").alias("original_text"), F.col("p_type").alias("corrected_text"), "l_discount",
     )
+    return deal(uses, "tenant_id", "original_text").groupBy(
+        "tenant_id", "id", "original_text", "corrected_text"
+    ).agg((F.max("l_discount") * 10).alias("confidence"))
 
 
 _CORRECTIONS = """corrections AS (

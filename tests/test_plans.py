@@ -65,3 +65,10 @@ def test_every_oracle_has_a_query():
 
 def test_entry_runs(spark):
     assert entry(spark).limit(1).count() == 1
+
+
+def test_tenant_corrections_are_dealt_out_once(spark):
+    """One shuffle by tenant and text, of lines as they are read; they are ranked where they land."""
+    plan = plan_of(queries()["d04_tenant_context"](spark, FOLDER))
+    assert plan.count("Exchange hashpartitioning(") == 1 and "REPARTITION_BY_NUM" in plan
+    assert "Aggregate" not in plan[plan.index("Exchange hashpartitioning("):]
