@@ -104,6 +104,12 @@ def _fold(text: Column, hits: Column, gaps: bool) -> Column:
     return F.aggregate(hits, seed, step)
 
 
+def _is_few(table: DataFrame, size: Column) -> bool:
+    """Whether rows with `size` bytes of text may be broadcast."""
+    found = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found.n <= FEW_RULES and found.bytes <= FEW_BYTES
+
+
 def enforce_rules(
     segments: DataFrame, rules: DataFrame, own_rules: DataFrame | None = None
 ) -> DataFrame:
@@ -115,15 +121,20 @@ def enforce_rules(
     so they hold every rule that may match at its turn. A text is rewritten once with all its
     candidates; only after a rule that can glue words together (`_is_loose`) its words are looked at
     again, and the text is rewritten once more if they bring new candidates.
+
+    What has rows per document or text is kept off broadcast: equal terms of many documents take next
+    to nothing in a file, by whose size Spark would send them all through the driver. Of the texts'
+    words only those that some document's own rules look for are dealt out to meet them.
     """
     columns = ["wrong", "right", "stage", "n", "word", "wordless"]
     keyed = settle(_keyed(rules).select(columns), "rules")
     keyed_own = None if own_rules is None else settle(
         _keyed(own_rules).select("doc_id", *columns), "own-rules")
     all_rules = keyed if keyed_own is None else keyed.unionByName(keyed_own.select(columns))
-    size = F.octet_length("wrong") + F.octet_length("right")
-    shared = keyed.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    few = shared.n <= FEW_RULES and shared.bytes <= FEW_BYTES
+    few = _is_few(keyed, F.octet_length("wrong") + F.octet_length("right"))
+    if keyed_own is not None:
+        own_words = settle(keyed_own.select("word").distinct(), "own-words")
+        few_own_words = _is_few(own_words, F.octet_length("word"))
     known = all_rules.agg(
         F.count("*").alias("n"), F.coalesce(F.bool_or("wordless"), F.lit(False)).alias("gaps"),
         F.coalesce(F.bool_or(_is_loose(False)), F.lit(False)).alias("loose"),
@@ -146,15 +157,17 @@ def enforce_rules(
             found = join_spread(words, keyed.hint("merge"), ["word"], "inner", by=row_key).where(
                 later).select(*names)
         if keyed_own is not None:
-            found = found.join(keyed_own.select("doc_id", "wrong"), ["doc_id", "wrong"], "left_anti")
+            found = found.join(keyed_own.select("doc_id", "wrong").hint("merge"), ["doc_id", "wrong"],
+                               "left_anti")
+            asked = words.join(F.broadcast(own_words), "word", "left_semi") if few_own_words else words
             found = found.unionByName(
-                words.join(keyed_own, ["doc_id", "word"]).where(later).select(*names))
+                asked.join(keyed_own.hint("merge"), ["doc_id", "word"]).where(later).select(*names))
         return found
 
     def unknown(found: DataFrame, hits: DataFrame) -> DataFrame:
         return settle(
-            found.distinct().join(hits.select(*row_key, "stage", "n"), [*row_key, "stage", "n"],
-                                  "left_anti"), "fresh-hits")
+            found.distinct().join(hits.select(*row_key, "stage", "n").hint("merge"),
+                                  [*row_key, "stage", "n"], "left_anti"), "fresh-hits")
 
     def closed(hits: DataFrame, fresh: DataFrame) -> DataFrame:
         """`hits`, with `fresh` in them, and whatever replacements of candidates may bring."""
@@ -178,13 +191,13 @@ def enforce_rules(
                 _is_loose(gaps).alias("loose"),
             ))).alias("rules"))
         rules = F.coalesce("rules", F.array().cast(listed.schema["rules"].dataType))
-        return rows.join(listed, row_key, "left").select(
+        return rows.join(listed.hint("merge"), row_key, "left").select(
             *rows.columns, _fold(F.col("text"), rules, gaps).alias("fold"))
 
     # words that some rule writes and some rule looks for
     writable = settle(
         all_rules.select(F.explode(_words(F.col("right"), gaps)).alias("word")).distinct()
-        .join(all_rules.select("word").distinct(), "word", "left_semi"), "writable")
+        .join(all_rules.select("word").distinct().hint("merge"), "word", "left_semi"), "writable")
     chains = not writable.isEmpty()
     hits = candidates(
         dealt.select(*row_key, F.explode(_words(F.col("text"), gaps)).alias("word"))
@@ -208,7 +221,7 @@ def enforce_rules(
         hits = hits.unionByName(fresh)
         if chains:
             hits = closed(hits, fresh)
-        rows = fresh.select(*row_key).distinct()
+        rows = fresh.select(*row_key).distinct().hint("merge")
         last = settle(folded(hits.join(rows, row_key, "left_semi"),
                              texts.join(rows, row_key, "left_semi")), "rule-fold")
         redone = last if redone is None else redone.join(
@@ -218,7 +231,7 @@ def enforce_rules(
         return done
     again = redone.select(*row_key, F.col("fold.text").alias("new_text"))
     return (
-        done.join(again, row_key, "left")
+        done.join(again.hint("merge"), row_key, "left")
         .withColumn("text", F.coalesce("new_text", "text"))
         .drop("new_text")
     )

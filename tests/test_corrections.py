@@ -190,6 +190,33 @@ def test_thousands_of_rules_move_no_words(spark, segments, monkeypatch):
     assert plan.count("Exchange hashpartitioning(doc_id") == 2
 
 
+@pytest.mark.parametrize("few", [0, 5000])
+def test_rules_and_hits_of_documents_are_not_broadcast(spark, segments, monkeypatch, few):
+    """Equal terms of many documents make small files, but as many rows as there are documents."""
+    from tests.test_plans import plan_of
+
+    plans = []
+    monkeypatch.setattr(consistency, "FEW_RULES", few)
+    monkeypatch.setattr(consistency, "settle", lambda df, label, f=consistency.settle: (
+        plans.append(plan_of(df)), f(df, label))[1])
+    rules = [("alpha", "beta"), ("beta", "gamma"), ("(", ""), ("yz", "glued")]
+    table = spark.createDataFrame(
+        [(w, r, 2, n) for n, (w, r) in enumerate(rules)], "wrong string, right string, stage int, n long")
+    own = spark.createDataFrame(
+        [(f"d{i}", w, r, 1, n) for i in range(0, 40, 2) for n, (w, r) in enumerate(
+            [("alpha", "own"), ("zeta", "beta"), (f"w{i}", "alpha")])],
+        "doc_id string, wrong string, right string, stage int, n long")
+    seg = segments([(f"d{i}", 1, 0, 1, f"Alpha zeta y(z w{i} alpha") for i in range(40)])
+    out = consistency.enforce_rules(seg, table, own)
+    plans.append(plan_of(out))
+    # a word that a rule of the same stage writes too late for "alpha" stays
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {
+        f"d{i}": f"gamma zeta glued w{i} gamma" if i % 2 else "own gamma glued alpha own"
+        for i in range(40)}
+    assert "SortMergeJoin [doc_id" in plans[-1]
+    assert not [p for p in plans if "BroadcastHashJoin [doc_id" in p]
+
+
 def test_folding_is_that_of_patterns(spark):
     letters = [chr(c) for c in range(0x80, 0x2200) if chr(c).isalpha()] + ["\ua64a", "\u1c80", "A"]
     table = spark.createDataFrame([(c, c.upper(), c.lower()) for c in letters],
