@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cueflow.constants import WHITESPACE, WHITESPACE_CLASS
+from cueflow.constants import WHITESPACE, WHITESPACE_CLASS, WORD_CLASS
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -61,8 +61,24 @@ def quote_replacement(term: Column) -> Column:
     return F.replace(escaped, F.lit("$"), F.lit("\\$"))
 
 
-def whole_term_pattern(term: Column, flags: str = "(?iuU)") -> Column:
-    return F.concat(F.lit(flags + r"\b"), quote_pattern(term), F.lit(r"\b"))
+def whole_term_pattern(term: Column, apart: str = "") -> Column:
+    r"""A term in any case between word bounds: as `\b`, but with words of WORD_CLASS.
+
+    Letters `apart`, which the term must not have, equal no other ones. The term is looked for first,
+    since few places have it. The letter in the class behind makes Java step over whole code points.
+    """
+    quoted, behind = quote_pattern(term), WORD_CLASS.replace("]", "\U00010000]")
+    before = F.when(term.rlike(rf"\A{WORD_CLASS}"), F.lit(f"(?<!{behind})")).otherwise(
+        F.lit(f"(?<={behind})"))
+    after = F.when(term.rlike(rf"{WORD_CLASS}\z"), F.lit(f"(?!{WORD_CLASS})")).otherwise(
+        F.lit(f"(?={WORD_CLASS})"))
+    known = F.concat(F.lit(f"(?-iu:(?=[^{apart}]{{"), F.length(term), F.lit("}))")) if apart else F.lit("")
+    return F.concat(F.lit("(?iu)(?="), quoted, F.lit(")"), known, before, quoted, after)
+
+
+def plain_term_pattern(term: Column) -> Column:
+    """The same for terms and texts of ASCII characters."""
+    return F.concat(F.lit(r"(?i)\b"), quote_pattern(term), F.lit(r"\b"))
 
 
 def one_decimal(chars: Column, duration_ms: Column) -> Column:

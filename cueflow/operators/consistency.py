@@ -10,12 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueflow.constants import WORD_CLASS
 from cueflow.functions.skew import join_spread
-from cueflow.functions.text import let, quote_replacement, whole_term_pattern
+from cueflow.functions.text import (
+    let,
+    plain_term_pattern,
+    quote_replacement,
+    whole_term_pattern,
+)
 from cueflow.session import settle
 
-_RUNS = r"(?U)(\w+|\W+)"
-_WORDS = r"(?U)(\w+)"
+_OTHER_CLASS = WORD_CLASS.replace("[", "[^")
+_RUNS = f"({WORD_CLASS}+|{_OTHER_CLASS}+)"
+_WORDS = f"({WORD_CLASS}+)"
+_WHOLE_WORDS = rf"(?s)\A{WORD_CLASS}(.*{WORD_CLASS})?\z"
 #: Up to so many rules, and bytes of their terms, are broadcast; more are joined by a salted shuffle.
 FEW_RULES, FEW_BYTES = 100_000, 8_000_000
 
@@ -72,19 +80,19 @@ def _is_loose(gaps: bool) -> Column:
     where the term itself does not begin or end with a word, and with a gap only where the
     replacement does not.
     """
-    closed = F.col("wrong").rlike(r"(?sU)^\w(.*\w)?$")
+    closed = F.col("wrong").rlike(_WHOLE_WORDS)
     if gaps:
-        closed = closed & F.col("right").rlike(r"(?sU)^\w(.*\w)?$")
+        closed = closed & F.col("right").rlike(_WHOLE_WORDS)
     return ~closed
 
 
 _NEWS = "array<struct<word:string,at_stage:int,at_n:bigint>>"
 
 
-def _fold(text: Column, hits: Column, gaps: bool) -> Column:
+def _fold(text: Column, hits: Column, gaps: bool, apart: str) -> Column:
     """(text, news): the text after the ordered hits, and its words after each loose one.
 
-    Where text and term are ASCII, the pattern without Unicode classes matches the same.
+    Where text and term are ASCII, the plain pattern matches the same.
     """
     seed = F.struct(text.alias("text"), F.array().cast(_NEWS).alias("news"))
 
@@ -97,9 +105,10 @@ def _fold(text: Column, hits: Column, gaps: bool) -> Column:
                 F.when(rule["loose"] & (after != acc["text"]), F.concat(acc["news"], news))
                 .otherwise(acc["news"]).alias("news"))
 
-        pattern = F.when(_is_ascii(acc["text"]) & rule["plain"].isNotNull(), rule["plain"]).otherwise(
-            rule["pattern"])
-        return let(F.regexp_replace(acc["text"], pattern, rule["replacement"]), state)
+        plain = _is_ascii(acc["text"]) & _is_ascii(rule["wrong"])
+        pattern = F.when(plain, plain_term_pattern(rule["wrong"])).otherwise(
+            whole_term_pattern(rule["wrong"], apart))
+        return let(F.regexp_replace(acc["text"], pattern, quote_replacement(rule["right"])), state)
 
     return F.aggregate(hits, seed, step)
 
@@ -111,10 +120,12 @@ def _is_few(table: DataFrame, size: Column) -> bool:
 
 
 def enforce_rules(
-    segments: DataFrame, rules: DataFrame, own_rules: DataFrame | None = None
+    segments: DataFrame, rules: DataFrame, own_rules: DataFrame | None = None, apart: str = ""
 ) -> DataFrame:
     """Segments after `rules` (wrong, right, stage, n), and `own_rules` per document if given.
 
+    Letters `apart`, which no rule may look for, equal no others in any case.
+
     The segments are evaluated once and dealt out by their key; where the rules are broadcast, their
     candidates are found and listed there. Candidates come from an equi-join of the texts' words with
     the rules' words, then, in rounds over new candidates only, from the words of their replacements;
@@ -184,15 +195,10 @@ def enforce_rules(
         """`rows` with `fold`, what their hits make of them; each hit counts once."""
         listed = hits.groupBy(*row_key).agg(
             F.array_sort(F.collect_set(F.struct(
-                "stage", "n", whole_term_pattern(F.col("wrong")).alias("pattern"),
-                F.when(_is_ascii(F.col("wrong")), whole_term_pattern(F.col("wrong"), "(?i)"))
-                .alias("plain"),
-                quote_replacement(F.col("right")).alias("replacement"),
-                _is_loose(gaps).alias("loose"),
-            ))).alias("rules"))
+                "stage", "n", "wrong", "right", _is_loose(gaps).alias("loose")))).alias("rules"))
         rules = F.coalesce("rules", F.array().cast(listed.schema["rules"].dataType))
         return rows.join(listed.hint("merge"), row_key, "left").select(
-            *rows.columns, _fold(F.col("text"), rules, gaps).alias("fold"))
+            *rows.columns, _fold(F.col("text"), rules, gaps, apart).alias("fold"))
 
     # words that some rule writes and some rule looks for
     writable = settle(

@@ -217,6 +217,47 @@ def test_rules_and_hits_of_documents_are_not_broadcast(spark, segments, monkeypa
     assert not [p for p in plans if "BroadcastHashJoin [doc_id" in p]
 
 
+def test_words_end_where_letters_numbers_and_marks_end(spark, segments):
+    rules = spark.createDataFrame([("the", "T", 2, 0), ("(", "<", 2, 1)], "wrong string, right string, stage int, n long")
+    pairs = [
+        ("the\u00b2 the\u00bd \u2460the", "the\u00b2 the\u00bd \u2460the"),
+        ("the\u200dthe the\u203fx \u24d0the", "T\u200dT T\u203fx \u24d0T"),
+        ("\U0001d7d9the \U0001f130the the\u20e3", "\U0001d7d9the \U0001f130T the\u20e3"),
+        ("é(the \u00b2(x ‿(x é(‿", "é<T \u00b2<x ‿(x é(‿"),
+    ]
+    seg = segments([("d", i + 1, i, i + 1, t) for i, (t, _) in enumerate(pairs)])
+    got = [r["text"] for r in consistency.enforce_rules(seg, rules).orderBy("pos").collect()]
+    assert got == [t for _, t in pairs]
+
+
+def test_letters_apart_equal_no_others(spark, segments):
+    rules = spark.createDataFrame([("miss", "M", 2, 0)], "wrong string, right string, stage int, n long")
+    seg = segments([("d", 1, 0, 1, "miſs Miss"), ("d", 2, 1, 2, "mıss mİSS ſ")])
+    got = [r["text"] for r in consistency.enforce_rules(seg, rules, apart="\u0131\u017f").orderBy("pos").collect()]
+    assert got == ["miſs M", "mıss M ſ"]
+
+
+def test_learned_vocabulary_of_odd_texts_equals_its_sql(spark, tmp_path):
+    """Empty lines, words next to odd characters, letters that are ASCII ones in another case only."""
+    import duckdb
+
+    from cueflow.plans.catalog import ORACLES, QUERIES
+    from tests.compare import compare
+
+    texts = [
+        "", "\n", None, "dinner winter\n\nsummer Kitchen", "dinner dinner winter winter summer\n",
+        "dinner\u00b2 \u00bddinner dinner\u200dwinter winter\u203fx \u24d0summer \U0001d7d9dinner",
+        "ſummer dınner dİnner \u212aitchen KITCHEN kitchen SUMMER summer winter\u2026 winter\u0301",
+    ]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    name = "c04_learned_vocabulary"
+    assert compare(QUERIES[name](spark, str(tmp_path)), ORACLES[name], con) == []
+
+
 def test_folding_is_that_of_patterns(spark):
     letters = [chr(c) for c in range(0x80, 0x2200) if chr(c).isalpha()] + ["\ua64a", "\u1c80", "A"]
     table = spark.createDataFrame([(c, c.upper(), c.lower()) for c in letters],
